@@ -1,0 +1 @@
+"""Intentionally empty: every analysis in this package is a batch plan over static tables."""
