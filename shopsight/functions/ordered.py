@@ -49,13 +49,18 @@ def row_numbers(df: DataFrame, order: Sequence[Column], name: str = "position")
     return running_totals(df, order, {name: F.lit(1).cast("long")})
 
 
+_SALTS = 32
+
+
 def grouped_quantiles(df: DataFrame, key: str, value: str, probs: Sequence[float],
-                      accuracy: int = 1000) -> DataFrame:
+                      accuracy: int = 1000, few_keys: bool = False) -> DataFrame:
     """Exact, linearly interpolated quantiles of ``value`` per ``key``: rows (key, prob, edge).
 
     A rank sketch first brackets each wanted rank within a few thousandths of the rows. The second
     pass counts everything below a bracket as one number and keeps only the distinct values inside
     it, so the ordered part handles a sliver of the table, however large or skewed a key is.
+    ``few_keys`` states that the keys are a short fixed list and the brackets can be broadcast;
+    otherwise the brackets are joined over salted keys, so a hot key is spread over many tasks.
     """
     slack = 2.0 / accuracy
     wanted = [float(p) for p in probs]
@@ -70,8 +75,14 @@ def grouped_quantiles(df: DataFrame, key: str, value: str, probs: Sequence[float
     ).select("k", "n", F.explode(F.arrays_zip(
         F.array(*[F.lit(p) for p in wanted]).alias("p"), F.col("lows").alias("low"),
         F.col("highs").alias("high"))).alias("b")).select("k", "n", "b.p", "b.low", "b.high")
+    if few_keys:
+        matched = rows.join(F.broadcast(brackets), "k")
+    else:
+        salts = F.sequence(F.lit(0), F.lit(_SALTS - 1))
+        matched = rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(_SALTS)).cast("int")).join(
+            brackets.withColumn("salt", F.explode(salts)), ["k", "salt"])
     cells = (
-        rows.join(brackets, "k").where("v <= high")
+        matched.where("v <= high")
         .groupBy("k", "n", "p", F.expr("if(v >= low, v, null)").alias("v"))
         .agg(F.count("*").alias("c"))
     )
@@ -98,7 +109,7 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns
     ])).alias("x")).select("x.name", "x.value")
-    return grouped_quantiles(long, "name", "value", probs)
+    return grouped_quantiles(long, "name", "value", probs, few_keys=True)
 
 
 _COPY_CHUNK = 1 << 20
