@@ -52,6 +52,16 @@ def row_numbers(df: DataFrame, order: Sequence[Column], name: str = "position")
 _SALTS = 32
 
 
+def salted_join(rows: DataFrame, lookup: DataFrame, key: str, spread_by: str) -> DataFrame:
+    """Inner join of many rows to one small row per key, where one key may hold most of the rows.
+
+    Each lookup row is repeated once per salt and each row takes a salt from ``spread_by``.
+    """
+    salt = F.pmod(F.xxhash64(spread_by), F.lit(_SALTS)).cast("int")
+    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return rows.withColumn("_salt", salt).join(repeated, [key, "_salt"]).drop("_salt")
+
+
 def grouped_quantiles(df: DataFrame, key: str, value: str, probs: Sequence[float],
                       accuracy: int = 1000, few_keys: bool = False) -> DataFrame:
     """Exact, linearly interpolated quantiles of ``value`` per ``key``: rows (key, prob, edge).
@@ -78,9 +88,7 @@ def grouped_quantiles(df: DataFrame, key: str, value: str, probs: Sequence[float
     if few_keys:
         matched = rows.join(F.broadcast(brackets), "k")
     else:
-        salts = F.sequence(F.lit(0), F.lit(_SALTS - 1))
-        matched = rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(_SALTS)).cast("int")).join(
-            brackets.withColumn("salt", F.explode(salts)), ["k", "salt"])
+        matched = salted_join(rows, brackets, "k", "v")
     cells = (
         matched.where("v <= high")
         .groupBy("k", "n", "p", F.expr("if(v >= low, v, null)").alias("v"))

@@ -49,14 +49,15 @@ def drop_price_conflicts(tx: DataFrame, key: Sequence[str] = SALE_KEY) -> DataFr
 def duplicate_report(df: DataFrame, subsets: dict[str, Sequence[str] | None]) -> DataFrame:
     """Rows beyond the first per subset of columns (None: all columns): (subset, duplicates).
 
-    One distinct count per subset over all its columns; nulls count as values.
+    The subsets are counted on the distinct rows with their copies, so the table is read and
+    shuffled whole once, whatever the number of subsets; nulls count as values.
     """
-    parts = [
-        df.groupBy(*(columns or df.columns)).agg(F.count("*").alias("n"))
-        .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
-        .select(F.lit(name).alias("subset"), "duplicates")
-        for name, columns in subsets.items()
-    ]
+    counted = count_copies(df)
+    parts = []
+    for name, columns in subsets.items():
+        groups = counted if columns is None else counted.groupBy(*columns).agg(F.sum(_COPIES).alias(_COPIES))
+        parts.append(groups.agg(F.coalesce(F.sum(F.col(_COPIES) - 1), F.lit(0)).alias("duplicates")).select(
+            F.lit(name).alias("subset"), "duplicates"))
     report = parts[0]
     for part in parts[1:]:
         report = report.unionByName(part)

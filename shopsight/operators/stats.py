@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopsight.functions.columns import one_value
-from shopsight.functions.ordered import grouped_quantiles
+from shopsight.functions.ordered import grouped_quantiles, salted_join
 
 
 def _weighted_corr(x: Column, y: Column, w: Column) -> Column:
@@ -118,7 +118,7 @@ def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     reach = (F.col("q3") - F.col("q1")) * 1.5
     # one row per group and value, so that a group with many equal rows is joined once per value
     values = rows.groupBy(group, "v").agg(F.count("*").alias("c"))
-    return values.join(edges, group).groupBy(group).agg(
+    return salted_join(values, edges, group, "v").groupBy(group).agg(
         F.sum("c").alias("n"), F.first("q1").alias("q1"), F.first("median").alias("median"),
         F.first("q3").alias("q3"),
         F.min(F.when(F.col("v") >= F.col("q1") - reach, F.col("v"))).alias("whisker_low"),
