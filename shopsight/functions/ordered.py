@@ -82,9 +82,12 @@ def grouped_quantiles(df: DataFrame, key: str, value: str, probs: Sequence[float
         F.count("*").alias("n"),
         F.percentile_approx("v", lows, accuracy).alias("lows"),
         F.percentile_approx("v", highs, accuracy).alias("highs"),
-    ).select("k", "n", F.explode(F.arrays_zip(
+        F.min("v").alias("least"), F.max("v").alias("most"),
+    ).select("k", "n", "least", "most", F.explode(F.arrays_zip(
         F.array(*[F.lit(p) for p in wanted]).alias("p"), F.col("lows").alias("low"),
-        F.col("highs").alias("high"))).alias("b")).select("k", "n", "b.p", "b.low", "b.high")
+        F.col("highs").alias("high"))).alias("b")
+    ).withColumn("all", F.col("n") * slack < 4).select(  # a bracket has to span a few ranks
+        "k", "n", "b.p", F.expr("if(all, least, b.low)").alias("low"), F.expr("if(all, most, b.high)").alias("high"))
     if few_keys:
         matched = rows.join(F.broadcast(brackets), "k")
     else:

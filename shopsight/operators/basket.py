@@ -184,7 +184,7 @@ def rule_lookup(rules: DataFrame, article: Column) -> DataFrame:
         "article", F.lit("influenced_by").alias("relation"), joined("antecedents").alias("items"))
     following = marked.where(F.array_contains("antecedents", F.col("article"))).select(
         "article", F.lit("influences").alias("relation"),
-        F.explode("consequents").cast("string").alias("items"))
+        F.explode("consequents").alias("items")).withColumn("items", F.col("items").cast("string"))
     return leading.unionByName(following).distinct()
 
 

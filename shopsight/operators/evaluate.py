@@ -11,10 +11,11 @@ from shopsight.functions.columns import one_value
 from shopsight.functions.ordered import running_totals
 
 
-def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Rows per (label, prediction)."""
-    return df.groupBy(F.col(label).cast("int").alias("label"), F.col(prediction).cast("int").alias("prediction")).agg(
-        F.count("*").alias("n"))
+def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction",
+              by: Sequence[str] = ()) -> DataFrame:
+    """Rows per (label, prediction), within the ``by`` columns if any."""
+    return df.groupBy(*by, F.col(label).cast("int").alias("label"),
+                      F.col(prediction).cast("int").alias("prediction")).agg(F.count("*").alias("n"))
 
 
 def binary_metrics(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -57,3 +58,22 @@ def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def roc_auc(curve: DataFrame) -> DataFrame:
     return curve.agg(F.sum("area").alias("auc"))
+
+
+def roc_auc_by(df: DataFrame, by: Sequence[str], label: str, score: str) -> DataFrame:
+    """Area under the curve per group, all groups in one ordered pass.
+
+    The running counts go over the whole table in group order; what earlier groups counted is taken
+    off again, so no group is sorted in a single task.
+    """
+    positive = (F.col(label) == 1).cast("long")
+    counts = df.groupBy(*by, F.col(score).alias("threshold")).agg(
+        F.sum(positive).alias("p"), F.sum(1 - positive).alias("q"))
+    order = [*[F.col(c) for c in by], F.col("threshold").desc()]
+    running = running_totals(counts, order, {"tp": F.col("p")})
+    # within a group: sum of q * (tp before + p / 2), with tp counted from the group's own start
+    return running.groupBy(*by).agg(
+        F.sum("p").alias("P"), F.sum("q").alias("Q"), F.min(F.col("tp") - F.col("p")).alias("earlier"),
+        F.sum(F.col("q") * (F.col("tp") * 2 - F.col("p")) / 2).alias("area"),
+    ).select(*by, F.when(F.col("P") * F.col("Q") > 0, (
+        F.col("area") - F.col("earlier") * F.col("Q")) / (F.col("P") * F.col("Q"))).alias("auc"))

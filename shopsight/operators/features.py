@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,21 +92,25 @@ def design(table: DataFrame, numeric: Sequence[str] = NUMERIC_FEATURES,
 
 @dataclass(frozen=True)
 class Scaler:
-    """Means and population deviations of the training rows."""
+    """Row count, means and population deviations of the training rows."""
 
+    n: int
     mean: list[float]
     std: list[float]
 
     @staticmethod
-    def fit(train: DataFrame, width: int) -> Scaler:
+    def fit(train: DataFrame) -> Scaler:
         """One aggregate over the training rows; its single row is as wide as the features."""
-        row = train.agg(
-            F.array(*[F.avg(F.col("x")[i]) for i in range(width)]).alias("mean"),
-            F.array(*[F.stddev_pop(F.col("x")[i]) for i in range(width)]).alias("std")).first()
-        return Scaler(list(row.mean), [s if s and s > 0 else 1.0 for s in row.std])
+        summary = train.select(Summarizer.metrics("count", "mean", "variance").summary(
+            array_to_vector("x")).alias("s")).select("s.*").first()
+        n = int(summary["count"])
+        spread = np.sqrt(summary["variance"].toArray() * (n - 1) / n)
+        return Scaler(n, summary["mean"].toArray().tolist(), np.where(spread > 0, spread, 1.0).tolist())
 
     def apply(self, df: DataFrame) -> DataFrame:
-        scaled = F.array(*[(F.col("x")[i] - m) / s for i, (m, s) in enumerate(zip(self.mean, self.std))])
+        """The numbers go in as array constants, so every fit shares one compiled projection."""
+        centred = F.zip_with("x", F.lit(self.mean), lambda x, m: x - m)
+        scaled = F.zip_with(centred, F.lit(self.std), lambda x, s: x / s)
         return df.withColumn("x", scaled).withColumn("features", array_to_vector("x"))
 
 

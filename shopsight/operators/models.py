@@ -19,14 +19,14 @@ from pyspark.ml.classification import (
     NaiveBayes,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopsight.operators.evaluate import binary_metrics, confusion
+from shopsight.operators.evaluate import binary_metrics, confusion, roc_auc_by
 from shopsight.operators.features import Scaler, decile_ranks
 from shopsight.operators.neighbours import nearest, votes
+from shopsight.session import scratch_path
 
 Predict = Callable[[DataFrame], DataFrame]
 Fit = Callable[[DataFrame, int], Predict]
@@ -51,7 +51,7 @@ def logistic(c: float = 1.0, balanced: bool = False) -> Fit:
 
 
 def fit_logistic(train: DataFrame, n: int, c: float = 1.0, balanced: bool = False):
-    estimator = LogisticRegression(regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=100)
+    estimator = LogisticRegression(regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=100, tol=_LOGISTIC_TOLERANCE)
     if balanced:
         sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
         weight = F.lit(1.0)
@@ -64,7 +64,8 @@ def fit_logistic(train: DataFrame, n: int, c: float = 1.0, balanced: bool = Fals
 
 def linear_svm(c: float = 1.0) -> Fit:
     def fit(train: DataFrame, n: int) -> Predict:
-        return _margin(LinearSVC(regParam=1.0 / (c * n), standardization=False, maxIter=100).fit(train))
+        return _margin(LinearSVC(
+            regParam=1.0 / (c * n), standardization=False, maxIter=100, tol=_SVM_TOLERANCE).fit(train))
     return fit
 
 
@@ -73,7 +74,8 @@ def kernel_svm(c: float = 1.0, components: int = 200, seed: int = 0) -> Fit:
     def fit(train: DataFrame, n: int) -> Predict:
         width = len(train.select("x").first()["x"])
         fourier = _fourier_map(width, components, seed)
-        model = LinearSVC(regParam=1.0 / (c * n), standardization=False, maxIter=100).fit(fourier(train))
+        model = LinearSVC(
+            regParam=1.0 / (c * n), standardization=False, maxIter=100, tol=_SVM_TOLERANCE).fit(fourier(train))
         return lambda df: _margin(model)(fourier(df))
     return fit
 
@@ -149,40 +151,58 @@ def second_round() -> dict[str, Fit]:
     }
 
 
-def _scaled_fit(fit: Fit, train: DataFrame, width: int, *others: DataFrame) -> list[DataFrame]:
-    """Scale by the training rows, fit, and predict the other frames."""
-    scaler = Scaler.fit(train, width)
-    predict = fit(scaler.apply(train), train.count())
-    return [predict(scaler.apply(other)) for other in others]
+# Where the optimisers stop.
+_LOGISTIC_TOLERANCE = 1e-4
+_SVM_TOLERANCE = 1e-3
 
+# An optimiser step is one job over the training rows, so tasks with few rows only add overhead.
+_ROWS_PER_TASK = 100_000
 
-def cross_validate(rows: DataFrame, width: int, classifiers: dict[str, Fit], folds: int = 10,
-                   parallelism: int = 4) -> DataFrame:
-    """Accuracy, balanced accuracy and AUC per (model, fold); ``rows`` has a fold column.
 
-    The scaler is fitted inside every fold. Fits run side by side from a few driver threads, as the
-    built-in tuner does; what comes back to the driver is one row of metrics per fit.
+def _packed(df: DataFrame, n: int) -> DataFrame:
+    return df.coalesce(max(1, -(-n // _ROWS_PER_TASK)))
+
+
+def _scaled_fit(fit: Fit, train: DataFrame, test: DataFrame) -> DataFrame:
+    """Scale by the training rows, fit, and predict the test rows."""
+    scaler = Scaler.fit(train)
+    return fit(_packed(scaler.apply(train), scaler.n), scaler.n)(scaler.apply(test))
+
+
+def _score_all(spark: SparkSession, tasks: Sequence[tuple[str, int, Fit, DataFrame, DataFrame]],
+               parallelism: int) -> DataFrame:
+    """Fit every (model, fold, fit, train, test) and gather the test scores as one table.
+
+    The fits run side by side from a few driver threads, as the built-in tuner does. Each writes its
+    scores to a folder of its own, so all of them are evaluated together by a few grouped jobs.
     """
-    area = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", numBins=0)
-
-    def one(task: tuple[str, int]) -> tuple[str, int, float, float, float] | None:
-        name, fold = task
-        train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
-        (scored,) = _scaled_fit(classifiers[name], train, width, test)
-        scored = scored.select("label", "prediction", "score").persist()
-        try:
-            found = binary_metrics(confusion(scored)).first()
-            if not found.n:
-                return None
-            return name, fold, found.accuracy, found.balanced_accuracy, area.evaluate(scored)
-        finally:
-            scored.unpersist()
-
-    tasks = [(name, fold) for name in classifiers for fold in range(folds)]
+    path = scratch_path(spark, "scores")
+
+    def one(place: int) -> None:
+        _, _, fit, train, test = tasks[place]
+        _scaled_fit(fit, train, test).select("label", "prediction", "score").write.parquet(f"{path}/task={place}")
+
     with ThreadPool(parallelism) as pool:
-        done = pool.map(inheritable_thread_target(rows.sparkSession)(one), tasks, chunksize=1)
-    return rows.sparkSession.createDataFrame(
-        [d for d in done if d], "model string, fold int, accuracy double, balanced_accuracy double, auc double")
+        pool.map(inheritable_thread_target(spark)(one), range(len(tasks)), chunksize=1)
+    names = F.array(*[F.struct(F.lit(name).alias("model"), F.lit(fold).alias("fold")) for name, fold, *_ in tasks])
+    return spark.read.schema("label double, prediction double, score double, task int").parquet(path).select(
+        names[F.col("task")].alias("t"), "label", "prediction", "score").select("t.*", "label", "prediction", "score")
+
+
+def cross_validate(rows: DataFrame, classifiers: dict[str, Fit], folds: int = 10,
+                   parallelism: int = 8) -> DataFrame:
+    """Accuracy, balanced accuracy and AUC per (model, fold); ``rows`` has a fold column.
+
+    The scaler is fitted inside every fold.
+    """
+    rows = _packed(rows, rows.count()).persist()
+    tasks = [(name, fold, fit, rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold))
+             for name, fit in classifiers.items() for fold in range(folds)]
+    scored = _score_all(rows.sparkSession, tasks, parallelism)
+    rows.unpersist()
+    by = ("model", "fold")
+    return binary_metrics(confusion(scored, by=by), by).select(*by, "accuracy", "balanced_accuracy").join(
+        roc_auc_by(scored, by, "label", "score"), list(by))
 
 
 def cv_summary(scores: DataFrame) -> DataFrame:
@@ -195,38 +215,32 @@ def cv_summary(scores: DataFrame) -> DataFrame:
         percent(F.stddev_pop("accuracy")).alias("accuracy_std")).orderBy(F.desc("auc_mean"), "model")
 
 
-def holdout(train: DataFrame, test: DataFrame, width: int, classifiers: dict[str, Fit],
-            parallelism: int = 4) -> DataFrame:
+def holdout(train: DataFrame, test: DataFrame, classifiers: dict[str, Fit], parallelism: int = 8) -> DataFrame:
     """Test metrics per model, best precision first."""
-    def one(name: str) -> tuple:
-        (scored,) = _scaled_fit(classifiers[name], train, width, test)
-        m = binary_metrics(confusion(scored)).first()
-        return name, m.accuracy, m.precision, m.recall, m.f1, m.f2
-
-    with ThreadPool(parallelism) as pool:
-        done = pool.map(inheritable_thread_target(train.sparkSession)(one), list(classifiers), chunksize=1)
-    return train.sparkSession.createDataFrame(
-        done, "model string, accuracy double, precision double, recall double, f1 double, f2 double"
-    ).orderBy(F.desc("precision"), F.desc("recall"), F.desc("f2"))
+    tasks = [(name, 0, fit, train, test) for name, fit in classifiers.items()]
+    scored = _score_all(train.sparkSession, tasks, parallelism)
+    return binary_metrics(confusion(scored, by=["model"]), ["model"]).select(
+        "model", "accuracy", "precision", "recall", "f1", "f2"
+    ).orderBy(F.desc("precision"), F.desc("recall"), F.desc("f2"), "model")
 
 
-def grid_search(rows: DataFrame, width: int, grid: Sequence[float] = C_GRID, folds: int = 10,
-                parallelism: int = 4) -> DataFrame:
+def grid_search(rows: DataFrame, grid: Sequence[float] = C_GRID, folds: int = 10,
+                parallelism: int = 8) -> DataFrame:
     """Mean balanced accuracy per C over the folds, best first, then the smallest C."""
-    scores = cross_validate(rows, width, {str(c): logistic(c) for c in grid}, folds, parallelism)
+    scores = cross_validate(rows, {str(c): logistic(c) for c in grid}, folds, parallelism)
     return scores.groupBy(F.col("model").cast("double").alias("C")).agg(
         F.avg("balanced_accuracy").alias("balanced_accuracy")).orderBy(F.desc("balanced_accuracy"), "C")
 
 
-def forest_sweep(train: DataFrame, test: DataFrame, width: int, trees: int = 99, max_depth: int = 30,
+def forest_sweep(train: DataFrame, test: DataFrame, trees: int = 99, max_depth: int = 30,
                  seed: int = 1) -> DataFrame:
     """Test accuracy of the first 1..trees trees of one forest, fitted once.
 
     Every tree adds one probability column in a single projection; the running sum over the trees
     is taken inside the row.
     """
-    scaler = Scaler.fit(train, width)
-    model = _forest(trees, max_depth, seed, "gini").fit(scaler.apply(train))
+    scaler = Scaler.fit(train)
+    model = _forest(trees, max_depth, seed, "gini").fit(_packed(scaler.apply(train), scaler.n))
     scored = scaler.apply(test)
     for i, tree in enumerate(model.trees):
         scored = tree.setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"p{i}").transform(scored)
@@ -240,9 +254,9 @@ def forest_sweep(train: DataFrame, test: DataFrame, width: int, trees: int = 99,
     ).groupBy("trees").agg(F.avg("hit").alias("accuracy"))
 
 
-def propensity(train: DataFrame, test: DataFrame, width: int, c: float = 1.0) -> DataFrame:
+def propensity(train: DataFrame, test: DataFrame, c: float = 1.0) -> DataFrame:
     """Predictions and churn probability in percent for the held-out customers."""
-    (scored,) = _scaled_fit(logistic(c), train, width, test)
+    scored = _scaled_fit(logistic(c), train, test)
     return scored.select(
         "ID_CLI", F.col("label").cast("int").alias("CHURN"), F.col("prediction").cast("int").alias("predictions"),
         F.bround(F.col("score") * 100, 2).alias("propensity_to_churn"))
@@ -255,7 +269,7 @@ def propensity_deciles(scored: DataFrame) -> DataFrame:
 
 def coefficients(train: DataFrame, names: Sequence[str], c: float = 1.0) -> DataFrame:
     """Logistic coefficients by feature name, largest first: one row per feature."""
-    scaler = Scaler.fit(train, len(names))
-    model = fit_logistic(scaler.apply(train), train.count(), c)
+    scaler = Scaler.fit(train)
+    model = fit_logistic(_packed(scaler.apply(train), scaler.n), scaler.n, c)
     rows = [(name, float(value)) for name, value in zip(names, model.coefficients)]
     return train.sparkSession.createDataFrame(rows, "feature string, coef double").orderBy(F.desc("coef"), "feature")

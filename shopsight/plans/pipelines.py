@@ -127,14 +127,14 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         clean_loyalty(spark, sf_dir), clean_accounts(spark, sf_dir), churn_labels(spark, sf_dir)))
 
 
-def model_rows(spark: SparkSession, sf_dir: str) -> tuple[features.Design, DataFrame, DataFrame]:
-    """Feature design, training rows (a tenth) and test rows."""
+def model_rows(spark: SparkSession, sf_dir: str) -> tuple[list[str], DataFrame, DataFrame]:
+    """Feature names, training rows (a tenth) and test rows."""
     plan = features.design(customers(spark, sf_dir))
     split = _stage(spark, sf_dir, "split", lambda: features.stratified_split(plan.rows))
-    parts = [split.where(F.col("part") == part).drop("part") for part in ("train", "test")]
-    return plan, *parts
+    train, test = (split.where(F.col("part") == part).drop("part") for part in ("train", "test"))
+    return plan.names, train, test
 
 
 def churn_propensity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan, train, test = model_rows(spark, sf_dir)
-    return models.propensity(train, test, len(plan.names))
+    _, train, test = model_rows(spark, sf_dir)
+    return models.propensity(train, test)

@@ -580,38 +580,35 @@ def stratified_split(spark, sf_dir):
 
 @query
 def model_compare(spark, sf_dir):
-    plan, train, test = P.model_rows(spark, sf_dir)
-    width = len(plan.names)
-    folded = models.cv_summary(models.cross_validate(features.hash_folds(train), width, models.first_round()))
-    held = models.holdout(train, test, width, models.second_round())
-    return folded.join(held, "model")
+    _, train, test = P.model_rows(spark, sf_dir)
+    folded = models.cv_summary(models.cross_validate(features.hash_folds(train), models.first_round()))
+    return folded.join(models.holdout(train, test, models.second_round()), "model")
 
 
 @query
 def cv_accuracy(spark, sf_dir):
-    plan, train, _ = P.model_rows(spark, sf_dir)
-    scores = models.cross_validate(features.stratified_folds(train), len(plan.names),
-                                   {"Logistic Regression": models.logistic()})
+    _, train, _ = P.model_rows(spark, sf_dir)
+    scores = models.cross_validate(features.stratified_folds(train), {"Logistic Regression": models.logistic()})
     return scores.agg(F.avg("accuracy").alias("accuracy_mean"),
                       (F.stddev_pop("accuracy") * 2).alias("accuracy_2std"))
 
 
 @query
 def grid_search(spark, sf_dir):
-    plan, train, _ = P.model_rows(spark, sf_dir)
-    return models.grid_search(features.stratified_folds(train), len(plan.names))
+    _, train, _ = P.model_rows(spark, sf_dir)
+    return models.grid_search(features.stratified_folds(train))
 
 
 @query
 def forest_sweep(spark, sf_dir):
-    plan, train, test = P.model_rows(spark, sf_dir)
-    return models.forest_sweep(train, test, len(plan.names))
+    _, train, test = P.model_rows(spark, sf_dir)
+    return models.forest_sweep(train, test)
 
 
 @query
 def coefficients(spark, sf_dir):
-    plan, train, _ = P.model_rows(spark, sf_dir)
-    return models.coefficients(train, plan.names)
+    names, train, _ = P.model_rows(spark, sf_dir)
+    return models.coefficients(train, names)
 
 
 @query
