@@ -38,14 +38,22 @@ def support_bands(support: DataFrame) -> DataFrame:
     return support.groupBy(band.alias("band")).agg(F.count("*").alias("n_articles"))
 
 
-def high_support_lines(lines: DataFrame, min_support: float = 0.001) -> DataFrame:
-    """Lines of articles above the support threshold.
+# Supports add up to the mean number of articles per receipt, so fewer than (mean / threshold)
+# articles pass a threshold. From this one on that is a short list, below it the join shuffles.
+_BROADCAST_FROM = 0.0001
 
-    No broadcast is forced: the kept articles are few when baskets are short, and adaptive
-    execution checks their real size.
-    """
-    kept = article_support(lines).where(F.col("support") > min_support).select("ID_ARTICOLO")
-    return lines.join(kept, "ID_ARTICOLO", "left_semi")
+
+def high_support_articles(lines: DataFrame, min_support: float = 0.001) -> DataFrame:
+    """Articles above the support threshold, marked for broadcast where the threshold bounds them."""
+    kept = article_support(lines).where(F.col("support") > min_support).select(
+        F.col("ID_ARTICOLO").alias("item"))
+    return F.broadcast(kept) if min_support >= _BROADCAST_FROM else kept
+
+
+def high_support_lines(lines: DataFrame, min_support: float = 0.001) -> DataFrame:
+    """Lines of articles above the support threshold."""
+    kept = high_support_articles(lines, min_support)
+    return lines.join(kept, F.col("ID_ARTICOLO") == F.col("item"), "left_semi")
 
 
 def basket_long(lines: DataFrame) -> DataFrame:
@@ -60,8 +68,7 @@ def baskets(lines: DataFrame, min_support: float = 0.001) -> DataFrame:
     A basket never holds more than the high-support articles, of which there are at most
     (mean basket size / threshold), so no receipt grows without bound.
     """
-    kept = article_support(lines).where(F.col("support") > min_support).select(
-        F.col("ID_ARTICOLO").alias("item"))
+    kept = high_support_articles(lines, min_support)
     return lines.select("ID_SCONTRINO", "ID_ARTICOLO").join(
         kept, F.col("ID_ARTICOLO") == F.col("item"), "left"
     ).groupBy("ID_SCONTRINO").agg(F.array_sort(F.collect_set("item")).alias("items"))

@@ -130,10 +130,10 @@ def last_card(loyalty: DataFrame) -> DataFrame:
 
 
 def clean_loyalty(loyalty: DataFrame) -> DataFrame:
-    """One row per client in one shuffle: last card's attributes, first card's shop and date, card count.
+    """One row per client: last card's attributes, first card's shop and date, card count.
 
-    ``min_by``/``max_by`` combine on the map side, so a client with very many cards is no hot task;
-    the distinct card count is taken in the same pass.
+    One aggregate over one scan. ``min_by``/``max_by`` combine before each shuffle and the distinct
+    card count shuffles by client and card first, so a client with very many cards is no hot task.
     """
     last = _card_order(F.col("DT_ACTIVE"))
     first = F.struct(F.col("DT_ACTIVE").isNull(), F.col("DT_ACTIVE"), F.col("ID_FID"))

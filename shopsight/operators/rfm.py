@@ -42,7 +42,7 @@ def rfm_base(active: DataFrame, unit: str = "line") -> DataFrame:
 def rfm_scores(base: DataFrame, duplicates: str = "raise") -> DataFrame:
     """Quartile scores 1..4 per measure, right-closed with ties together; recency counts down.
 
-    Equal quartile edges are refused, as they leave a class empty; ``duplicates='drop'`` merges them.
+    ``base`` is read several times, so a stored table serves best. Equal quartile edges are refused, as they leave a class empty; ``duplicates='drop'`` merges them.
     """
     measures = {"R": "Recency", "F": "Frequency", "M": "MonetaryValue"}
     edges = column_quantiles(base, list(measures.values()), _EDGES)

@@ -175,13 +175,15 @@ _TABLES: dict[str, str] = {
         SELECT DISTINCT ID_SCONTRINO AS t, ID_ARTICOLO AS a FROM coarse WHERE ID_ARTICOLO IN (
             SELECT ID_ARTICOLO FROM coarse GROUP BY 1
             HAVING count(DISTINCT ID_SCONTRINO) / (SELECT n FROM coarse_n) > 0.001)""",
-    "counted": """
-        SELECT [a] AS items, count(*) AS freq FROM items GROUP BY 1
+    "singles": """
+        SELECT a, list(t) AS tickets FROM items GROUP BY 1""",
+    "grown": """
+        SELECT [a] AS items, tickets FROM singles
         UNION ALL
-        SELECT [x.a, y.a], count(*) FROM items x JOIN items y ON x.t = y.t AND x.a < y.a GROUP BY 1
-        UNION ALL
-        SELECT [x.a, y.a, z.a], count(*) FROM items x JOIN items y ON x.t = y.t AND x.a < y.a
-        JOIN items z ON y.t = z.t AND y.a < z.a GROUP BY 1""",
+        SELECT list_append(g.items, s.a), list_intersect(g.tickets, s.tickets)
+        FROM grown g JOIN singles s ON s.a > g.items[-1]
+        WHERE len(list_intersect(g.tickets, s.tickets)) / (SELECT n FROM coarse_n) >= 0.001""",
+    "counted": "SELECT items, len(tickets) AS freq FROM grown",
     "itemsets": """
         SELECT items, freq, n AS n_receipts, freq / n AS support, len(items) AS lunghezza
         FROM counted, coarse_n WHERE freq / n >= 0.001""",
@@ -609,14 +611,14 @@ def _with_tables(sql: str) -> str:
     new = _used(sql)
     while new:
         needed |= new
-        new = set().union(*[_used(_TABLES[name]) for name in new]) - needed
+        new = set().union(*[_used(_TABLES[name]) for name in new]) - needed  # grown names itself
     heads = [f"{name} AS ({_TABLES[name]})" for name in _TABLES if name in needed]
     body = sql.strip()
     if not heads:
         return body
     if body.startswith("WITH "):
-        return "WITH " + ",\n".join(heads) + ",\n" + body[len("WITH "):]
-    return "WITH " + ",\n".join(heads) + "\n" + body
+        return "WITH RECURSIVE " + ",\n".join(heads) + ",\n" + body[len("WITH "):]
+    return "WITH RECURSIVE " + ",\n".join(heads) + "\n" + body
 
 
 def oracle_sql() -> dict[str, str]:

@@ -63,7 +63,8 @@ def write_clean_tables(spark: SparkSession, sf_dir: str, target: str) -> dict[st
 
 
 def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cycle.next_purchase(clean_lines(spark, sf_dir))
+    """Days to the next purchase per client; stored, as summaries and percentiles pass over it again."""
+    return _stage(spark, sf_dir, "gaps", lambda: cycle.next_purchase(clean_lines(spark, sf_dir)))
 
 
 def churn_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,10 +72,18 @@ def churn_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cycle.churn_labels(lines, cutoff_day(lines))
 
 
-def scored_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quartile scores of the active customers."""
+def rfm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = clean_lines(spark, sf_dir)
-    return rfm.rfm_scores(rfm.rfm_base(cleaning.active_lines(lines, cutoff_day(lines))))
+    return rfm.rfm_base(cleaning.active_lines(lines, cutoff_day(lines)))
+
+
+def scored_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartile scores of the active customers.
+
+    The quartiles pass over the measures more than once, so the one row per customer is stored
+    rather than summed up from the lines again each time.
+    """
+    return rfm.rfm_scores(_stage(spark, sf_dir, "rfm_base", lambda: rfm_base(spark, sf_dir)))
 
 
 def rfm_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +95,11 @@ def purchase_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.basket_lines(clean_lines(spark, sf_dir))
 
 
+def article_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per article and department, stored for the box statistics, which need several passes."""
+    return _stage(spark, sf_dir, "articles", lambda: profile.article_profile(purchase_lines(spark, sf_dir)))
+
+
 def coarse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchase lines with the part size as a coarse article."""
     parts = read_table(spark, f"{sf_dir}/part.parquet", "p_partkey", "p_size")

@@ -271,7 +271,7 @@ def tier_activity(spark, sf_dir):
 
 @query
 def next_purchase(spark, sf_dir):
-    return P.gaps(spark, sf_dir)
+    return cycle.next_purchase(P.clean_lines(spark, sf_dir))
 
 
 @query
@@ -316,8 +316,7 @@ def active_lines(spark, sf_dir):
 
 @query
 def rfm_base(spark, sf_dir):
-    lines = P.clean_lines(spark, sf_dir)
-    return rfm.rfm_base(cleaning.active_lines(lines, P.cutoff_day(lines)))
+    return P.rfm_base(spark, sf_dir)
 
 
 @query
@@ -378,7 +377,7 @@ def article_profile(spark, sf_dir):
 
 @query
 def articles_per_department(spark, sf_dir):
-    return profile.articles_per_department(profile.article_profile(P.purchase_lines(spark, sf_dir)))
+    return profile.articles_per_department(P.article_profile(spark, sf_dir))
 
 
 @query
@@ -398,8 +397,8 @@ def high_support_tx(spark, sf_dir):
 
 @query
 def box_stats(spark, sf_dir):
-    return _rounded(stats.box_stats(profile.article_profile(P.purchase_lines(spark, sf_dir)),
-                                    "REPARTO", "IMPORTO_MEDIO"), 6, "q1", "median", "q3")
+    return _rounded(stats.box_stats(P.article_profile(spark, sf_dir), "REPARTO", "IMPORTO_MEDIO"),
+                    6, "q1", "median", "q3")
 
 
 @query

@@ -25,12 +25,14 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines
         .join(orders, lines.l_orderkey == orders.o_orderkey)
         .join(parts, lines.l_partkey == parts.p_partkey)
-        .withColumn("gross", F.expr("cast(l_extendedprice as decimal(18,2))"))
+        # ten digits before the point keep the products within a long
+        .withColumn("gross", F.expr("cast(l_extendedprice as decimal(12,2))"))
         .withColumn("rate", F.expr("cast(l_discount as decimal(4,2))"))
         .withColumn("extra", F.expr("""
-            explode(filter(array(0, if(l_orderkey % 50 = 0, 0, null),
-                                 if(l_orderkey % 97 = 0 and l_linenumber = 1, 1, null)),
-                           x -> x is not null))"""))
+            explode(case when l_orderkey % 50 = 0 and l_orderkey % 97 = 0 and l_linenumber = 1 then array(0, 0, 1)
+                         when l_orderkey % 50 = 0 then array(0, 0)
+                         when l_orderkey % 97 = 0 and l_linenumber = 1 then array(0, 1)
+                         else array(0) end)"""))
     )
     return joined.select(
         F.col("l_orderkey").cast("string").alias("ID_SCONTRINO"),
