@@ -52,8 +52,11 @@ def purchases(tx: DataFrame) -> DataFrame:
 
 
 def active_lines(tx: DataFrame, cutoff: Column) -> DataFrame:
-    """Lines strictly after the midnight that starts the cutoff day."""
-    return tx.where(F.col("DATETIME") > cutoff.cast("timestamp_ntz"))
+    """Lines strictly after the midnight that starts the cutoff day.
+
+    The condition on the day follows from the one on the time; it is there for the scan to skip by.
+    """
+    return tx.where((F.col("DATA") >= cutoff) & (F.col("DATETIME") > cutoff.cast("timestamp_ntz")))
 
 
 def basket_lines(tx: DataFrame, cutoff: Column | None = None) -> DataFrame:
