@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopsight.sources.files import read_table
+from shopsight.sources.files import read_table, spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -17,8 +17,8 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The copies are unrolled after the joins from a per-row array, so every table is read once.
     """
-    lines = _table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                   "l_extendedprice", "l_discount", "l_returnflag")
+    lines = spread(_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                          "l_extendedprice", "l_discount", "l_returnflag"))
     orders = _table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     parts = _table(spark, sf_dir, "part", "p_partkey", "p_brand")
     joined = (
