@@ -9,13 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopsight.llm import common as C
-from shopsight.llm import mixing, ngram_join, quality, token_store, winnowing
+from shopsight.llm import imatch, mixing, ngram_join, quality, sharding, token_store, toxicity, warc_zip, winnowing
+
+
+SHARDS = [f"shard-{i:03d}" for i in range(256)]
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(C.documents(spark, sf_dir).select("doc_id"), "doc_id", SHARDS)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(C.documents(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited_likeness(C.documents(spark, sf_dir))
+
+
 def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(C.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -26,6 +41,11 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                         "contaminated")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc_zip.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc_zip.read_archives(archives).drop("url")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -37,10 +57,13 @@ def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_ngram_jaccard_join, op5_mixing_sources, op7_benchmark_decontamination, op9_quality_classifier,
-        op10_token_id_output)}
+        op1_sharding, op2_ngram_jaccard_join, op3_toxicity, op4_document_fingerprints, op5_mixing_sources, op7_benchmark_decontamination, op8_warc,
+        op9_quality_classifier, op10_token_id_output)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_benchmark_decontamination": winnowing.ORACLE.format(documents="documents")
-            + "SELECT doc_id, n_words, n_hit, n_items, items_sha256, contaminated FROM judged"}
+    return {
+        "op7_benchmark_decontamination": winnowing.ORACLE.format(documents="documents")
+        + "SELECT doc_id, n_words, n_hit, n_items, items_sha256, contaminated FROM judged",
+        "op8_warc": warc_zip.ORACLE,
+    }
