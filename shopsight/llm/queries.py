@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopsight.llm import common as C
-from shopsight.llm import imatch, mixing, ngram_join, quality, sharding, token_store, toxicity, warc_zip, winnowing
+from shopsight.llm import imatch, lm_scoring, mixing, ngram_join, quality, sharding, token_store, toxicity, warc_zip, winnowing
 
 
 SHARDS = [f"shard-{i:03d}" for i in range(256)]
@@ -35,6 +35,10 @@ def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(C.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scores(C.documents(spark, sf_dir))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnowing.contamination(C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("item_ids", 256).alias("items_sha256"),
@@ -57,7 +61,7 @@ def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_sharding, op2_ngram_jaccard_join, op3_toxicity, op4_document_fingerprints, op5_mixing_sources, op7_benchmark_decontamination, op8_warc,
+        op1_sharding, op2_ngram_jaccard_join, op3_toxicity, op4_document_fingerprints, op5_mixing_sources, op6_lm_scoring, op7_benchmark_decontamination, op8_warc,
         op9_quality_classifier, op10_token_id_output)}
 
 
