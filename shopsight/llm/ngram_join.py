@@ -7,10 +7,11 @@ are similar then share a rare token of both prefixes, or two frequent ones: so r
 and frequent ones in pairs (one token of extension pays for the pairs). Exact counts over all prefixes
 decide the class; the sketch only orders tokens and salts hot ones.
 
-Only links between different components matter for the classes, so the join works in two rounds.
-First each node is compared with the least node of its tokens' buckets (linear in the index). Then all pairs
-of the buckets that still hold different components are formed, thinned by the number of prefix tokens that
-similar sets must share, and verified. No pair of similar sets is lost; no candidate is capped or sampled.
+Only links between different components matter for the classes, so the join works in rounds. In the first
+rounds each node is compared with one node of each of its tokens' buckets (linear in the index). Then all
+pairs of the buckets that still hold different components are formed, thinned by parity bits (each differing
+bit is a token that only one set has) and by the number of prefix tokens that similar sets must share, and
+verified on their whole texts. No pair of similar sets is lost; no candidate is capped or sampled.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; a text of one to
 four words is one shingle. Every input row gives one row; rows that repeat a doc_id are judged by their own
@@ -29,6 +30,7 @@ from shopsight.llm.components import components
 
 COUNTERS = 1 << 18
 PAIR = 2  # tokens in a combination of the frequent class
+PARITY = 8  # longs of parity bits per set
 _STEP = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -75,26 +77,35 @@ def _need(n, percent):
 
 
 def _nodes(docs: DataFrame, size: int) -> DataFrame:
-    """Of each row doc_id, n and node; of each task also the rows of the token sketch."""
+    """Of each row doc_id, n, node and parity bits; of each task also the rows of the token sketch."""
     def run(batches):
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             n, node = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            parity = np.zeros((PARITY, batch.num_rows), np.int64)
             for first, data, offsets in C.text_chunks(batch["text"]):
                 value, rows = shingles(data, offsets, size)
                 total += np.bincount((value >> np.uint64(46)).astype(np.int64), minlength=COUNTERS)
-                at, _, count, ids = sets(value, rows)
+                at, begin, count, ids = sets(value, rows)
                 n[first + at], node[first + at] = count, ids
+                if len(at):
+                    word, bit = (value >> np.uint64(6)) % np.uint64(PARITY), np.uint64(1) << (value & np.uint64(63))
+                    for k in range(PARITY):
+                        parity[k, first + at] = np.bitwise_xor.reduceat(
+                            np.where(word == np.uint64(k), bit, np.uint64(0)), begin).view(np.int64)
             empty = pa.nulls(batch.num_rows)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch["doc_id"], "n": pa.array(n), "node": pa.array(node, mask=n == 0),
+                **{f"p{k}": pa.array(parity[k]) for k in range(PARITY)},
                 "block": empty.cast(pa.int32()), "sums": empty.cast(pa.binary())})
         rows = C.vector_rows(total)
         empty = pa.nulls(rows.num_rows).cast(pa.int64())
-        yield pa.RecordBatch.from_pydict({"doc_id": empty, "n": empty, "node": empty, "block": rows["block"],
-                                          "sums": rows["sums"]})
+        yield pa.RecordBatch.from_pydict({"doc_id": empty, "n": empty, "node": empty,
+                                          **{f"p{k}": empty for k in range(PARITY)},
+                                          "block": rows["block"], "sums": rows["sums"]})
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, block int, sums binary")
+    bits = ", ".join(f"p{k} long" for k in range(PARITY))
+    return docs.mapInArrow(run, f"doc_id long, n long, node long, {bits}, block int, sums binary")
 
 
 def _index(docs: DataFrame, sketch: np.ndarray, size: int, percent: int, frequent: int) -> DataFrame:
@@ -213,7 +224,19 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
         compare, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, frequent: int = 32) -> DataFrame:
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node and root after further links; only nodes with links are listed."""
+    if roots is None:
+        return C.stage(components(links), "roots")
+    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    more = links.join(side("u"), "u", "left").join(side("v"), "v", "left").select(
+        F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
+    merged = C.stage(components(more).select(F.col("node").alias("root"), F.col("root").alias("top")), "roots")
+    return C.stage(roots.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(
+        merged.join(roots, "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))), "roots")
+
+
+def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, frequent: int = 32, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id and class_size (rows in the component) of every row.
 
     Two texts link when 100 * shared >= percent * united shingles; component_id is the smallest doc_id
@@ -222,45 +245,60 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, freque
     docs = C.query_columns(docs, doc_id="long", text="string")
     found = C.stage(_nodes(docs, size), "shingle-sets")
     sketch = C.sum_vectors(found.where("block is not null").select("block", "sums"), COUNTERS // 64)
-    rows = found.where("block is null").select("doc_id", "n", "node")
-    nodes = C.stage(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
+    rows = found.where("block is null").drop("block", "sums")
+    bits = [f"p{k}" for k in range(PARITY)]
+    nodes = C.stage(rows.where("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), *[F.min(c).alias(c) for c in bits]), "nodes")
+    rows = rows.select("doc_id", "n", "node")
     index = C.stage(_index(docs, sketch, size, percent, frequent), "prefix-index")
 
-    least = index.groupBy("token").agg(F.min_by(F.struct("node", "n"), "node").alias("least"))
-    stars = (index.join(least, "token").where("node != least.node")
-             .groupBy(F.col("node").alias("u"), F.col("least.node").alias("v"), F.col("n"), F.col("least.n").alias("m"))
-             .agg(F.count("*").alias("shared")).where(_enough(4 * F.col("shared"), F.col("n"), F.col("m"), percent)))
-    first = C.stage(_verified(stars, nodes, docs, size, percent), "links")
-    roots = components(first)
-    placed = index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    open_index = C.stage(placed.join(mixed.select("token"), "token"), "open-index")
-
-    def pairs_by(keys: list[str], frame: DataFrame) -> DataFrame:
-        one = frame.select(*keys, *[F.col(c).alias(f"{c}_u") for c in ("node", "n", "root")])
-        two = frame.select(*keys, *[F.col(c).alias(f"{c}_v") for c in ("node", "n", "root")])
-        near = (percent * F.greatest("n_u", "n_v") <= 100 * F.least("n_u", "n_v"))
+    roots, open_index = None, index.withColumn("root", F.col("node"))
+    for turn in range(rounds):
+        pivot = open_index.groupBy("token").agg(F.min_by(
+            F.struct("node", "n", "root"), F.xxhash64("node", F.lit(turn))).alias("pivot"))
+        stars = (open_index.join(pivot, "token").where("root != pivot.root")
+                 .groupBy(F.col("node").alias("u"), F.col("pivot.node").alias("v"), F.col("n"), F.col("pivot.n").alias("m"))
+                 .agg(F.count("*").alias("shared")).where(_enough(4 * F.col("shared"), F.col("n"), F.col("m"), percent)))
+        found = _verified(stars, nodes, docs, size, percent)
+        roots = _merged(roots, found)
+        placed = index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        open_index = C.stage(placed.join(mixed.select("token"), "token"), "open-index")
+
+    open_index = open_index.join(nodes.select("node", *bits), "node")
+
+    def pairs_by(keys: list[str], frame: DataFrame, *more: str) -> DataFrame:
+        one, two = (frame.select(*keys, *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "root", *bits, *more)])
+                    for side in "uv")
+        # every differing parity bit is at least one token that only one of the sets has
+        apart = sum((F.bit_count(F.col(f"{c}_u").bitwiseXOR(F.col(f"{c}_v"))) for c in bits), F.lit(0))
+        both = F.col("n_u") + F.col("n_v")
+        near = ((percent * F.greatest("n_u", "n_v") <= 100 * F.least("n_u", "n_v"))
+                & ((100 + percent) * (both - apart) >= 2 * percent * both))
+        if more:  # of all common couples the first one stands for the pair, where both lists are there
+            first = F.expr("own_u IS NULL OR own_v IS NULL OR slice(array_intersect(own_u, own_v), 1, 2) = array(one, two)")
+            near = near & first
         return one.join(two, keys).where((F.col("node_u") > F.col("node_v")) & (F.col("root_u") != F.col("root_v")) & near)
 
     often = open_index.where("often")
+    own = often.groupBy("node").agg(F.array_sort(F.collect_list("token")).alias("own")).withColumn(
+        "own", F.when(F.size("own") <= 48, F.col("own")))  # longer lists would weigh more than the doubles they save
+    often = often.join(own, "node")
     couples = often.alias("a").join(often.alias("b"), (F.col("a.node") == F.col("b.node")) & (
         F.col("a.token") < F.col("b.token"))).select(
-        F.col("a.token").alias("one"), F.col("b.token").alias("two"), "a.node", "a.n", "a.root")
+        F.col("a.token").alias("one"), F.col("b.token").alias("two"), "a.node", "a.n", "a.root",
+        *[f"a.{c}" for c in bits], "a.own")
+    common = F.expr("CASE WHEN own_u IS NULL OR own_v IS NULL THEN 1 ELSE size(array_intersect(own_u, own_v)) * "
+                    "(size(array_intersect(own_u, own_v)) - 1) div 2 END")
     names = [F.col("node_u").alias("u"), F.col("node_v").alias("v"), F.col("n_u").alias("n"), F.col("n_v").alias("m")]
     counted = pairs_by(["token"], open_index.where("not often")).select(*names, F.lit(1).alias("rare"), F.lit(0).alias("couples")).union(
-        pairs_by(["one", "two"], couples).select(*names, F.lit(0).alias("rare"), F.lit(1).alias("couples")))
+        pairs_by(["one", "two"], couples, "own").select(*names, F.lit(0).alias("rare"), common.cast("int").alias("couples")))
     counted = counted.groupBy("u", "v", "n", "m").agg(F.sum("rare").alias("rare"), F.sum("couples").alias("couples"))
     # c couples come from (1 + sqrt(1 + 8c)) / 2 tokens; a single frequent token shows in no couple
     shared = F.col("rare") + F.round((1 + F.sqrt(1 + 8 * F.col("couples"))) / 2)
     second = _verified(counted.where(_enough(shared, F.col("n"), F.col("m"), percent)), nodes, docs, size, percent)
 
-    # the first round's roots stand for its components
-    more = second.join(roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(
-        roots.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left").select(
-        F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
-    merged = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    tops = roots.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(
-        merged.join(roots, "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root")))
+    tops = _merged(roots, second)
     joined = rows.join(tops, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = joined.where("root is not null").groupBy("root").agg(
         F.min("doc_id").alias("component_id"), F.count("*").alias("class_size"))
