@@ -74,16 +74,21 @@ class Gru:
                 back[at] += slope @ w["o"][k].T
         return out if grads is None else (out, back)
 
-    def fit(self, docs: list[np.ndarray], *, lanes: int = 96, window: int = 20, epochs: int = 2, rate: float = 0.01,
+    def fit(self, docs: list[np.ndarray], *, lanes: int = 96, window: int = 20, epochs: int = 2, least_steps: int = 250, rate: float = 0.01,
             seed: int = 4) -> Gru:
         random = np.random.default_rng(seed)
         docs = [d for d in docs if len(d)]
         if not docs:
             return self
         lanes = min(lanes, len(docs))
+        # begin at the frequencies of classes and of their words
+        counts = np.bincount(np.concatenate(docs), minlength=self.w["ob"].size).reshape(self.w["ob"].shape) + 0.1
+        self.w["cb"] = np.log(counts.sum(axis=1) / counts.sum()).astype(np.float32)
+        self.w["ob"] = np.where(self.w["ob"] < -1e3, self.w["ob"], np.log(counts / counts.sum(axis=1, keepdims=True))).astype(np.float32)
         first, second = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
         n, steps = self.hidden, 0
         per_epoch = max(1, -(-sum(map(len, docs)) // (lanes * window)))
+        epochs = max(epochs, -(-least_steps // per_epoch))
         for _ in range(epochs):
             parts = [[] for _ in range(lanes)]
             load = np.zeros(lanes, np.int64)

@@ -42,12 +42,13 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     if not len(word):
         return word, rows
     total = np.zeros(len(word), np.uint64)
-    for j in range(size):
+    for j in range(min(size, len(word))):
         total[:len(word) - j] += word[j:] * _STEP[j % 64]
         if j >= 64:
             total = C.mix(total)
     full = np.zeros(len(word), bool)
-    full[:len(word) - size + 1] = rows[size - 1:] == rows[:len(word) - size + 1]
+    if len(word) >= size:
+        full[:len(word) - size + 1] = rows[size - 1:] == rows[:len(word) - size + 1]
     begin = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
     n = np.diff(np.r_[begin, len(rows)])
     short = begin[n < size]

@@ -113,9 +113,9 @@ def write_ids(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, block_id
                 return block
             for batch in batches:
                 texts, names = batch["text"].fill_null("").to_pylist(), batch["doc_id"].to_pylist()
-                for first in range(0, len(texts), 200):
-                    ids, lengths = encoder.encode(texts[first:first + 200], end_id)
-                    held.append((names[first:first + 200], ids, lengths))
+                for first in range(0, len(texts), 50):
+                    ids, lengths = encoder.encode(texts[first:first + 50], end_id)
+                    held.append((names[first:first + 50], ids, lengths))
                     waiting += len(ids)
                     if waiting >= block_ids:
                         yield close()

@@ -70,7 +70,7 @@ def directory(source, size: int) -> dict[str, tuple[int, int]]:
     tail_at = max(0, size - 65_557 - 20)
     tail = source.read_at(size - tail_at, tail_at)
     at = tail.rfind(b"PK\x05\x06")
-    while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+    while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
         at = tail.rfind(b"PK\x05\x06", 0, at)
     if at < 0:
         raise ValueError("no end of a central directory")
