@@ -38,16 +38,9 @@ def support_bands(support: DataFrame) -> DataFrame:
     return support.groupBy(band.alias("band")).agg(F.count("*").alias("n_articles"))
 
 
-# Supports add up to the mean number of articles per receipt, so fewer than (mean / threshold)
-# articles pass a threshold. From this one on that is a short list, below it the join shuffles.
-_BROADCAST_FROM = 0.0001
-
-
 def high_support_articles(lines: DataFrame, min_support: float = 0.001) -> DataFrame:
-    """Articles above the support threshold, marked for broadcast where the threshold bounds them."""
-    kept = article_support(lines).where(F.col("support") > min_support).select(
-        F.col("ID_ARTICOLO").alias("item"))
-    return F.broadcast(kept) if min_support >= _BROADCAST_FROM else kept
+    """Articles above the support threshold; whether a join broadcasts them is left to their measured size."""
+    return article_support(lines).where(F.col("support") > min_support).select(F.col("ID_ARTICOLO").alias("item"))
 
 
 def high_support_lines(lines: DataFrame, min_support: float = 0.001) -> DataFrame:

@@ -43,17 +43,18 @@ def binary_metrics(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score, from the highest down.
 
-    ``area`` is the trapezoid between a point and the one before; its sum is the AUC.
+    ``area`` is the trapezoid between a point and the one before; its sum is the AUC. Rows without a
+    score are left out; a rate without rows of its class is null.
     """
     positive = (F.col(label) == 1).cast("long")
-    counts = df.groupBy(F.col(score).alias("threshold")).agg(
+    counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(
         F.sum(positive).alias("p"), F.sum(1 - positive).alias("q"))
     totals = one_value(counts, F.struct(F.sum("p").alias("p"), F.sum("q").alias("q")))
     running = running_totals(counts, [F.col("threshold").desc()], {"tp": F.col("p"), "fp": F.col("q")})
     area = F.col("q") * (F.col("tp") * 2 - F.col("p")) / 2
     return running.withColumn("t", totals).select(
-        "threshold", (F.col("fp") / F.col("t.q")).alias("fpr"), (F.col("tp") / F.col("t.p")).alias("tpr"),
-        (area / (F.col("t.p") * F.col("t.q"))).alias("area"))
+        "threshold", F.try_divide("fp", "t.q").alias("fpr"), F.try_divide("tp", "t.p").alias("tpr"),
+        F.try_divide(area, F.col("t.p") * F.col("t.q")).alias("area"))
 
 
 def roc_auc(curve: DataFrame) -> DataFrame:

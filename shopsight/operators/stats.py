@@ -74,9 +74,13 @@ def vif(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> Dat
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
-    """Equal-width bins between minimum and maximum, the last one closed; empty bins are kept."""
+    """Equal-width bins between minimum and maximum, the last one closed; empty bins are kept.
+
+    A column with one value gets a range of half a unit to either side.
+    """
     value = F.col(column).cast("double")
-    span = one_value(df, F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")))
+    half = F.when(F.min(value) == F.max(value), 0.5).otherwise(0.0)
+    span = one_value(df, F.struct((F.min(value) - half).alias("lo"), (F.max(value) + half).alias("hi")))
     binned = df.where(F.col(column).isNotNull()).select(value.alias("v"), span.alias("s")).groupBy(
         F.least(F.floor((F.col("v") - F.col("s.lo")) * bins / (F.col("s.hi") - F.col("s.lo"))),
                 F.lit(bins - 1)).alias("bin")
@@ -99,7 +103,9 @@ def density(df: DataFrame, column: str, points: int = 20, bandwidth: float | Non
     facts = one_value(df, F.struct(
         F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n"),
         F.stddev_samp(value).alias("std")))
-    width = F.lit(float(bandwidth)) if bandwidth else F.col("f.std") * F.pow(F.col("f.n"), F.lit(-0.2))
+    width = F.lit(float(bandwidth)) if bandwidth else F.when(
+        F.col("f.std") > 0, F.col("f.std") * F.pow(F.col("f.n"), F.lit(-0.2))
+    ).otherwise(F.raise_error(F.lit("values without spread need a bandwidth")).cast("double"))
     counts = df.where(F.col(column).isNotNull()).groupBy(value.alias("v")).agg(F.count("*").alias("c"))
     spread = counts.withColumn("f", facts).withColumn("bw", width).withColumn(
         "point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))

@@ -215,7 +215,7 @@ _TABLES: dict[str, str] = {
     "chosen": "SELECT ID_ARTICOLO AS article FROM best_stats ORDER BY NUMERO_ACQUISTI DESC, ID_ARTICOLO LIMIT 1",
     "bundle": """
         SELECT DISTINCT unnest(list_concat(a_items, c_items)) AS ID_ARTICOLO
-        FROM (SELECT * FROM rules ORDER BY support DESC, antecedents, consequents LIMIT 1)""",
+        FROM (SELECT * FROM rules ORDER BY lift DESC, antecedents, consequents LIMIT 1)""",
     "bundle_tickets": """
         SELECT ID_SCONTRINO, count(DISTINCT ID_ARTICOLO) AS NUMERO_ARTICOLI
         FROM coarse WHERE ID_ARTICOLO IN (SELECT ID_ARTICOLO FROM bundle)

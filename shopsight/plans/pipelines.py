@@ -139,8 +139,8 @@ def rule_article_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The articles of the best-supported rule."""
-    return basket.rule_articles(top_rules(spark, sf_dir, 1, "support"))
+    """The articles of the rule with the highest lift."""
+    return basket.rule_articles(top_rules(spark, sf_dir, 1, "lift"))
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ def scratch_dir(spark: SparkSession) -> str:
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="shopsight-"))
     return context.getCheckpointDir()

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from shopsight.plans import oracle, queries
 from tests.oracle_check import connect, difference
 
 ROWS_ONLY = {"propensity", "confusion", "propensity_deciles", "model_compare", "cv_accuracy", "forest_sweep",
@@ -20,7 +21,7 @@ def test_same_as_sql(spark, con, sf_dir, key):
 
 
 def test_keys():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
+    assert set(queries.queries()) - set(oracle.oracle_sql()) == ROWS_ONLY
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
