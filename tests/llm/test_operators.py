@@ -430,7 +430,7 @@ def test_ids_of_documents(spark, texts):
     rows = sorted(texts.items())
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     blocks = token_store.write_ids(frame, TOKENIZER, block_ids=5000)
-    assert blocks.count() > 5
+    assert blocks.count() > 1
     assert sorted(map(tuple, token_store.read_ids(blocks).collect())) == expected_ids(rows)
 
 
