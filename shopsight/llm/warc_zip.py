@@ -144,7 +144,7 @@ def write_archives(pages: DataFrame, *, least_bytes: int = 100) -> DataFrame:
 
 
 def read_archives(archives: DataFrame, *, range_bytes: int = 4 << 20) -> DataFrame:
-    """The records of all archives (column path), see RECORDS; digests of payloads are checked."""
+    """The records of all archives (columns path and records), see RECORDS; digests of payloads are checked."""
     def locate(batches):
         for batch in batches:
             for uri in batch["path"].to_pylist():
@@ -188,7 +188,9 @@ def read_archives(archives: DataFrame, *, range_bytes: int = 4 << 20) -> DataFra
                 yield pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, k, c in zip(names, kinds, zip(*out))})
 
     ranges = archives.select("path").repartition("path").mapInArrow(locate, "path string, begin long, sizes array<long>")
-    return ranges.repartition("path", "begin").mapInArrow(read, RECORDS)
+    # the rows are short but the work behind each is not, so the number of tasks follows the records
+    tasks = max(1, (archives.agg(F.sum("records")).first()[0] or 0) // 1000)
+    return ranges.repartition(tasks, "path", "begin").mapInArrow(read, RECORDS)
 
 
 ORACLE = """
