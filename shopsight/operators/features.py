@@ -6,7 +6,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +20,6 @@ PROFILE_COLUMNS = ["LAST_TYP_CLI_FID", "LAST_STATUS_FID", "FIRST_ID_NEG", "NUM_F
 NUMERIC_FEATURES = ["FIRST_ID_NEG", "W_PHONE", "TYP_CLI_ACCOUNT"]
 CATEGORY_FEATURES = ["LAST_COD_FID", "EMAIL_PROVIDER", "TYP_JOB"]
 
-MAX_LEVELS = 10_000
-
 
 def feature_table(loyalty: DataFrame, accounts: DataFrame, labels: DataFrame,
                   addresses: DataFrame | None = None, privacy: DataFrame | None = None) -> DataFrame:
@@ -38,21 +37,18 @@ def feature_table(loyalty: DataFrame, accounts: DataFrame, labels: DataFrame,
 
 
 def category_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
-    """The sorted levels of each column, in one job.
-
-    Every level becomes a column later on, so more than ``MAX_LEVELS`` are refused rather than
-    collected.
-    """
+    """The sorted levels of each column, in one job; null is no level."""
     pairs = F.explode(F.array(*[
         F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("level")) for c in columns])).alias("p")
-    rows = df.select(pairs).select("p.*").where("level is not null").distinct().limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} levels: cap the categories first")
+    rows = df.select(pairs).select("p.*").where("level is not null").distinct().collect()
     return {c: sorted(r.level for r in rows if r.name == c) for c in columns}
 
 
 def dummies(df: DataFrame, columns: Sequence[str], levels: dict[str, list] | None = None) -> DataFrame:
-    """0/1 columns per level, the first level of each column left out."""
+    """0/1 columns per level, the first level of each column left out.
+
+    The levels are the schema of the result; where they are many, :func:`design` keeps them sparse.
+    """
     levels = levels or category_levels(df, columns)
     flags = [_flag(c, level).alias(f"{c}_{level}") for c in columns for level in levels[c][1:]]
     return df.select(*[c for c in df.columns if c not in columns], *flags)
@@ -74,7 +70,7 @@ def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Design:
-    """Model input: ``rows`` with ID_CLI, label and an array ``x``; ``names`` of its entries."""
+    """Model input: ``rows`` with ID_CLI, label and a vector ``x``; ``names`` of its entries."""
 
     rows: DataFrame
     names: list[str]
@@ -82,36 +78,49 @@ class Design:
 
 def design(table: DataFrame, numeric: Sequence[str] = NUMERIC_FEATURES,
            categories: Sequence[str] = CATEGORY_FEATURES) -> Design:
-    """Numbers as they are, categories as dummies; ids stay outside the features."""
-    levels = category_levels(table, categories)
-    flags = [(f"{c}_{level}", _flag(c, level)) for c in categories for level in levels[c][1:]]
-    entries = [F.col(c).cast("double") for c in numeric] + [flag.cast("double") for _, flag in flags]
-    rows = table.select("ID_CLI", F.col("CHURN").cast("double").alias("label"), F.array(*entries).alias("x"))
-    return Design(rows, [*numeric, *[name for name, _ in flags]])
+    """Numbers as they are, categories one-hot without their first level; ids stay outside the features.
+
+    The vectors are sparse, so a row stays small however many levels there are. A missing category
+    sets no flag, as the first level does.
+    """
+    typed = table.select(
+        "ID_CLI", F.col("CHURN").cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in numeric],
+        *[F.col(c).cast("string").alias(c) for c in categories])
+    places, flags = ([f"_{kind}_{c}" for c in categories] for kind in ("place", "flags"))
+    indexer = StringIndexer(inputCols=list(categories), outputCols=places, stringOrderType="alphabetDesc",
+                            handleInvalid="keep").fit(typed)
+    # places run from the last level to the first; the encoder drops the last place
+    placed = indexer.transform(typed).withColumns({
+        p: F.least(p, F.lit(max(0.0, len(levels) - 1.0))) for p, levels in zip(places, indexer.labelsArray)})
+    encoded = OneHotEncoder(inputCols=places, outputCols=flags).fit(placed).transform(placed)
+    rows = VectorAssembler(inputCols=[*numeric, *flags], outputCol="x").transform(encoded)
+    names = [f"{c}_{level}" for c, levels in zip(categories, indexer.labelsArray) for level in levels[:-1]]
+    return Design(rows.select("ID_CLI", "label", "x"), [*numeric, *names])
 
 
 @dataclass(frozen=True)
 class Scaler:
-    """Row count, means and population deviations of the training rows."""
+    """Row count and population deviations of the training rows.
+
+    Rows are divided by the deviations but not centred, so sparse vectors stay sparse. No classifier
+    sees the difference: each has a free intercept, splits by order, or measures distances.
+    """
 
     n: int
-    mean: list[float]
     std: list[float]
 
     @staticmethod
     def fit(train: DataFrame) -> Scaler:
         """One aggregate over the training rows; its single row is as wide as the features."""
-        summary = train.select(Summarizer.metrics("count", "mean", "variance").summary(
-            array_to_vector("x")).alias("s")).select("s.*").first()
+        summary = train.select(Summarizer.metrics("count", "variance").summary(
+            F.col("x")).alias("s")).select("s.*").first()
         n = int(summary["count"])
         spread = np.sqrt(summary["variance"].toArray() * (n - 1) / n)
-        return Scaler(n, summary["mean"].toArray().tolist(), np.where(spread > 0, spread, 1.0).tolist())
+        return Scaler(n, np.where(spread > 0, spread, 1.0).tolist())
 
     def apply(self, df: DataFrame) -> DataFrame:
-        """The numbers go in as array constants, so every fit shares one compiled projection."""
-        centred = F.zip_with("x", F.lit(self.mean), lambda x, m: x - m)
-        scaled = F.zip_with(centred, F.lit(self.std), lambda x, s: x / s)
-        return df.withColumn("x", scaled).withColumn("features", array_to_vector("x"))
+        factors = Vectors.dense((1.0 / np.array(self.std)).tolist())
+        return ElementwiseProduct(scalingVec=factors, inputCol="x", outputCol="features").transform(df)
 
 
 def _shuffled(label: str, key: str, seed: int) -> list[Column]:

@@ -1,7 +1,7 @@
 """Churn classifiers, cross-validation, sweeps and the propensity table.
 
-A classifier is a function ``fit(train, n) -> predict``. Training rows have label, ``x`` and
-``features``; ``predict`` adds prediction and score to a frame of the same form.
+A classifier is a function ``fit(train, n) -> predict``. Training rows have ID_CLI, label and
+the scaled vector ``features``; ``predict`` adds prediction and score to a frame of the same form.
 """
 
 from __future__ import annotations
@@ -72,7 +72,7 @@ def linear_svm(c: float = 1.0) -> Fit:
 def kernel_svm(c: float = 1.0, components: int = 200, seed: int = 0) -> Fit:
     """Radial-kernel machine as random Fourier features and a linear machine; approximate by design."""
     def fit(train: DataFrame, n: int) -> Predict:
-        width = len(train.select("x").first()["x"])
+        width = train.select("features").first()["features"].size
         fourier = _fourier_map(width, components, seed)
         model = LinearSVC(
             regParam=1.0 / (c * n), standardization=False, maxIter=100, tol=_SVM_TOLERANCE).fit(fourier(train))
@@ -92,15 +92,16 @@ def _fourier_map(width: int, components: int, seed: int) -> Predict:
             waves = np.cos(np.stack(x.to_numpy()) @ weights + shift) * np.sqrt(2.0 / components) if len(x) else []
             yield pd.Series(list(waves), dtype=object)
 
-    return lambda df: df.withColumn("features", array_to_vector(project("x")))
+    return lambda df: df.withColumn("features", array_to_vector(project(vector_to_array("features"))))
 
 
 def knn(k: int = 5) -> Fit:
     def fit(train: DataFrame, n: int) -> Predict:
-        known = train.select(F.col("ID_CLI").alias("train_id"), "x", "label")
+        point = vector_to_array("features").alias("x")
+        known = train.select(F.col("ID_CLI").alias("train_id"), point, "label")
 
         def predict(df: DataFrame) -> DataFrame:
-            near = nearest(df.select(F.col("ID_CLI").alias("query_id"), "x"), known, k)
+            near = nearest(df.select(F.col("ID_CLI").alias("query_id"), point), known, k)
             voted = votes(near, [k]).select(
                 F.col("query_id").alias("ID_CLI"), F.col("prediction").cast("double"), "score")
             return df.join(voted, "ID_CLI")
@@ -155,18 +156,23 @@ def second_round() -> dict[str, Fit]:
 _LOGISTIC_TOLERANCE = 1e-4
 _SVM_TOLERANCE = 1e-3
 
-# An optimiser step is one job over the training rows, so tasks with few rows only add overhead.
-_ROWS_PER_TASK = 100_000
+TRAINING_PARTITIONS = "spark.shopsight.trainingPartitions"
 
 
-def _packed(df: DataFrame, n: int) -> DataFrame:
-    return df.coalesce(max(1, -(-n // _ROWS_PER_TASK)))
+def training_layout(df: DataFrame, key: str = "ID_CLI") -> DataFrame:
+    """Rows dealt out and ordered by key over a number of partitions that only its setting names (8 if unset).
+
+    Bagging draws per partition, so the trees depend on the layout; this one is the same for any
+    input order and any number of shuffle partitions. A large cluster sets more partitions.
+    """
+    parts = int(df.sparkSession.conf.get(TRAINING_PARTITIONS, "8"))
+    return df.repartition(parts, key).sortWithinPartitions(key)
 
 
 def _scaled_fit(fit: Fit, train: DataFrame, test: DataFrame) -> DataFrame:
     """Scale by the training rows, fit, and predict the test rows."""
     scaler = Scaler.fit(train)
-    return fit(_packed(scaler.apply(train), scaler.n), scaler.n)(scaler.apply(test))
+    return fit(scaler.apply(train), scaler.n)(scaler.apply(test))
 
 
 def _score_all(spark: SparkSession, tasks: Sequence[tuple[str, int, Fit, DataFrame, DataFrame]],
@@ -195,7 +201,7 @@ def cross_validate(rows: DataFrame, classifiers: dict[str, Fit], folds: int = 10
 
     The scaler is fitted inside every fold.
     """
-    rows = _packed(rows, rows.count()).persist()
+    rows = training_layout(rows).persist()
     tasks = [(name, fold, fit, rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold))
              for name, fit in classifiers.items() for fold in range(folds)]
     scored = _score_all(rows.sparkSession, tasks, parallelism)
@@ -217,6 +223,7 @@ def cv_summary(scores: DataFrame) -> DataFrame:
 
 def holdout(train: DataFrame, test: DataFrame, classifiers: dict[str, Fit], parallelism: int = 8) -> DataFrame:
     """Test metrics per model, best precision first."""
+    train = training_layout(train)
     tasks = [(name, 0, fit, train, test) for name, fit in classifiers.items()]
     scored = _score_all(train.sparkSession, tasks, parallelism)
     return binary_metrics(confusion(scored, by=["model"]), ["model"]).select(
@@ -239,8 +246,9 @@ def forest_sweep(train: DataFrame, test: DataFrame, trees: int = 99, max_depth:
     Every tree adds one probability column in a single projection; the running sum over the trees
     is taken inside the row.
     """
+    train = training_layout(train)
     scaler = Scaler.fit(train)
-    model = _forest(trees, max_depth, seed, "gini").fit(_packed(scaler.apply(train), scaler.n))
+    model = _forest(trees, max_depth, seed, "gini").fit(scaler.apply(train))
     scored = scaler.apply(test)
     for i, tree in enumerate(model.trees):
         scored = tree.setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"p{i}").transform(scored)
@@ -256,7 +264,7 @@ def forest_sweep(train: DataFrame, test: DataFrame, trees: int = 99, max_depth:
 
 def propensity(train: DataFrame, test: DataFrame, c: float = 1.0) -> DataFrame:
     """Predictions and churn probability in percent for the held-out customers."""
-    scored = _scaled_fit(logistic(c), train, test)
+    scored = _scaled_fit(logistic(c), training_layout(train), test)
     return scored.select(
         "ID_CLI", F.col("label").cast("int").alias("CHURN"), F.col("prediction").cast("int").alias("predictions"),
         F.bround(F.col("score") * 100, 2).alias("propensity_to_churn"))
@@ -269,7 +277,8 @@ def propensity_deciles(scored: DataFrame) -> DataFrame:
 
 def coefficients(train: DataFrame, names: Sequence[str], c: float = 1.0) -> DataFrame:
     """Logistic coefficients by feature name, largest first: one row per feature."""
+    train = training_layout(train)
     scaler = Scaler.fit(train)
-    model = fit_logistic(_packed(scaler.apply(train), scaler.n), scaler.n, c)
+    model = fit_logistic(scaler.apply(train), scaler.n, c)
     rows = [(name, float(value)) for name, value in zip(names, model.coefficients)]
     return train.sparkSession.createDataFrame(rows, "feature string, coef double").orderBy(F.desc("coef"), "feature")

@@ -52,10 +52,11 @@ _TABLES: dict[str, str] = {
         FROM conflicts WHERE n_full > 1 OR n_lone = 1""",
     "cutoff": "SELECT cast(max(DATA) - 365 AS DATE) AS day FROM lines",
     "loyalty": """
-        SELECT o_custkey AS ID_CLI, o_orderkey AS ID_FID, o_orderkey % 100 AS ID_NEG, o_orderpriority AS COD_FID,
+        SELECT CASE WHEN o_custkey % 13 = 0 THEN -o_custkey ELSE o_custkey END AS ID_CLI, o_orderkey AS ID_FID,
+               o_orderkey % 100 AS ID_NEG, o_orderpriority AS COD_FID,
                o_orderkey % 3 AS TYP_CLI_FID, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS STATUS_FID,
                cast(date_trunc('year', o_orderdate) AS TIMESTAMP) AS DT_ACTIVE
-        FROM orders WHERE o_orderkey % 4 = 0""",
+        FROM orders""",
     "accounts": """
         SELECT c_custkey AS ID_CLI,
                CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE 'prov_' || c_nationkey END AS EMAIL_PROVIDER,
@@ -64,12 +65,10 @@ _TABLES: dict[str, str] = {
                CASE WHEN c_acctbal < 0 THEN NULL ELSE c_mktsegment END AS TYP_JOB
         FROM customer""",
     "addresses": """
-        SELECT c_custkey AS ID_ADDRESS,
+        SELECT CASE WHEN c_custkey % 10 = 0 THEN -c_custkey ELSE c_custkey END AS ID_ADDRESS,
                CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE cast(20100 + c_nationkey AS VARCHAR) END AS CAP
-        FROM customer WHERE c_custkey % 10 <> 0
-        UNION ALL
-        SELECT c_custkey, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE cast(20100 + c_nationkey AS VARCHAR) END
-        FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey % 5 = 0""",
+        FROM customer CROSS JOIN (VALUES (0), (1)) AS copies(copy)
+        WHERE copy = 0 OR c_custkey % 5 = 0""",
     "privacy": """
         SELECT c_custkey AS ID_CLI, c_custkey % 2 AS FLAG_PRIVACY_1,
                CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS FLAG_PRIVACY_2,
@@ -363,6 +362,8 @@ _ORACLE: dict[str, str] = {
     "loyalty_first": f"""
         SELECT ID_CLI, ID_FID, ID_NEG AS FIRST_ID_NEG, strftime(DT_ACTIVE, '{_TIME}') AS FIRST_DT_ACTIVE
         FROM ranked_cards WHERE from_first = 1""",
+    "first_per_key": f"""
+        SELECT ID_CLI, strftime(DT_ACTIVE, '{_TIME}') AS DT_ACTIVE, ID_FID FROM ranked_cards WHERE from_first = 1""",
     "loyalty_last": f"""
         SELECT ID_CLI, ID_FID, COD_FID AS LAST_COD_FID, TYP_CLI_FID AS LAST_TYP_CLI_FID,
                STATUS_FID AS LAST_STATUS_FID, strftime(DT_ACTIVE, '{_TIME}') AS LAST_DT_ACTIVE
@@ -378,10 +379,13 @@ _ORACLE: dict[str, str] = {
         "COD_REPARTO": "int", "DIREZIONE": "int", "IMPORTO_LORDO": "decimal(18,2)", "SCONTO": "decimal(18,2)",
         "DATETIME": "timestamp_ntz", "ORA": "int", "DATA": "date", "IMPORTO_NETTO": "decimal(18,2)"}),
     "receipt_lookup": f"""
-        SELECT {_SALE}, {_MONEY}, {_time('DATETIME')} FROM transactions
-        WHERE (ID_SCONTRINO, ID_CLI, ID_ARTICOLO) IN (
-            SELECT (ID_SCONTRINO, ID_CLI, ID_ARTICOLO) FROM transactions
-            ORDER BY IMPORTO_LORDO DESC, ID_SCONTRINO, ID_CLI, ID_ARTICOLO LIMIT 1)""",
+        SELECT {_SALE}, {_MONEY}, {_time('DATETIME')}
+        FROM transactions JOIN (
+            SELECT ID_SCONTRINO, ID_CLI, ID_ARTICOLO FROM transactions
+            ORDER BY IMPORTO_LORDO DESC, ID_SCONTRINO, ID_CLI, ID_ARTICOLO LIMIT 1) AS dearest
+        USING (ID_SCONTRINO, ID_CLI, ID_ARTICOLO)""",
+    "zero_net_rows": f"""
+        SELECT {_SALE}, ORA, {_MONEY_NET}, {_time('DATETIME')}, {_day('DATA')} FROM lines WHERE IMPORTO_NETTO = 0""",
     "zero_net_audit": "SELECT count(*) AS n_rows, count(*) FILTER (IMPORTO_NETTO = 0) AS n_zero_net FROM net",
     "dup_report": " UNION ALL ".join([
         _beyond_first("transactions", f"{_SALE}, DATETIME, IMPORTO_LORDO, SCONTO", "rows"),
@@ -491,6 +495,7 @@ _ORACLE: dict[str, str] = {
                count(*) AS n_articles
         FROM support GROUP BY 1""",
     "high_support_tx": f"SELECT {_BOUGHT} FROM high",
+    "outside_department": f"SELECT {_BOUGHT} FROM bought WHERE COD_REPARTO <> 3",
     "box_stats": """
         WITH q AS (SELECT REPARTO, count(*) AS n, quantile_cont(IMPORTO_MEDIO, 0.25) AS q1,
                           quantile_cont(IMPORTO_MEDIO, 0.5) AS median, quantile_cont(IMPORTO_MEDIO, 0.75) AS q3
@@ -520,6 +525,8 @@ _ORACLE: dict[str, str] = {
         SELECT * EXCLUDE (a_items, c_items) REPLACE (round(leverage, 9) AS leverage, round(conviction, 9) AS conviction)
         FROM rules""",
     "rule_counts": "SELECT count(*) AS n_rules, count(*) FILTER (lift >= 1) AS n_lift_from_1 FROM rules",
+    "strong_rules": """
+        SELECT antecedents, consequents, support, confidence, lift FROM rules WHERE support > 0.002 AND lift >= 1""",
     "redundant_rules": """
         SELECT antecedents, consequents, confidence FROM rules
         QUALIFY row_number() OVER (PARTITION BY consequents, confidence ORDER BY antecedents) > 1""",

@@ -123,6 +123,12 @@ def loyalty_last(spark, sf_dir):
     return cleaning.last_card(retail.loyalty(spark, sf_dir))
 
 
+@query
+def first_per_key(spark, sf_dir):
+    cards = retail.loyalty(spark, sf_dir).select("ID_CLI", "DT_ACTIVE", "ID_FID")
+    return duplicates.first_per_key(cards, "ID_CLI", ["DT_ACTIVE", "ID_FID"])
+
+
 @query
 def loyalty_clean(spark, sf_dir):
     return P.clean_loyalty(spark, sf_dir)
@@ -159,6 +165,11 @@ def zero_net_audit(spark, sf_dir):
         cleaning.with_net(retail.transactions(spark, sf_dir))))
 
 
+@query
+def zero_net_rows(spark, sf_dir):
+    return cleaning.zero_net_lines(P.clean_lines(spark, sf_dir))
+
+
 @query
 def dup_report(spark, sf_dir):
     tables = {
@@ -395,6 +406,11 @@ def high_support_tx(spark, sf_dir):
     return basket.high_support_lines(P.purchase_lines(spark, sf_dir), P.MIN_SUPPORT)
 
 
+@query
+def outside_department(spark, sf_dir):
+    return basket.outside_department(P.purchase_lines(spark, sf_dir))
+
+
 @query
 def box_stats(spark, sf_dir):
     return _rounded(stats.box_stats(P.article_profile(spark, sf_dir), "REPARTO", "IMPORTO_MEDIO"),
@@ -433,6 +449,12 @@ def rule_counts(spark, sf_dir):
     return basket.rule_counts(P.rules(spark, sf_dir))
 
 
+@query
+def strong_rules(spark, sf_dir):
+    strong = basket.filter_rules(P.rules(spark, sf_dir), above_support=0.002, min_lift=1)
+    return strong.select("antecedents", "consequents", "support", "confidence", "lift")
+
+
 @query
 def redundant_rules(spark, sf_dir):
     return basket.redundant_rules(P.rules(spark, sf_dir)).select("antecedents", "consequents", "confidence")

@@ -54,16 +54,6 @@ def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows over all cores if the scan has fewer pieces than there are cores.
-
-    A small file, or one with few large row groups, would leave most cores idle. A large input has
-    far more pieces than cores and is left alone, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Parquet sink, the default between pipeline stages because it keeps the types."""
     df.write.mode(mode).parquet(path)

@@ -2,7 +2,10 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shopsight.operators import evaluate, features, models, neighbours, stats
 from shopsight.plans import pipelines
@@ -18,10 +21,33 @@ def test_standardise_uses_the_population_deviation(spark):
     rows = features.standardise(df, ["a", "b"]).orderBy("a").collect()
     assert [r.a for r in rows] == pytest.approx([-1.2247448714, 0, 1.2247448714])
     assert [r.b for r in rows] == [0, 0, 0]
-    scaler = features.Scaler.fit(df.select(F.array("a", "b").alias("x")))
+    scaler = features.Scaler.fit(df.select(array_to_vector(F.array("a", "b")).alias("x")))
     assert scaler.std == pytest.approx([np.std([1, 2, 3]), 1.0])
 
 
+def test_design_has_no_limit_of_levels(spark):
+    df = spark.range(20_000).selectExpr("id as ID_CLI", "cast(id % 2 as int) as CHURN", "id as v",
+                                        "if(id = 7, null, concat('level_', id)) as c")
+    plan = features.design(df, ["v"], ["c"])
+    assert len(plan.names) == 1 + 19_998 and "c_level_0" not in plan.names
+    rows = {r.ID_CLI: r.x for r in plan.rows.where("ID_CLI in (0, 7, 19)").collect()}
+    assert [rows[i].numNonzeros() for i in (0, 7, 19)] == [0, 1, 2]
+    assert rows[19].size == len(plan.names) and rows[19][plan.names.index("c_level_19")] == 1
+
+
+def test_trees_do_not_depend_on_the_shuffle(spark):
+    rows = [(i, float(i % 3 == 0), Vectors.dense([float(i % 7), float(i * 37 % 101)])) for i in range(600)]
+    df = spark.createDataFrame(rows, T.StructType([
+        T.StructField("ID_CLI", T.LongType()), T.StructField("label", T.DoubleType()), T.StructField("x", VectorUDT())]))
+    before, scores = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for parts in ("4", "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        found = models._scaled_fit(models.random_forest(10, 5), models.training_layout(df.repartition(int(parts))), df)
+        scores.append({r.ID_CLI: r.score for r in found.select("ID_CLI", "score").collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert scores[0] == scores[1]
+
+
 def test_split_is_exact_stratified_and_repeatable(spark):
     df = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1003)], "ID_CLI long, label int")
     first = features.stratified_split(df)
