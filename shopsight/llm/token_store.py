@@ -112,9 +112,9 @@ def write_ids(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, block_id
                 held, waiting, offset = [], 0, offset + len(block)
                 return block
             for batch in batches:
-                texts, names = batch["text"].fill_null("").to_pylist(), batch["doc_id"].to_pylist()
-                for first in range(0, len(texts), 50):
-                    ids, lengths = encoder.encode(texts[first:first + 50], end_id)
+                texts, names = batch["text"].fill_null(""), batch["doc_id"].to_pylist()
+                for first in range(0, len(texts), 50):  # only these texts are Python strings at a time
+                    ids, lengths = encoder.encode(texts.slice(first, 50).to_pylist(), end_id)
                     held.append((names[first:first + 50], ids, lengths))
                     waiting += len(ids)
                     if waiting >= block_ids:
@@ -130,6 +130,8 @@ def write_ids(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, block_id
             yield head
             yield from chunks
         files.write(uri, all_chunks())
+        del encoder
+        C.release_memory()
         yield pa.RecordBatch.from_pydict(dict(zip(("path", "offset", "length", "n_ids", "n_docs"), map(list, zip(*rows)))))
 
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
