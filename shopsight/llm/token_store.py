@@ -6,8 +6,9 @@ documents: a header, the doc_ids and lengths (deflated), and the ids coded by :m
 from an empty model and carries checksums, so any block can be read alone. Files get fresh names and only
 those that a finished task reports are read, so a task that runs twice leaves a file that nobody reads.
 
-Texts are split at ASCII white space before the tokenizer sees them (it drops white space and joins nothing
-across it), and words met before come from a bounded cache of the process.
+Texts are split before the tokenizer sees them (at ASCII white space, which it drops and joins nothing across;
+Latin-1 texts also between letters, digits and signs, as its own rule does), and words met before come from a
+bounded cache of the process.
 
 Defined results: null texts are empty; every document ends with ``end_id``, so an empty one has that id
 alone; an empty table writes no file and reads back no row.
@@ -16,9 +17,11 @@ alone; an empty table writes no file and reads back no row.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +35,29 @@ VOCABULARY = 49_408
 _BLOCK = "<4sIII"  # magic, documents, bytes of the deflated table, bytes of coded ids
 MAGIC = b"TOK1"
 _WORDS = 400_000  # words that a process keeps
+_LATIN = re.compile("[\\x00-\\xff]*").fullmatch
+_LETTERS, _DIGITS, _BLANKS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"  # lower-cased Latin-1
+_PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_DIGITS}]|[^{_BLANKS}{_LETTERS}{_DIGITS}]+").findall
 
 
 class Encoder:
-    """The tokenizers library with a bounded cache of words."""
+    """The tokenizers library with a bounded cache of words.
+
+    Latin-1 texts are cut where the vocabulary's own pre-tokenizer cuts them, so that the library sees each
+    piece once, lower-cased, in one call for all new pieces. Other texts are cut at white space only.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.pieces = Tokenizer(self.tokenizer.model)
+        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(),
+            pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)])
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -49,38 +65,57 @@ class Encoder:
         self.pool, self.starts, self.lengths = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.used = 0
 
-    def _learn(self, words: list[str]) -> None:
+    def _ids(self, words: list[str], whole: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and the number of ids of each."""
+        if whole:
+            ids = np.array(self.pieces.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.last[ids])
+            if len(ends) == len(words):  # every piece ends with the one token that ends it
+                return ids, np.diff(ends, prepend=-1)
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        first, n = len(self.places), int(lengths.sum())
+        return np.fromiter((i for ids in found for i in ids), np.int32, int(lengths.sum())), lengths
+
+    def _learn(self, words: list[str], whole: bool) -> None:
+        if not words:
+            return
+        found, lengths = self._ids(words, whole)
+        first, n = len(self.places), len(found)
         while self.used + n > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while first + len(words) > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        self.pool[self.used:self.used + n] = np.fromiter((i for ids in found for i in ids), np.int32, n)
+        self.pool[self.used:self.used + n] = found
         self.starts[first:first + len(words)] = self.used + np.cumsum(lengths) - lengths
         self.lengths[first:first + len(words)] = lengths
         self.used += n
         self.places.update(zip(words, range(first, first + len(words))))
 
+    def _new(self, split: list[list[str]]) -> list[str]:
+        return list(filterfalse(self.places.__contains__, dict.fromkeys(chain.from_iterable(split))))
+
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and the number of ids of each."""
-        split = [text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") for text in texts]
-        new = list(dict.fromkeys(w for words in split for w in words if w not in self.places))
+        plain = [_LATIN(text) is not None and "<|" not in text for text in texts]
+        split = [_PIECES(text.lower()) if easy else
+                 text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")
+                 for text, easy in zip(texts, plain)]
+        pieces, others = ([words for words, easy in zip(split, plain) if easy == kind] for kind in (True, False))
+        new = self._new(pieces)
         if len(self.places) + len(new) > _WORDS:
             self.forget()
-            new = list(dict.fromkeys(w for words in split for w in words))
-        if new:
-            self._learn(new)
+            new = self._new(pieces)
+        self._learn(new, True)
+        self._learn(self._new(others), False)
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        places = np.fromiter((self.places[w] for words in split for w in words), np.int64, int(counts.sum()))
+        places = np.fromiter(map(self.places.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         lengths, starts = self.lengths[places], self.starts[places]
         ends = np.cumsum(lengths)
         within = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lengths, lengths)
         flat = self.pool[np.repeat(starts, lengths) + within]
-        per_text = np.add.reduceat(np.r_[lengths, 0], np.r_[0, np.cumsum(counts)[:-1]]) if len(counts) else counts
-        at = np.cumsum(per_text)
-        return np.insert(flat, at, end_id).astype(np.int64), per_text + 1
+        totals = np.concatenate([[0], ends])
+        at = totals[np.cumsum(counts)]
+        return np.insert(flat, at, end_id).astype(np.int64), np.diff(at, prepend=0) + 1
 
 
 def _block(doc_ids: list, ids: np.ndarray, lengths: np.ndarray) -> bytes:
