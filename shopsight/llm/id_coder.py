@@ -1,10 +1,13 @@
 """Context-mixing range coder for token ids, in numpy.
 
 A block is cut into lanes that are coded in step, so every operation works on thousands of ids at once.
-Each id is coded under one mixed distribution: an adaptive order-0 distribution over all ids, and the point
-predictions of an order-1 and an order-2 context table. The weights of the three are adaptive hit rates by
-the confidence of both predictions. Encoder and decoder run the same whole-number model; all lanes of a
-block share it, and every block starts anew.
+Each id is coded in the range of the mixed model: the point predictions of an order-2 and an order-1 context
+table come first, what they leave is shared out by an adaptive order-0 distribution over all ids. The weights
+of the three are adaptive hit rates by the confidence of both predictions. Encoder and decoder run the same
+whole-number model; all lanes of a block share it, and every block starts anew. The order-0 distribution and
+the weights are renewed after 1, 2, 4, 8 and every 16 steps, the context tables after every step.
+
+Carries of the encoder are added up at the end, so it keeps only the low end and the width of each lane's range.
 """
 
 from __future__ import annotations
@@ -14,84 +17,93 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"CMR1"
+MAGIC = b"CMR2"
 _HEAD = "<4sIIIIII"  # magic, ids, lanes, vocabulary, words, crc32 of ids, crc32 of the coded words
 _SLOTS = 18
-_TOP, _LOW32, _LOW48 = 1 << 32, (1 << 32) - 1, (1 << 48) - 1
+_TOP, _LOW32 = 1 << 32, (1 << 32) - 1
+_FULL = (1 << 48) - 1
+_RENEW = 16
+_CONFIDENCE = np.arange(8)
+#: What is added to an entry (predicted id << 3 | confidence), by confidence: after a miss, and after a hit.
+_STEP = np.concatenate([(_CONFIDENCE >> 1) - _CONFIDENCE, np.minimum(_CONFIDENCE + 1, 7) - _CONFIDENCE])
 
 
 class Model:
-    def __init__(self, vocabulary: int, lanes: int):
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: int, lanes: int, reads: bool):
+        self.vocabulary, self.reads = vocabulary, reads
         self.zero_bits = max(20, vocabulary.bit_length() + 4)
         self.bits = self.zero_bits + 4
         self.counts = np.zeros(vocabulary, np.int64)
-        self.cand1, self.conf1 = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, np.int64)
-        self.cand2, self.conf2 = np.zeros(1 << _SLOTS, np.int64), np.zeros(1 << _SLOTS, np.int64)
+        self.one, self.two = np.zeros(vocabulary, np.int64), np.zeros(1 << _SLOTS, np.int64)
         self.seen, self.hit1, self.hit2 = (np.full(128, v, np.int64) for v in (64, 8, 16))
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.step = 0
-
-    def predict(self, lanes: int) -> None:
-        if self.step & (self.step - 1) == 0 or self.step % 16 == 0:
-            total = int(self.counts.sum())
-            free = (1 << self.zero_bits) - self.vocabulary
-            self.cum = np.zeros(self.vocabulary + 1, np.int64)
-            np.cumsum(1 + self.counts * free // max(total, 1), out=self.cum[1:])
-            self.cum[-1] = 1 << self.zero_bits
-        self.one = self.last[:lanes]
-        self.slot = ((self.before[:lanes] * 0x9E3779B1 + self.one * 0x85EBCA77) >> 9) & ((1 << _SLOTS) - 1)
-        self.c1, self.k1 = self.cand1[self.one], self.conf1[self.one]
-        self.c2, self.k2 = self.cand2[self.slot], self.conf2[self.slot]
-        agree = self.c1 == self.c2
-        self.state = (self.k2 << 4) | (self.k1 << 1) | agree
+        self.step, self.told = 0, []
+        self._renew()
+
+    def _renew(self) -> None:
+        """Take what the steps since the last renewal have shown into the distribution and the weights."""
+        if self.told:
+            ids, outcomes = (np.concatenate(x) for x in zip(*self.told))
+            self.told = []
+            self.counts += np.bincount(ids, minlength=self.vocabulary)
+            seen = np.bincount(outcomes, minlength=512).reshape(128, 4)  # by state: miss, order 1, order 2, both
+            self.seen += seen.sum(axis=1)
+            self.hit1 += seen[:, 1]
+            self.hit2 += seen[:, 2] + seen[:, 3]
+            old = self.seen > 1 << 18
+            for table in (self.seen, self.hit1, self.hit2):
+                table[old] >>= 1
+        free = (1 << self.zero_bits) - self.vocabulary
+        sizes = 1 + self.counts * free // max(int(self.counts.sum()), 1)
+        sizes[-1] += (1 << self.zero_bits) - int(sizes.sum())
+        self.cum = np.zeros(self.vocabulary + 1, np.int64)
+        np.cumsum(sizes, out=self.cum[1:])
+        if self.reads:
+            self.owner = np.repeat(np.arange(self.vocabulary, dtype=np.int32), sizes)
         weight = ((1 << self.bits) - (1 << self.zero_bits)) // (self.seen + 1)
-        self.m2 = (weight * self.hit2)[self.state]
-        self.m1 = (weight * self.hit1)[self.state] * ~agree
-        self.rest = (1 << self.bits) - self.m1 - self.m2
+        agree = np.arange(128) & 1
+        self.to2 = weight * self.hit2
+        self.to1 = self.to2 + weight * self.hit1 * (1 - agree)
 
-    def start(self, ids: np.ndarray) -> np.ndarray:
-        """Where the order-0 share of an id begins."""
-        return (self.rest * self.cum[ids]) >> self.zero_bits
+    def predict(self, lanes: int) -> None:
+        self.at1 = self.last[:lanes]
+        self.at2 = ((self.before[:lanes] + self.at1 * 0x85EBCA77) >> 9) & ((1 << _SLOTS) - 1)
+        self.e1, self.e2 = self.one.take(self.at1), self.two.take(self.at2)
+        self.c1, self.c2 = self.e1 >> 3, self.e2 >> 3
+        self.k1, self.k2 = self.e1 & 7, self.e2 & 7
+        self.state = (self.k2 << 4) | (self.k1 << 1) | (self.c1 == self.c2)
+        self.m2, self.m1 = self.to2.take(self.state), self.to1.take(self.state)
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        begin = self.start(ids)
-        size = self.start(ids + 1) - begin + self.m1 * (self.c1 == ids) + self.m2 * (self.c2 == ids)
-        return begin + self.m1 * (self.c1 < ids) + self.m2 * (self.c2 < ids), size
+        """Begin and size of the ids' ranges, of 1 << bits."""
+        self.is1, self.is2 = self.c1 == ids, self.c2 == ids
+        rest = (1 << self.bits) - self.m1
+        begin = self.m1 + (rest * self.cum.take(ids) >> self.zero_bits)
+        end = self.m1 + (rest * self.cum.take(ids + 1) >> self.zero_bits)
+        begin, end = np.where(self.is1, self.m2, begin), np.where(self.is1, self.m1, end)
+        begin, end = np.where(self.is2, 0, begin), np.where(self.is2, self.m2, end)
+        return begin, end - begin
 
     def find(self, value: np.ndarray) -> np.ndarray:
-        """The ids whose intervals hold the values."""
-        swap = self.c1 > self.c2
-        low, high = np.where(swap, self.c2, self.c1), np.where(swap, self.c1, self.c2)
-        m_low, m_high = np.where(swap, self.m2, self.m1), np.where(swap, self.m1, self.m2)
-        at_low, at_high = self.start(low), self.start(high) + m_low
-        past_low, past_high = self.start(low + 1) + m_low, self.start(high + 1) + m_low + m_high
-        offset = np.where(value >= past_high, m_low + m_high, np.where(value >= past_low, m_low, 0))
-        target = (((value - offset + 1) << self.zero_bits) - 1) // self.rest
-        ids = np.searchsorted(self.cum, target, "right") - 1
-        ids = np.where((value >= at_high) & (value < past_high), high, ids)
-        return np.where((value >= at_low) & (value < past_low), low, ids)
+        """The ids whose ranges hold the values. Quotients are below 2 ** 48 and so exact as floats."""
+        rest = (1 << self.bits) - self.m1
+        share = (np.maximum(value - self.m1, 0) + 1 << self.zero_bits) - 1
+        ids = self.owner.take((share / rest).astype(np.int64))
+        ids = np.where(value < self.m1, self.c1, ids)
+        return np.where(value < self.m2, self.c2, ids)
 
     def update(self, ids: np.ndarray) -> None:
-        hit2 = self.c2 == ids
-        hit1 = (self.c1 == ids) & ~hit2
-        self.seen += np.bincount(self.state, minlength=128)
-        self.hit2 += np.bincount(self.state[hit2], minlength=128)
-        self.hit1 += np.bincount(self.state[hit1], minlength=128)
-        if int(self.seen.max()) > 1 << 18:
-            old = self.seen > 1 << 18
-            for table in (self.seen, self.hit1, self.hit2):
-                table[old] >>= 1
-        self.counts += np.bincount(ids, minlength=self.vocabulary)
-        for cand, conf, at, k, hit in ((self.cand1, self.conf1, self.one, self.k1, self.c1 == ids),
-                                       (self.cand2, self.conf2, self.slot, self.k2, hit2)):
-            conf[at] = np.where(hit, np.minimum(k + 1, 7), k >> 1)
-            new = k == 0
-            cand[at[new]] = ids[new]
+        self.told.append((ids, (self.state << 2) | (self.is2 << 1) | self.is1))
+        for table, at, entry, k, hit in ((self.one, self.at1, self.e1, self.k1, self.is1),
+                                         (self.two, self.at2, self.e2, self.k2, self.is2)):
+            new = entry + _STEP.take((hit << 3) | k)
+            table[at] = np.where((k == 0) & ~hit, ids << 3, new)
         n = len(ids)
-        self.before[:n] = self.last[:n]
+        self.before[:n] = self.last[:n] * 0x9E3779B1
         self.last[:n] = ids
         self.step += 1
+        if self.step % _RENEW == 0 or self.step & (self.step - 1) == 0:
+            self._renew()
 
 
 def _shape(n: int, lanes: int) -> tuple[int, int]:
@@ -109,10 +121,9 @@ def encode_block(ids: np.ndarray, vocabulary: int, lanes: int = 4096) -> bytes:
     grid = np.zeros(lanes * steps, np.int64)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
-    model = Model(vocabulary, lanes)
-    low, span = np.zeros(lanes, np.int64), np.full(lanes, _LOW48, np.int64)
+    model = Model(vocabulary, lanes, reads=False)
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, _FULL, np.int64)
     lane_list, word_list = [], []
-    every = np.arange(lanes)
     for t in range(steps):
         active = lanes if (lanes - 1) * steps + t < n else lanes - 1
         one = grid[t, :active]
@@ -122,26 +133,26 @@ def encode_block(ids: np.ndarray, vocabulary: int, lanes: int = 4096) -> bytes:
         low[:active] += unit * begin
         span[:active] = unit * size
         model.update(one)
-        due = every[:active]
-        while True:
-            l, s = low[due], span[due]
-            settled = (l ^ (l + s)) < _TOP
-            small = s < _TOP
-            go = settled | small
-            if not go.any():
-                break
-            due, l, s = due[go], l[go], np.where(settled, s, -l & _LOW32)[go]
-            lane_list.append(due)
-            word_list.append((l >> 32).astype(np.uint16))
-            low[due] = (l << 16) & _LOW48
-            span[due] = s << 16
-    for k in (32, 16, 0):
-        lane_list.append(every)
-        word_list.append(((low >> k) & 0xFFFF).astype(np.uint16))
+        due = np.flatnonzero(span[:active] < _TOP)
+        while len(due):
+            at, width = low[due], span[due] << 16
+            lane_list.append(due.astype(np.uint32))
+            word_list.append((at >> 32).astype(np.int32))  # 17 bits: the top one is carried below
+            low[due] = (at & _LOW32) << 16
+            span[due] = width
+            due = due[width < _TOP]
+    inside = (low + 0xFFFF) >> 16  # 32 bits fix a point of the range, whatever words follow
+    for words in (inside >> 16, inside & 0xFFFF):
+        lane_list.append(np.arange(lanes, dtype=np.uint32))
+        word_list.append(words.astype(np.int32))
     lane, word = np.concatenate(lane_list), np.concatenate(word_list)
-    words = word[np.argsort(lane, kind="stable")].astype("<u2").tobytes()
+    order = np.argsort(lane.astype(np.uint16) if lanes <= 1 << 16 else lane, kind="stable")
+    word = word[order]
+    while (carry := word >> 16).any():  # the first word of a lane never carries
+        word &= 0xFFFF
+        word[:-1] += carry[1:]
     counts = np.bincount(lane, minlength=lanes).astype("<u4").tobytes()
-    body = counts + words
+    body = counts + word.astype("<u2").tobytes()
     return struct.pack(_HEAD, MAGIC, n, lanes, vocabulary, len(word), checksum, zlib.crc32(body)) + body
 
 
@@ -155,37 +166,32 @@ def decode_block(block: bytes) -> np.ndarray:
         return np.zeros(0, np.int64)
     steps = _shape(n, lanes)[1]
     counts = np.frombuffer(body, "<u4", lanes).astype(np.int64)
-    words = np.concatenate([np.frombuffer(body, "<u2", n_words, 4 * lanes).astype(np.int64), np.zeros(4, np.int64)])
+    words = np.concatenate([np.frombuffer(body, "<u2", n_words, 4 * lanes), np.zeros(4, np.uint16)])
     at = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    code = (words[at] << 32) | (words[at + 1] << 16) | words[at + 2]
-    at = at + 3
-    model = Model(vocabulary, lanes)
-    low, span = np.zeros(lanes, np.int64), np.full(lanes, _LOW48, np.int64)
+    first, second, third = (words[at + k].astype(np.int64) for k in range(3))
+    point = first << 32 | second << 16 | third  # from the low end of the range
+    at += 3
+    model = Model(vocabulary, lanes, reads=True)
+    span = np.full(lanes, _FULL, np.int64)
     grid = np.zeros((steps, lanes), np.int64)
-    every = np.arange(lanes)
     for t in range(steps):
         active = lanes if (lanes - 1) * steps + t < n else lanes - 1
         model.predict(active)
         unit = span[:active] >> model.bits
-        value = np.minimum((code[:active] - low[:active]) // unit, (1 << model.bits) - 1)
+        value = np.minimum((point[:active] / unit).astype(np.int64), (1 << model.bits) - 1)
         one = model.find(value)
         begin, size = model.interval(one)
-        low[:active] += unit * begin
+        point[:active] -= unit * begin
         span[:active] = unit * size
         grid[t, :active] = one
         model.update(one)
-        due = every[:active]
-        while True:
-            l, s = low[due], span[due]
-            settled = (l ^ (l + s)) < _TOP
-            go = settled | (s < _TOP)
-            if not go.any():
-                break
-            due, l, s = due[go], l[go], np.where(settled, s, -l & _LOW32)[go]
-            low[due] = (l << 16) & _LOW48
-            span[due] = s << 16
-            code[due] = ((code[due] << 16) & _LOW48) | words[np.minimum(at[due], len(words) - 1)]
-            at[due] += 1
+        due = np.flatnonzero(span[:active] < _TOP)
+        while len(due):
+            width, place = span[due] << 16, at[due]
+            point[due] = (point[due] << 16) | words[place]
+            at[due] = place + 1
+            span[due] = width
+            due = due[width < _TOP]
     ids = grid.T.reshape(-1)[:n]
     if zlib.crc32(ids.astype("<u4").tobytes()) != checksum:
         raise ValueError("a block's ids don't match their checksum")

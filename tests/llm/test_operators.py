@@ -444,5 +444,16 @@ def test_id_edges(spark, edges, nothing):
         sorted(map(tuple, odd.collect())))
 
 
+def test_pieces_are_the_tokenizers():
+    random = np.random.default_rng(5)
+    signs = [chr(i) for i in range(256)] + ["'s", "'RE", "'ll", "  ", "ﬁ", "e\u0301", "<|endoftext|>", "<|", "Straße"]
+    texts = ["".join(random.choice(signs[:259 if k % 3 else None], random.integers(0, 40))) for k in range(3000)]
+    texts += [f"a{sign}b" for sign in signs]
+    ids, lengths = token_store.Encoder(TOKENIZER).encode(texts, 1)
+    found = np.split(ids, np.cumsum(lengths)[:-1])
+    expected = Tokenizer.from_file(TOKENIZER).encode_batch(texts, add_special_tokens=False)
+    assert [x.tolist() for x in found] == [x.ids + [1] for x in expected]
+
+
 def test_files_are_placed():
     assert files.place("file:///tmp/x")[1] == files.place("file:/tmp/x")[1] == files.place("/tmp/x")[1] == "/tmp/x"
