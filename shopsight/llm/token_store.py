@@ -21,7 +21,8 @@ import re
 import struct
 import uuid
 import zlib
-from itertools import chain, filterfalse
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +41,21 @@ _LETTERS, _DIGITS, _BLANKS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x
 _PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_DIGITS}]|[^{_BLANKS}{_LETTERS}{_DIGITS}]+").findall
 
 
+class _Places(dict):
+    """Places of words; a word without one gets the next and is noted as new."""
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        self.new.append(word)
+        return place
+
+
 class Encoder:
     """The tokenizers library with a bounded cache of words.
 
     Latin-1 texts are cut where the vocabulary's own pre-tokenizer cuts them, so that the library sees each
-    piece once, lower-cased, in one call for all new pieces. Other texts are cut at white space only.
+    piece once, lower-cased, in one call for all new pieces. Other texts are cut at white space only; their words
+    are kept behind a space, which no piece holds.
     """
 
     def __init__(self, path: str):
@@ -61,7 +72,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.places: dict[str, int] = {}
+        self.places = _Places()
         self.pool, self.starts, self.lengths = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.used = 0
 
@@ -76,39 +87,37 @@ class Encoder:
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for ids in found for i in ids), np.int32, int(lengths.sum())), lengths
 
-    def _learn(self, words: list[str], whole: bool) -> None:
-        if not words:
-            return
-        found, lengths = self._ids(words, whole)
-        first, n = len(self.places), len(found)
-        while self.used + n > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while first + len(words) > len(self.starts):
+    def _learn(self, words: list[str]) -> None:
+        """Keep the ids of the new words, in the order of their places."""
+        whole = np.array([word[0] != " " for word in words], bool)
+        pieces, others = [w for w in words if w[0] != " "], [w[1:] for w in words if w[0] == " "]
+        for some, kind in ((pieces, True), (others, False)):
+            if not some:
+                continue
+            found, sizes = self._ids(some, kind)
+            while self.used + len(found) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            self.pool[self.used:self.used + len(found)] = found
+            starts = self.used + np.cumsum(sizes) - sizes
+            self.used += len(found)
+            self._keep(len(self.places) - len(words) + np.flatnonzero(whole == kind), starts, sizes)
+
+    def _keep(self, places: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        while len(self.places) > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        self.pool[self.used:self.used + n] = found
-        self.starts[first:first + len(words)] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[first:first + len(words)] = lengths
-        self.used += n
-        self.places.update(zip(words, range(first, first + len(words))))
-
-    def _new(self, split: list[list[str]]) -> list[str]:
-        return list(filterfalse(self.places.__contains__, dict.fromkeys(chain.from_iterable(split))))
+        self.starts[places], self.lengths[places] = starts, lengths
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and the number of ids of each."""
-        plain = [_LATIN(text) is not None and "<|" not in text for text in texts]
-        split = [_PIECES(text.lower()) if easy else
-                 text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")
-                 for text, easy in zip(texts, plain)]
-        pieces, others = ([words for words, easy in zip(split, plain) if easy == kind] for kind in (True, False))
-        new = self._new(pieces)
-        if len(self.places) + len(new) > _WORDS:
+        if len(self.places) > _WORDS:
             self.forget()
-            new = self._new(pieces)
-        self._learn(new, True)
-        self._learn(self._new(others), False)
+        split = [_PIECES(text.lower()) if _LATIN(text) and "<|" not in text else
+                 [" " + word for word in text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")]
+                 for text in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
+        self.places.new = []
         places = np.fromiter(map(self.places.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        self._learn(self.places.new)
         lengths, starts = self.lengths[places], self.starts[places]
         ends = np.cumsum(lengths)
         within = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lengths, lengths)
@@ -118,6 +127,12 @@ class Encoder:
         return np.insert(flat, at, end_id).astype(np.int64), np.diff(at, prepend=0) + 1
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """The encoder of this process: tasks that follow each other share its words."""
+    return Encoder(path)
+
+
 def _block(doc_ids: list, ids: np.ndarray, lengths: np.ndarray) -> bytes:
     table = zlib.compress(np.array([[0 if d is None else d for d in doc_ids], [d is None for d in doc_ids], lengths],
                                    "<i8").tobytes())
@@ -133,7 +148,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, block_id
     def write(batches):
         from pyspark import TaskContext
 
-        encoder, rows = Encoder(tokenizer_path), []
+        encoder, rows = _encoder(tokenizer_path), []
         uri = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tok"
 
         def blocks():
@@ -165,7 +180,6 @@ def write_ids(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, block_id
             yield head
             yield from chunks
         files.write(uri, all_chunks())
-        del encoder
         C.release_memory()
         yield pa.RecordBatch.from_pydict(dict(zip(("path", "offset", "length", "n_ids", "n_docs"), map(list, zip(*rows)))))
 
