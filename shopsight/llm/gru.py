@@ -2,21 +2,30 @@
 
 The vocabulary is cut into classes of equal size by frequency, so a token costs one softmax over classes and
 one over its class. Training is truncated backpropagation over windows; the state is carried from window to
-window, in training and in scoring, and reset at the beginning of a document.
+window, in training and in scoring, and reset at the beginning of a document (in training also after each
+4,096 tokens of one).
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+PIECE = 4096  # tokens of a document that are trained on in one go
+
 
 def _sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
-def _log_softmax(x):
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x, reach):
+    """Exponentials and logarithms of their sums; only where a score could be large (``reach``) is the largest taken off."""
+    top = None
+    if reach > 60:
+        top = x.max(axis=1, keepdims=True)
+        x = x - top
+    e = np.exp(x)
+    total = e @ np.ones(e.shape[1], np.float32)
+    return e, total, np.log(total) if top is None else np.log(total) + top[:, 0]
 
 
 class Gru:
@@ -49,42 +58,65 @@ class Gru:
         """Natural log probabilities of the targets; with ``grads`` also adds gradients and gives those of h."""
         w = self.w
         group = target // self.width
-        classes = _log_softmax(h @ w["c"] + w["cb"])
-        out = classes[np.arange(len(h)), group].astype(np.float64)
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(len(w["cb"]) + 1))
+        order = np.argsort(group.astype(np.int16), kind="stable")
+        group, place = group[order], (target % self.width)[order]
+        h = h[order]
+        cuts = np.searchsorted(group, np.arange(len(w["cb"]) + 1))
+        at = np.arange(len(h))
+        # the state lies in -1 to 1, so no score is further from 0 than this
+        reach = np.abs(w["ob"]).max(axis=1, where=w["ob"] > -1e3, initial=0) + np.abs(w["o"]).sum(axis=1).max(axis=1)
+        x = h @ w["c"] + w["cb"]
+        e, total, log = _softmax(x, np.abs(w["cb"]).max() + np.abs(w["c"]).sum(axis=0).max())
+        found = (x[at, group] - log).astype(np.float64)
         back = None
         if grads is not None:
-            slope = np.exp(classes)
-            slope[np.arange(len(h)), group] -= 1
-            grads["c"] += h.T @ slope
-            grads["cb"] += slope.sum(axis=0)
-            back = slope @ w["c"].T
+            e /= total[:, None]
+            e[at, group] -= 1
+            grads["c"] += h.T @ e
+            grads["cb"] += np.ones(len(e), np.float32) @ e
+            back = e @ w["c"].T
         for k in np.flatnonzero(np.diff(cuts)):
-            at = order[cuts[k]:cuts[k + 1]]
-            own = h[at]
-            words = _log_softmax(own @ w["o"][k] + w["ob"][k])
-            place = target[at] - k * self.width
-            out[at] += words[np.arange(len(at)), place]
+            part = slice(cuts[k], cuts[k + 1])
+            own, mine = h[part], place[part]
+            at = np.arange(len(own))
+            x = own @ w["o"][k] + w["ob"][k]
+            e, total, log = _softmax(x, reach[k])
+            found[part] += x[at, mine] - log
             if grads is not None:
-                slope = np.exp(words)
-                slope[np.arange(len(at)), place] -= 1
-                grads["o"][k] += own.T @ slope
-                grads["ob"][k] += slope.sum(axis=0)
-                back[at] += slope @ w["o"][k].T
-        return out if grads is None else (out, back)
+                e /= total[:, None]
+                e[at, mine] -= 1
+                grads["o"][k] += own.T @ e
+                grads["ob"][k] += np.ones(len(e), np.float32) @ e
+                back[part] += e @ w["o"][k].T
+        out = np.empty_like(found)
+        out[order] = found
+        if grads is None:
+            return out
+        slope = np.empty_like(back)
+        slope[order] = back
+        return out, slope
+
+    def begin(self, counts: np.ndarray) -> None:
+        """Start at the frequencies of classes and of their words; ``counts`` has one number per word."""
+        counts = np.concatenate([counts, np.zeros(self.w["ob"].size - len(counts))]).reshape(self.w["ob"].shape) + 0.1
+        self.w["cb"] = np.log(counts.sum(axis=1) / counts.sum()).astype(np.float32)
+        self.w["ob"] = np.where(self.w["ob"] < -1e3, self.w["ob"], np.log(counts / counts.sum(axis=1, keepdims=True))).astype(np.float32)
 
     def fit(self, docs: list[np.ndarray], *, lanes: int = 96, window: int = 20, epochs: int = 2, least_steps: int = 250, rate: float = 0.01,
-            seed: int = 4) -> Gru:
+            seed: int = 4, part: tuple[int, int] | None = None) -> Gru:
+        """Passes over the documents. ``part`` = (k, n) is the k-th of n stretches of one longer fit, which :meth:`begin` has begun."""
         random = np.random.default_rng(seed)
         docs = [d for d in docs if len(d)]
         if not docs:
             return self
-        lanes = min(lanes, len(docs))
-        # begin at the frequencies of classes and of their words
-        counts = np.bincount(np.concatenate(docs), minlength=self.w["ob"].size).reshape(self.w["ob"].shape) + 0.1
-        self.w["cb"] = np.log(counts.sum(axis=1) / counts.sum()).astype(np.float32)
-        self.w["ob"] = np.where(self.w["ob"] < -1e3, self.w["ob"], np.log(counts / counts.sum(axis=1, keepdims=True))).astype(np.float32)
+        if part is None:
+            self.begin(np.bincount(np.concatenate(docs), minlength=self.vocabulary))
+        done, stretches = part or (0, 1)
+        pieces = []  # source and target; a long document's pieces know the token before them, the state begins anew
+        for d in docs:
+            source = np.concatenate([[self.vocabulary], d[:-1]])
+            pieces += [(source[k:k + PIECE], d[k:k + PIECE]) for k in range(0, len(d), PIECE)]
+        lanes = min(lanes, len(pieces))
         first, second = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
         n, steps = self.hidden, 0
         per_epoch = max(1, -(-sum(map(len, docs)) // (lanes * window)))
@@ -92,26 +124,28 @@ class Gru:
         for _ in range(epochs):
             parts = [[] for _ in range(lanes)]
             load = np.zeros(lanes, np.int64)
-            for i in random.permutation(len(docs)):
+            for i in random.permutation(len(pieces)):
                 lane = int(np.argmin(load))
-                parts[lane].append(docs[i])
-                load[lane] += len(docs[i])
+                parts[lane].append(pieces[i])
+                load[lane] += len(pieces[i][1])
             length = int(load.max())
-            target = np.full((length, lanes), -1, np.int64)
-            source = np.full((length, lanes), self.vocabulary, np.int64)
+            target = np.full((length, lanes), -1, np.int32)
+            source = np.full((length, lanes), self.vocabulary, np.int32)
+            new_piece = np.ones((length, lanes), bool)
             for lane, some in enumerate(parts):
                 at = 0
-                for d in some:
+                for before, d in some:
                     target[at:at + len(d), lane] = d
-                    source[at + 1:at + len(d), lane] = d[:-1]
+                    source[at:at + len(d), lane] = before
+                    new_piece[at + 1:at + len(d), lane] = False
                     at += len(d)
             h = np.zeros((lanes, n), np.float32)
             for begin in range(0, length, window):
                 t, s = target[begin:begin + window], source[begin:begin + window]
                 kept, states = [], []
                 for k in range(len(t)):
-                    fresh = (s[k] == self.vocabulary)[:, None]
-                    h = np.where(fresh, 0, h).astype(np.float32)
+                    fresh = new_piece[begin + k][:, None]
+                    h = np.where(fresh, np.float32(0), h)
                     h, memory = self.step(h, self.w["x"][s[k]])
                     kept.append((memory, fresh))
                     states.append(h)
@@ -124,29 +158,55 @@ class Gru:
                 d_states = np.zeros_like(flat)
                 d_states[real] = slope
                 d_states = d_states.reshape(len(t), lanes, n)
-                dh, rows = np.zeros((lanes, n), np.float32), []
+                before, z, r, inner, new = (np.stack(m) for m in zip(*(memory for memory, _ in kept)))
+                slope_n = (1 - z) * (1 - new * new)
+                slope_z = (before - new) * z * (1 - z)
+                slope_r = inner * r * (1 - r)
+                turned = np.ascontiguousarray(self.w["u"].T)
+                dh = np.zeros((lanes, n), np.float32)
+                rows = np.empty((len(t), lanes, 3 * n), np.float32)
                 for k in range(len(t) - 1, -1, -1):
-                    (before, z, r, inner, new), fresh = kept[k]
                     dh = dh + d_states[k]
-                    dn = dh * (1 - z) * (1 - new ** 2)
-                    dz = dh * (before - new) * z * (1 - z)
-                    dr = dn * inner * r * (1 - r)
-                    da = np.concatenate([dz, dr, dn * r], axis=1)
-                    rows.append(np.concatenate([dz, dr, dn], axis=1))
-                    grads["u"] += before.T @ da
-                    grads["b"] += (dn * r).sum(axis=0)
-                    dh = np.where(fresh, 0, dh * z + da @ self.w["u"].T)
-                np.add.at(grads["x"], s[::-1].reshape(-1), np.concatenate(rows))
+                    da = rows[k]
+                    dn = dh * slope_n[k]
+                    da[:, :n] = dh * slope_z[k]
+                    da[:, n:2 * n] = dn * slope_r[k]
+                    da[:, 2 * n:] = dn * r[k]
+                    dh = dh * z[k] + da @ turned
+                    dh[kept[k][1][:, 0]] = 0
+                    inner[k] = dn
+                back = rows.reshape(-1, 3 * n)
+                grads["u"] += before.reshape(-1, n).T @ back
+                grads["b"] += np.ones(len(back), np.float32) @ back[:, 2 * n:]
+                rows[:, :, 2 * n:] = inner
+                read = s.reshape(-1)
+                order = np.argsort(read, kind="stable")
+                cuts = np.flatnonzero(np.diff(read[order], prepend=-1))
+                grads["x"][read[order[cuts]]] = np.add.reduceat(back[order], cuts)
                 steps += 1
-                pace = rate * 0.5 * (1 + np.cos(np.pi * min(1, steps / (epochs * per_epoch)))) + 1e-4
+                pace = rate * 0.5 * (1 + np.cos(np.pi * (done + min(1, steps / (epochs * per_epoch))) / stretches)) + 1e-4
+                if done:
+                    pace *= min(1, steps / 10)  # the moments begin anew
                 for k, g in grads.items():
-                    g = np.clip(g / count, -0.1, 0.1)
-                    first[k] += 0.1 * (g - first[k])
-                    second[k] += 0.002 * (g ** 2 - second[k])
-                    self.w[k] -= (pace * (first[k] / (1 - 0.9 ** steps)) / (
-                        np.sqrt(second[k] / (1 - 0.998 ** steps)) + 1e-8)).astype(np.float32)
+                    g = np.clip(g / np.float32(count), -0.1, 0.1)
+                    first[k] += np.float32(0.1) * (g - first[k])
+                    second[k] += np.float32(0.002) * (g * g - second[k])
+                    self.w[k] -= (np.float32(pace / (1 - 0.9 ** steps)) * first[k]) / (
+                        np.sqrt(second[k] * np.float32(1 / (1 - 0.998 ** steps))) + np.float32(1e-8))
         return self
 
+    def vector(self) -> np.ndarray:
+        """All weights as one vector."""
+        return np.concatenate([v.reshape(-1) for v in self.w.values()])
+
+    def put(self, vector: np.ndarray) -> None:
+        """Take the weights from a vector; places without a word stay out of reach."""
+        at, none = 0, self.w["ob"] < -1e3
+        for k, v in self.w.items():
+            self.w[k] = vector[at:at + v.size].reshape(v.shape).astype(np.float32)
+            at += v.size
+        self.w["ob"][none] = -1e4
+
     def score(self, flat: np.ndarray, lengths: np.ndarray, *, lanes: int = 4096, window: int = 16) -> np.ndarray:
         """Natural log probability of each document; documents stand one after the other in ``flat``."""
         out, begins = np.zeros(len(lengths)), np.cumsum(lengths) - lengths

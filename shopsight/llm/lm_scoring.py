@@ -4,7 +4,12 @@ Token counts come from all training documents. The most frequent words are the m
 other word stands for its kind (made from its bytes), and the word itself then has its count's share of the
 kind, with add-0.1 smoothing. So the model gives every text a probability, unknown words included. Counts of
 the most frequent words (a fixed number) are sent to all tasks; the other words of each document meet the
-table of counts in a join. The network is fitted on a bounded sample of training documents (a parameter).
+table of counts in a join.
+
+The network is fitted on all training documents. They are dealt by hash into rounds and, within a round, into
+groups whose number grows with the tokens; each group's task begins at the round's weights and passes over its
+documents, and the round ends with the mean of the weights, by tokens. Groups follow from ids and texts and the
+means from integer sums, so neither the layout of the files nor the cluster changes the weights.
 
 Defined results: a null text is empty and has the end token alone; a null doc_id counts as empty text in the
 choice of folds; every input row gives one row. Words are told apart by 64-bit hashes.
@@ -19,10 +24,14 @@ from pyspark.sql import functions as F
 
 from shopsight.llm import common as C
 from shopsight.llm.gru import Gru
+from shopsight.session import scratch_path
 
 END = np.uint64(0x0123456789ABCDEF)
 KINDS = 12
 ADD = 0.1
+BLOCKS = 8
+UNIT = 1 << 24  # of a weight, in the integer sums
+LEAST_STEPS = 250
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,6 +94,7 @@ class Counts:
         np.subtract.at(types, kind[inside], 1)
         by_hash = np.argsort(token)
         self.token, self.c, self.number = token[by_hash], self.c[by_hash], number[by_hash]
+        self.kind_words = total
         self.n, self.v, self.size = n, v, 1 + KINDS + len(chosen)
         self.base_total = n + ADD * (v + 1)
         self.kind_total = total + ADD * (types + 1)
@@ -104,11 +114,11 @@ class Counts:
 
 
 def scores(docs: DataFrame, *, folds: int = 10, held_out_fold: int = 0, vocabulary: int = 2025, frequent: int = 1 << 18,
-           sample: int = 1500, hidden: int = 24) -> DataFrame:
+           rounds: int = 10, group: int = 1 << 19, hidden: int = 24) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
-    ``frequent`` bounds the words whose counts go to all tasks, ``sample`` the documents that the network is
-    fitted on (drawn in an order by hash from the training folds).
+    ``frequent`` bounds the words whose counts go to all tasks. The network is fitted in at most ``rounds``
+    rounds, by tasks of about ``group`` tokens each.
     """
     docs = C.query_columns(docs, doc_id="long", text="string")
     held_out = C.fold(F.col("doc_id"), folds) == held_out_fold
@@ -121,15 +131,7 @@ def scores(docs: DataFrame, *, folds: int = 10, held_out_fold: int = 0, vocabula
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(vars(known))
 
-    def read(batches):
-        for batch in batches:
-            flat, lengths = _numbers(batch["text"], _restored(Counts, table.value))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "ids": C.lists(flat.astype(np.int32), lengths)})
-
-    names = training.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    some = training.join(F.broadcast(names), "doc_id").mapInArrow(read, "doc_id long, ids array<int>").toArrow()
-    some = some.sort_by("doc_id")["ids"].to_pylist() if some.num_rows else []
-    network = Gru(known.size, hidden).fit([np.array(d, np.int64) for d in some])
+    network = fit_network(training, known, table, rounds=rounds, group=group, hidden=hidden)
     model = spark.sparkContext.broadcast(vars(network))
 
     def score(batches):
@@ -192,6 +194,66 @@ def scores(docs: DataFrame, *, folds: int = 10, held_out_fold: int = 0, vocabula
         (F.col("own") + F.coalesce("own_rare", zero)).alias("score"))
 
 
+def fit_network(training: DataFrame, known: Counts, table, *, rounds: int, group: int, hidden: int) -> Gru:
+    """The network after one pass (more on a small table) over all training documents; raises if a token was left out."""
+    network = Gru(known.size, hidden)
+    inside = known.number >= KINDS
+    counts = np.zeros(known.size)
+    counts[:KINDS] = known.kind_words
+    counts[known.number[inside]] = known.c[inside]
+    network.begin(counts)
+    if not known.n:
+        return network
+    rounds = max(1, min(rounds, -(-known.n // group)))
+    groups = max(1, -(-known.n // (rounds * group)))
+    dtype = np.uint16 if known.size < 1 << 16 else np.int32
+
+    def read(batches):
+        for batch in batches:
+            flat, lengths = _numbers(batch["text"], _restored(Counts, table.value))
+            ends = np.cumsum(lengths)
+            yield pa.RecordBatch.from_pydict({
+                "round": batch["round"], "member": batch["member"], "mark": batch["mark"],
+                "ids": pa.array([flat[e - n:e].astype(dtype).tobytes() for e, n in zip(ends, lengths)], pa.binary())})
+
+    mark = F.xxhash64("doc_id", "text")
+    place = F.pmod(F.xxhash64(mark), F.lit(rounds * groups))
+    path = scratch_path(training.sparkSession, "lm-ids")
+    training.select("text", (place % rounds).cast("int").alias("round"), (place / rounds).cast("int").alias("member"), mark.alias("mark")).mapInArrow(
+        read, "round int, member int, mark long, ids binary").write.partitionBy("round").parquet(path)
+    numbers = training.sparkSession.read.schema("member int, mark long, ids binary, round int").parquet(path)
+    length = -(-(len(network.vector()) + 2) // BLOCKS)
+    seen = 0
+    for k in range(rounds):
+        state = training.sparkSession.sparkContext.broadcast(vars(network))
+
+        def fit(rows):
+            rows = rows.sort_by("mark")
+            own = Gru(known_size, hidden)
+            own.put(_restored(Gru, state.value).vector())
+            docs = [np.frombuffer(d.as_buffer(), dtype).astype(np.int64) for d in rows["ids"]]
+            tokens = sum(map(len, docs))
+            own.fit(docs, lanes=96 if rounds == 1 else 256, epochs=1, least_steps=-(-LEAST_STEPS // rounds), part=(k, rounds))
+            weight = -(-tokens // 1024)
+            total = np.zeros(length * BLOCKS, np.int64)
+            vector = own.vector()
+            total[:len(vector)] = np.rint(np.clip(vector, -64, 64).astype(np.float64) * UNIT).astype(np.int64) * weight
+            total[-2:] = weight, tokens
+            return pa.Table.from_batches([C.vector_rows(total, BLOCKS)])
+
+        known_size = known.size
+        parts = numbers.where(F.col("round") == k).select("member", "mark", "ids").repartition(groups, "member").groupBy("member").applyInArrow(
+            fit, "block int, sums binary")
+        total = C.sum_vectors(parts, length, BLOCKS)
+        seen += int(total[-1])
+        if total[-2]:
+            network.put(total[:len(network.vector())] / (float(total[-2]) * UNIT))
+        state.unpersist()
+    if seen != known.n:
+        raise RuntimeError(f"the network was fitted on {seen} of {known.n} tokens")
+    return network
+
+
 def _restored(kind: type, state: dict):
     """An object from its broadcast fields (broadcasts carry plain arrays, not classes)."""
     out = kind.__new__(kind)

@@ -292,6 +292,38 @@ def test_language_model(spark, texts):
     assert sum(r.score for r in away) > sum(r.base_score for r in away)
 
 
+def test_network_learns_from_all_documents(spark):
+    """What only documents after the first 1,500 (by hash) hold is learnt too, in any number of rounds and layout."""
+    order = [r.id for r in spark.range(3000).where(F.crc32(F.col("id").cast("string")) % 10 != 0).orderBy(F.xxhash64("id")).collect()]
+    late = set(order[1500:])
+    rows = [(i, " ".join(["pa", "pe", "pi", "po"] * 4 if i in late or i not in order else ["pe", "pa", "po", "pi"] * 4)) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm_scoring.scores(frame).where("held_out").collect()
+    assert len(got) > 200 and np.mean([r.score - r.base_score for r in got]) > 0.3 * 17
+    some = frame.where("doc_id < 400")
+    one, two = (sorted((r.doc_id, r.score) for r in lm_scoring.scores(f, rounds=2, group=1500).collect())
+                for f in (some.repartition(1), some.repartition(7, F.rand(1))))
+    assert [r[0] for r in one] == [r[0] for r in two]
+    assert [r[1] for r in one] == pytest.approx([r[1] for r in two], rel=1e-5)
+
+
+def test_network_slopes():
+    """Slopes of the log probabilities, against differences."""
+    net, random = gru.Gru(11, hidden=4), np.random.default_rng(2)
+    net.w["o"] *= 5
+    h, target = random.normal(0, 0.5, (30, 4)).astype(np.float32), random.integers(0, 11, 30)
+    grads = {k: np.zeros_like(v) for k, v in net.w.items()}
+    _, back = net.log_probs(h, target, grads)
+    for vary, slope, place in ((h, back, (3, 1)), (net.w["o"], grads["o"], (1, 2, 0)), (net.w["c"], grads["c"], (1, 2)), (net.w["ob"], grads["ob"], (0, 1))):
+        kept = vary[place]
+        loss = []
+        for change in (0.01, -0.01):
+            vary[place] = kept + change
+            loss.append(-net.log_probs(h, target).sum())
+        vary[place] = kept
+        assert (loss[0] - loss[1]) / 0.02 == pytest.approx(slope[place], rel=0.02, abs=0.01)
+
+
 def test_network_is_a_distribution():
     """Probabilities of all texts of three tokens add up to one, and windows don't change a score."""
     net = gru.Gru(5, hidden=4)
