@@ -140,7 +140,7 @@ def secrets(docs: DataFrame) -> DataFrame:
     spans = cells.select("row", "kind", "token", "counts", (upto - F.col("length")).alias("start"), upto.alias("end")).where("counts")
     # a token that meets a base span is part of a find already
     before = W.partitionBy("row").orderBy("start", "kind").rowsBetween(W.unboundedPreceding, -1)
-    after = W.partitionBy("row").orderBy("start", "kind").rowsBetween(1, W.unboundedFollowing)
+    after = W.partitionBy("row").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(W.unboundedPreceding, -1)
     base = F.col("kind") < 3
     spans = C.stage(spans.withColumns({"reached": F.max(F.when(base, F.col("end"))).over(before),
                                        "next": F.min(F.when(base, F.col("start"))).over(after)}).where(
