@@ -1,9 +1,10 @@
 """Source divergence audit by chunk factorization.
 
-Every task counts the whitespace chunks of its documents: documents and occurrences per language, source and
-chunk, with the row numbers of the documents while they are fewer than ``least``. Each globally distinct chunk
-is then split into terms once, and its terms are joined back to those counts; what is shuffled is one row per
-task and chunk, not one per word, so a frequent word travels as a number.
+Every task counts the whitespace chunks of each of its documents and adds them up per language and chunk:
+documents, occurrences per source, and the row numbers of the documents while they are fewer than ``least``. All
+counts of a chunk then meet in one task, where each globally distinct chunk is split into terms once and its terms
+are joined back to the counts. What is shuffled is one row per slice of documents and chunk, not one per word, so a
+frequent word travels as a number.
 
 A language keeps the terms that at least ``least`` of its documents hold. The sum of the document counts of a
 term's chunks bounds that number from above, the largest of them from below; only the terms between the bounds
@@ -19,10 +20,12 @@ Ties go by the UTF-8 order of the item. Chunks of any length are whole keys. An
 
 from __future__ import annotations
 
-from collections import Counter
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,61 +34,144 @@ from shopsight.llm import common as C
 
 BUCKET = 1024  # terms in one matrix
 SMOOTH, SCALE, TOP = 5, 1_000_000_000, 50
-_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_COUNTS = "lang string, source string, chunk binary, docs long, n long, ids array<long>"
+_TERM = re.compile(rb"[a-z\x80-\xff]+")  # of lower-cased UTF-8: letters and whatever isn't ASCII
+_PARTS = "lang string, chunk string, docs long, sources array<string>, ns array<long>, ids array<long>"
+_CHUNKS = "lang string, docs long, sources array<string>, ns array<long>, ids array<long>, terms array<string>, times array<long>"
 
 
-def _chunk_counts(docs: DataFrame, least: int, hold: int = 1 << 18) -> DataFrame:
-    """Partial counts per language, source and chunk; ``ids`` is null where ``least`` documents are reached.
+def _codes(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Place of each value in the list of distinct values, and that list."""
+    found = values.dictionary_encode()
+    if isinstance(found, pa.ChunkedArray):
+        found = found.combine_chunks()
+    return np.asarray(found.indices).astype(np.int64), found.dictionary
 
-    A row with a null chunk says that the group occurs. About ``hold`` counts are held at a time.
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """First rows of the runs of equal keys."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(new)
+
+
+def _lists(values: pa.Array, lengths: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:
+    offsets = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32), mask=None if missing is None else np.r_[missing, False])
+    return pa.ListArray.from_arrays(offsets, values)
+
+
+def _slices(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows with about ``limit`` bytes of text; a longer text is a slice of its own."""
+    upto = np.cumsum(np.asarray(pc.binary_length(batch["text"])).astype(np.int64))
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + limit, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
+def _chunk_counts(docs: DataFrame, least: int, limit: int = 16 << 20) -> DataFrame:
+    """Partial counts per language and chunk, with occurrences per source; ``ids`` is null from ``least`` documents on.
+
+    A row with a null chunk lists the sources of a language. ``limit`` bytes of text are counted together.
     """
     def run(batches):
-        groups: dict[tuple[str, str], int] = {}
-        counts: dict[tuple[int, bytes], list] = {}
-
-        def flush():
-            names = list(groups)
-            keys, values = list(counts), list(counts.values())
-            at = [g for g, _ in keys] + list(range(len(names)))
-            empty = len(names)
-            batch = pa.RecordBatch.from_pydict({
-                "lang": pa.array([names[g][0] for g in at], pa.string()), "source": pa.array([names[g][1] for g in at], pa.string()),
-                "chunk": pa.array([c for _, c in keys] + [None] * empty, pa.binary()),
-                "docs": pa.array([v[0] for v in values] + [0] * empty, pa.int64()),
-                "n": pa.array([v[1] for v in values] + [0] * empty, pa.int64()),
-                "ids": pa.array([v[2] for v in values] + [None] * empty, pa.list_(pa.int64()))})
-            groups.clear()
-            counts.clear()
-            return batch
-
         for batch in batches:
-            text = batch["text"].cast(pa.binary())
-            for lang, source, row, one in zip(batch["lang"].to_pylist(), batch["source"].to_pylist(),
-                                              batch["row"].to_pylist(), text):
-                group = groups.setdefault((lang, source), len(groups))
-                for chunk, n in Counter(one.as_py().split()).items():  # bytes split at ASCII white space only
-                    known = counts.get((group, chunk))
-                    if known is None:
-                        counts[group, chunk] = [1, n, [row]]
-                        continue
-                    known[0] += 1
-                    known[1] += n
-                    if known[2] is not None:
-                        known[2] = known[2] + [row] if known[0] < least else None
-                if len(counts) > hold:
-                    yield flush()
-        if groups:
-            yield flush()
+            for part in _slices(batch, limit):
+                yield count(part)
         C.release_memory()
 
-    return docs.mapInArrow(run, _COUNTS)
-
+    def count(part):
+        split = pc.ascii_split_whitespace(part["text"])
+        chunk, chunks = _codes(split.flatten())
+        doc = np.asarray(pc.list_parent_indices(split)).astype(np.int64)
+        some = np.asarray(pc.not_equal(chunks, "")).astype(bool)[chunk]
+        doc, chunk = doc[some], chunk[some]
+        lang, langs = _codes(part["lang"])
+        source, sources = _codes(part["source"])
+        row = np.asarray(part["row"])
+        width = max(1, len(chunks))
+        pair, times = np.unique(doc * width + chunk, return_counts=True)  # one for each document and chunk
+        doc, chunk = pair // width, pair % width
+        order = np.lexsort((source[doc], chunk, lang[doc]))
+        doc, chunk, times = doc[order], chunk[order], times[order]
+        begin = _starts(lang[doc], chunk)
+        size = np.diff(np.r_[begin, len(doc)])
+        rare = np.repeat(size < least, size)
+        cell = _starts(lang[doc], chunk, source[doc])
+        per_key = np.diff(np.searchsorted(cell, np.r_[begin, len(doc)]))
+        everywhere = np.unique(np.stack([lang, source]), axis=1)  # the groups, with or without chunks
+        known, number = np.unique(everywhere[0], return_counts=True)
+        more = np.zeros(len(known), np.int64)
+        return pa.RecordBatch.from_pydict({
+            "lang": langs.take(pa.array(np.r_[lang[doc[begin]], known])),
+            "chunk": pa.concat_arrays([chunks.take(pa.array(chunk[begin])), pa.nulls(len(more), pa.string())]),
+            "docs": pa.array(np.r_[size, more]),
+            "sources": _lists(sources.take(pa.array(np.r_[source[doc[cell]], everywhere[1]])), np.r_[per_key, number]),
+            "ns": _lists(pa.array(np.r_[np.add.reduceat(times, cell) if len(cell) else cell, 0 * everywhere[1]]),
+                         np.r_[per_key, number]),
+            "ids": _lists(pa.array(row[doc[rare]]), np.r_[np.where(size < least, size, 0), more], np.r_[size >= least, more == 0])})
+
+    return docs.mapInArrow(run, _PARTS)
+
+
+def _split_chunks(parts: DataFrame, least: int) -> DataFrame:
+    """One row per language and chunk, with the chunk's terms; null terms on the rows that list sources.
+
+    All rows of a chunk are in one task, one after the other, and it is split into terms once.
+    """
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if not table.num_rows:
+                continue
+            chunk, _ = _codes(table["chunk"].combine_chunks().fill_null(" "))  # no chunk is a space
+            last = int(_starts(chunk)[-1])
+            held = table.slice(last)
+            if last:
+                yield merge(table.slice(0, last))
+        if held is not None:
+            yield merge(held)
+        C.release_memory()
 
-def _terms(chunk: Column) -> Column:
-    """The terms of a chunk, in order."""
-    return F.regexp_extract_all(F.translate(chunk.cast("string"), _UPPER, _UPPER.lower()), F.lit(_TERM), F.lit(0))
+    def merge(table):
+        column = {name: table[name].combine_chunks() for name in table.column_names}
+        chunk, chunks = _codes(column["chunk"].fill_null(" "))
+        lang, _ = _codes(column["lang"])
+        begin = _starts(chunk, lang)
+        group = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(chunk)]))
+        docs = np.add.reduceat(np.asarray(column["docs"]), begin)
+
+        source, sources = _codes(column["sources"].flatten())
+        owner = group[np.asarray(pc.list_parent_indices(column["sources"])).astype(np.int64)]
+        cell, at = np.unique(owner * len(sources) + source, return_inverse=True)
+        ns = np.zeros(len(cell), np.int64)
+        np.add.at(ns, at, np.asarray(column["ns"].flatten()))
+        per_group = np.bincount(cell // len(sources), minlength=len(begin))
+
+        owner = group[np.asarray(pc.list_parent_indices(column["ids"])).astype(np.int64)]
+        rare = (docs > 0) & (docs < least)
+        ids = np.asarray(column["ids"].flatten())[rare[owner]]
+
+        counts = []
+        for one in chunks:  # each distinct chunk once
+            have = dict.fromkeys(found := _TERM.findall(one.as_py().encode().lower()), 0)
+            for term in found:
+                have[term] += 1
+            counts.append(have)
+        lengths = np.array([len(c) for c in counts], np.int64)
+        terms = _lists(pa.array([t for c in counts for t in c], pa.binary()).cast(pa.string()), lengths)
+        times = _lists(pa.array([n for c in counts for n in c.values()], pa.int64()), lengths)
+        of = pa.array(chunk[begin], mask=np.asarray(column["chunk"].is_null())[begin])
+        return pa.RecordBatch.from_pydict({
+            "lang": column["lang"].take(pa.array(begin)), "docs": pa.array(docs),
+            "sources": _lists(sources.take(pa.array(cell % len(sources))), per_group), "ns": _lists(pa.array(ns), per_group),
+            "ids": _lists(pa.array(ids), np.bincount(owner[rare[owner]], minlength=len(begin)), ~rare),
+            "terms": terms.take(of), "times": times.take(of)})
+
+    return parts.repartition("chunk").sortWithinPartitions("chunk", "lang").mapInArrow(run, _CHUNKS)
 
 
 def _zero() -> Column:
@@ -103,26 +189,24 @@ def kept_counts(docs: DataFrame, least: int = 30) -> tuple[DataFrame, DataFrame]
     """(lang, source, term, n) of the kept terms that a group holds, and (lang, source) of all groups."""
     docs = C.query_columns(docs, text="string", lang="string", source="string").fillna("").withColumn(
         "row", F.monotonically_increasing_id())  # read once: the counts are written before anything uses them
-    counts = C.stage(_chunk_counts(docs, least), "chunk-counts")
-    groups = C.stage(counts.where("chunk is null").select("lang", "source").distinct(), "groups")
-    counts = counts.where("chunk is not null")
-
-    sums = C.stage(counts.groupBy("lang", "source", "chunk").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")), "chunk-sums")
-    distinct = sums.select("chunk").distinct()
-    lexicon = C.stage(distinct.select("chunk", F.explode(_terms(F.col("chunk"))).alias("term")).groupBy("chunk", "term").agg(
-        F.count("*").alias("times")), "chunk-terms")
-
-    per_lang = sums.groupBy("lang", "chunk").agg(F.sum("docs").alias("docs"))
-    bounds = C.stage(per_lang.join(lexicon, "chunk").groupBy("lang", "term").agg(
-        F.max("docs").alias("low"), F.sum("docs").alias("high")).where(F.col("high") >= least), "term-bounds")
-    open_chunks = bounds.where(F.col("low") < least).join(lexicon, "term").select("lang", "term", "chunk")
-    rows = counts.where("ids is not null").select("lang", "chunk", "ids")
-    found = open_chunks.join(rows, ["lang", "chunk"]).select("lang", "term", F.explode("ids").alias("row")).distinct()
+    chunks = C.stage(_split_chunks(_chunk_counts(docs, least), least), "chunks")
+    groups = chunks.where("terms is null").select("lang", F.explode("sources").alias("source")).distinct()
+    each = F.explode(F.arrays_zip("terms", "times")).alias("each")
+    flat = chunks.where("size(terms) > 0").select("lang", "docs", "sources", "ns", "ids", each).select(
+        "lang", "docs", "sources", "ns", "ids", F.col("each.terms").alias("term"), F.col("each.times").alias("times"))
+
+    bounds = C.stage(flat.groupBy("lang", "term").agg(F.max("docs").alias("low"), F.sum("docs").alias("high")).where(
+        F.col("high") >= least), "term-bounds")
+    between = bounds.where(F.col("low") < least).select("lang", "term")
+    found = flat.where("ids is not null").select("lang", "term", "ids").join(between, ["lang", "term"]).select(
+        "lang", "term", F.explode("ids").alias("row")).distinct()
     counted = found.groupBy("lang", "term").count().where(F.col("count") >= least)
-    kept = bounds.where(F.col("low") >= least).select("lang", "term").union(counted.select("lang", "term"))
+    kept = C.stage(bounds.where(F.col("low") >= least).select("lang", "term").union(counted.select("lang", "term")), "kept-terms")
 
-    held = sums.join(lexicon, "chunk").groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
-    return C.stage(held.join(kept, ["lang", "term"]).select("lang", "source", "term", "n"), "kept-counts"), groups
+    cell = F.explode(F.arrays_zip("sources", "ns")).alias("cell")
+    held = flat.select("lang", "term", "times", "sources", "ns").join(kept, ["lang", "term"]).select("lang", "term", "times", cell)
+    return C.stage(held.groupBy("lang", F.col("cell.sources").alias("source"), "term").agg(
+        F.sum(F.col("cell.ns") * F.col("times")).alias("n")), "kept-counts"), groups
 
 
 def divergence(docs: DataFrame, *, least: int = 30, top: int = TOP) -> DataFrame:

@@ -51,16 +51,24 @@ def test_divergence_equals_plain_counting(spark):
 
 
 def test_small_holds_and_rare_chunks(spark):
-    """Counts flushed after every document, and terms whose documents only add up over several rare chunks."""
+    """Terms whose documents only add up over several rare chunks."""
     rows = [(f"term{'.' * (i % 12)} other{i} Both both, both;", "en", f"s{i % 3}") for i in range(60)]
     frame = spark.createDataFrame(table(rows), SCHEMA).repartition(5)
     assert sorted(map(tuple, S.divergence(frame, least=30).collect())) == brute(rows, 30)
     small = [(f"term{'.' * (i % 12)} other, other; filler{i}", "en", f"s{i % 3}") for i in range(29)]
     frame = spark.createDataFrame(table(small), SCHEMA)
     assert {r[4] for r in S.divergence(frame, least=30).collect()} == {0} and brute(small, 30)
-    bits = S._chunk_counts(spark.createDataFrame(table(rows), SCHEMA).selectExpr(
-        "text", "lang", "source", "monotonically_increasing_id() row"), 30, hold=2)
-    assert bits.selectExpr("sum(n)").first()[0] == 60 * 5
+
+
+def test_slices_of_documents_add_up(spark):
+    """Counts of a few texts at a time, so that most chunks meet in pieces."""
+    rows = [(f"term{'.' * (i % 12)} other{i} Both both, both;", ["en", "de"][i % 2], f"s{i % 3}") for i in range(80)]
+    frame = spark.createDataFrame(table(rows), SCHEMA).repartition(3).selectExpr(
+        "text", "lang", "source", "monotonically_increasing_id() row").cache()
+    row = lambda r: (r.lang, r.docs, dict(zip(r.sources, r.ns)), r.terms, r.times)
+    few, all_at_once = (sorted((row(r) for r in S._split_chunks(S._chunk_counts(frame, 30, limit), 30).collect()), key=repr)
+                        for limit in (40, 1 << 24))
+    assert few == all_at_once and sum(n for r in few for n in r[2].values()) == 80 * 5
 
 
 def test_several_buckets_of_terms(spark, monkeypatch):
