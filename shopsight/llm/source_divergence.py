@@ -71,7 +71,7 @@ def _slices(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
         first = last
 
 
-def _chunk_counts(docs: DataFrame, least: int, limit: int = 16 << 20) -> DataFrame:
+def _chunk_counts(docs: DataFrame, least: int, limit: int = 24 << 20) -> DataFrame:
     """Partial counts per language and chunk, with occurrences per source; ``ids`` is null from ``least`` documents on.
 
     A row with a null chunk lists the sources of a language. ``limit`` bytes of text are counted together.
