@@ -11,7 +11,9 @@ Only links between different components matter for the classes, so the join work
 rounds each node is compared with one node of each of its tokens' buckets (linear in the index). Then all
 pairs of the buckets that still hold different components are formed, thinned by parity bits (each differing
 bit is a token that only one set has) and by the number of prefix tokens that similar sets must share, and
-verified on their whole texts. No pair of similar sets is lost; no candidate is capped or sampled.
+verified on their whole texts. Frequent tokens meet by size class: sets of like size must share a combination in
+a much shorter prefix than sets of unlike size.
+No pair of similar sets is lost; no candidate is capped or sampled.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; a text of one to
 four words is one shingle. Every input row gives one row; rows that repeat a doc_id are judged by their own
@@ -30,7 +32,9 @@ from shopsight.llm.components import components
 
 COUNTERS = 1 << 18
 PAIR = 2  # tokens in a combination of the frequent class
+MANY = 24  # frequent tokens of which all couples are shown
 PARITY = 8  # longs of parity bits per set
+_STEP_SIZE = 1.05  # from one size class to the next
 _STEP = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -135,13 +139,13 @@ def _index(docs: DataFrame, sketch: np.ndarray, size: int, percent: int, frequen
                 yield pa.RecordBatch.from_pydict({
                     "token": pa.array(token.view(np.int64)), "node": pa.array(node[group]),
                     "salt": pa.array(np.where(rank > 0, node[group] & 63, -1).astype(np.int32)),
-                    "n": pa.array(n[group].astype(np.int32))})
+                    "n": pa.array(n[group].astype(np.int32)), "place": pa.array(place[keep].astype(np.int32))})
 
     def repeated(batches):
         """Runs of one token, as they stream by; a run is held only until its class is known."""
         held, flushed = None, False
         for batch in batches:
-            rows = np.stack([np.asarray(batch[c]).astype(np.int64) for c in ("token", "salt", "node", "n")])
+            rows = np.stack([np.asarray(batch[c]).astype(np.int64) for c in ("token", "salt", "node", "n", "place")])
             if held is not None:
                 rows = np.concatenate([held, rows], axis=1)
             if not rows.shape[1]:
@@ -168,14 +172,55 @@ def _index(docs: DataFrame, sketch: np.ndarray, size: int, percent: int, frequen
         if held is not None and not flushed and held.shape[1] > 1:
             yield _index_rows(held, np.zeros(held.shape[1], bool))
 
-    found = docs.select("text").mapInArrow(prefixes, "token long, node long, salt int, n int")
+    found = docs.select("text").mapInArrow(prefixes, "token long, node long, salt int, n int, place int")
     return found.repartition("token", "salt").sortWithinPartitions("token", "salt", "node").mapInArrow(
-        repeated, "token long, node long, n int, often boolean")
+        repeated, "token long, node long, n int, place int, often boolean")
 
 
 def _index_rows(rows: np.ndarray, often: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"token": pa.array(rows[0]), "node": pa.array(rows[2]),
-                                       "n": pa.array(rows[3].astype(np.int32)), "often": pa.array(often)})
+                                       "n": pa.array(rows[3].astype(np.int32)), "place": pa.array(rows[4].astype(np.int32)),
+                                       "often": pa.array(often)})
+
+
+def _overlap(n, m, percent):
+    """Least overlap of similar sets of n and m tokens."""
+    return F.ceil(percent * (F.col(n) + F.col(m)) / (100.0 + percent))
+
+
+def _combinations(often: DataFrame, percent: int) -> DataFrame:
+    """Combinations of frequent tokens: one, two, size_class, delta, large, wide, other_wide, node, n, root and room.
+
+    A node shows its combinations once for every difference ``delta`` of size classes that a similar set may have,
+    as the larger and as the smaller of the two: the closer the sizes, the shorter the prefix that must hold a
+    combination. A node of up to ``MANY`` frequent tokens there shows couples; a wider one would show too many, so
+    single tokens stand for it (``one`` = ``two``), and others show theirs for the wide ones alone. ``room`` is the
+    number of tokens of the node that the first prefix with the whole combination leaves out.
+    """
+    held = often.groupBy("node", "n", "root").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("held"))
+    reach = int(np.ceil(np.log(100 / percent) / np.log(_STEP_SIZE)))
+    own_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(_STEP_SIZE))).cast("int")
+    held = held.withColumn("own_class", own_class).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("delta")).select(
+        "*", F.explode(F.array(F.lit(True), F.lit(False))).alias("large"))
+    other = F.col("own_class") + F.when(F.col("large"), -F.col("delta")).otherwise(F.col("delta"))
+    # the other set's size at least; one less for the rounding of the power
+    least = F.greatest(F.floor(F.pow(F.lit(_STEP_SIZE), other)) - 1, F.when(F.col("large"), F.ceil(
+        percent * F.col("n") / 100.0)).otherwise(F.col("n")))
+    held = held.select("node", "n", "root", "delta", "large", F.least("own_class", other).alias("size_class"), "held", least.alias("least"))
+    held = held.withColumn("limit", (F.col("n") - _overlap("n", "least", percent) + PAIR).cast("int"))
+    held = held.withColumn("held", F.filter("held", lambda t: t["place"] < F.col("limit"))).where("size(held) > 0").withColumn(
+        "wide", F.size("held") > MANY)
+    couples = F.expr("flatten(transform(held, (a, i) -> transform(slice(held, i + 2, size(held)), "
+                     "b -> struct(a.token AS one, b.token AS two, b.place AS place))))")
+    singles = F.transform(F.filter("held", lambda t: t["place"] < F.col("limit") - 1), lambda t: F.struct(
+        t["token"].alias("one"), t["token"].alias("two"), t["place"].alias("place")))
+    keys = ["size_class", "delta", "large", "wide", "node", "n", "root"]
+    shown = held.where("not wide").select(*keys, F.lit(False).alias("other_wide"), F.explode(couples).alias("c")).union(
+        held.select(*keys, F.explode(F.when(F.col("wide"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))).alias(
+            "other_wide"), singles.alias("singles")).select(*keys, "other_wide", F.explode("singles").alias("c")))
+    return shown.select("c.one", "c.two", *keys, "other_wide", (
+        F.col("n") - F.col("c.place") - 1 + F.when(F.col("c.one") == F.col("c.two"), 1).otherwise(PAIR)).alias("room"))
 
 
 def _enough(shared, n, m, percent):
@@ -266,43 +311,42 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 75, freque
         mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
         open_index = C.stage(placed.join(mixed.select("token"), "token"), "open-index")
 
-    open_index = open_index.join(nodes.select("node", *bits), "node")
+    parity = nodes.select("node", *bits)
 
-    def pairs_by(keys: list[str], frame: DataFrame, *more: str) -> DataFrame:
-        one, two = (frame.select(*keys, *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "root", *bits, *more)])
-                    for side in "uv")
+    def pairs_by(keys: list[str], one: DataFrame, two: DataFrame, *more: str):
+        """Pairs of nodes of different components that share the keys and that sizes and parity bits allow."""
+        one, two = (frame.join(parity, "node").select(*keys, *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "root", *bits, *more)])
+                    for side, frame in (("u", one), ("v", two)))
         # every differing parity bit is at least one token that only one of the sets has
         apart = sum((F.bit_count(F.col(f"{c}_u").bitwiseXOR(F.col(f"{c}_v"))) for c in bits), F.lit(0))
         both = F.col("n_u") + F.col("n_v")
         near = ((percent * F.greatest("n_u", "n_v") <= 100 * F.least("n_u", "n_v"))
                 & ((100 + percent) * (both - apart) >= 2 * percent * both))
-        if more:  # of all common couples the first one stands for the pair, where both lists are there
-            first = F.expr("own_u IS NULL OR own_v IS NULL OR slice(array_intersect(own_u, own_v), 1, 2) = array(one, two)")
-            near = near & first
-        return one.join(two, keys).where((F.col("node_u") > F.col("node_v")) & (F.col("root_u") != F.col("root_v")) & near)
-
-    often = open_index.where("often")
-    own = often.groupBy("node").agg(F.array_sort(F.collect_list("token")).alias("own")).withColumn(
-        "own", F.when(F.size("own") <= 48, F.col("own")))  # longer lists would weigh more than the doubles they save
-    often = often.join(own, "node")
-    couples = often.alias("a").join(often.alias("b"), (F.col("a.node") == F.col("b.node")) & (
-        F.col("a.token") < F.col("b.token"))).select(
-        F.col("a.token").alias("one"), F.col("b.token").alias("two"), "a.node", "a.n", "a.root",
-        *[f"a.{c}" for c in bits], "a.own")
-    common = F.expr("CASE WHEN own_u IS NULL OR own_v IS NULL THEN 1 ELSE size(array_intersect(own_u, own_v)) * "
-                    "(size(array_intersect(own_u, own_v)) - 1) div 2 END")
+        order = (F.col("n_u") > F.col("n_v")) | ((F.col("n_u") == F.col("n_v")) & (F.col("node_u") > F.col("node_v")))
+        return one.join(two, keys).where(order & (F.col("root_u") != F.col("root_v")) & near)
+
     names = [F.col("node_u").alias("u"), F.col("node_v").alias("v"), F.col("n_u").alias("n"), F.col("n_v").alias("m")]
-    counted = pairs_by(["token"], open_index.where("not often")).select(*names, F.lit(1).alias("rare"), F.lit(0).alias("couples")).union(
-        pairs_by(["one", "two"], couples, "own").select(*names, F.lit(0).alias("rare"), common.cast("int").alias("couples")))
-    counted = counted.groupBy("u", "v", "n", "m").agg(F.sum("rare").alias("rare"), F.sum("couples").alias("couples"))
-    # c couples come from (1 + sqrt(1 + 8c)) / 2 tokens; a single frequent token shows in no couple
-    shared = F.col("rare") + F.round((1 + F.sqrt(1 + 8 * F.col("couples"))) / 2)
+    rare, often = open_index.where("not often"), open_index.where("often")
+    units = C.stage(_combinations(often, percent), "combinations")
+    keys = ["one", "two", "size_class", "delta", "wide_large", "wide_small"]
+    large, small = (units.where(F.col("large") == side).withColumnsRenamed({
+        "wide": "wide_large" if side else "wide_small", "other_wide": "wide_small" if side else "wide_large"}) for side in (True, False))
+    least = _overlap("n_u", "n_v", percent)
+    together = pairs_by(keys, large, small, "room").where((F.col("room_u") >= least) & (F.col("room_v") >= least))
+    counted = C.stage(pairs_by(["token"], rare, rare).select(*names, F.lit(1).alias("rare")).union(
+        together.select(*names, F.lit(0).alias("rare")).distinct()).groupBy("u", "v", "n", "m").agg(F.sum("rare").alias("rare")), "candidates")
+    own = often.groupBy("node").agg(F.collect_list("token").alias("own"))  # part of one text's prefix
+    for side in "uv":
+        counted = counted.join(own.select(F.col("node").alias(side), F.col("own").alias(f"own_{side}")), side, "left")
+    shared = F.col("rare") + F.coalesce(F.when(F.col("own_u").isNotNull() & F.col("own_v").isNotNull(), F.size(
+        F.array_intersect("own_u", "own_v"))), F.lit(0))
     second = _verified(counted.where(_enough(shared, F.col("n"), F.col("m"), percent)), nodes, docs, size, percent)
 
     tops = _merged(roots, second)
     joined = rows.join(tops, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = joined.where("root is not null").groupBy("root").agg(
-        F.min("doc_id").alias("component_id"), F.count("*").alias("class_size"))
+    # stored first, so that the rows of a large class can be split in the join
+    classes = C.stage(joined.where("root is not null").groupBy("root").agg(
+        F.min("doc_id").alias("component_id"), F.count("*").alias("class_size")), "classes")
     return joined.join(classes, "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
