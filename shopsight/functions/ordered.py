@@ -15,18 +15,19 @@ from pyspark.sql import functions as F
 from shopsight.session import materialize
 
 _PART = "_part"
+_RANGE_ROWS = 1_000_000
 
 
 def running_totals(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
     """Running sums (row included) along a total order.
 
     Rows are range-partitioned on the order, each range gets its own running sum, and the sums of
-    the earlier ranges are added: one row per range, so that part is as small as the partition
-    count. ``order`` has to be unique per row; ties on a leading column are then split between
+    the earlier ranges are added: one row per range, and a range holds about ``_RANGE_ROWS`` rows at most. ``order`` has to be unique per row; ties on a leading column are then split between
     ranges by the later ones, so one heavy value cannot fill a single range. The ranges are
     written out, because both branches must see the same cut points.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # as many ranges as the rows need, so that a range keeps its size when the table grows
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // _RANGE_ROWS))
     inputs = {f"_in_{name}": value for name, value in sums.items()}
     ranged = materialize(
         df.withColumns(inputs).repartitionByRange(parts, *order).withColumn(_PART, F.spark_partition_id()),

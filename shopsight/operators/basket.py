@@ -86,44 +86,44 @@ def frequent_itemsets(basket_table: DataFrame, min_support: float = 0.001) -> Da
     )
 
 
-_LOW_BITS = 16
-
-
 def association_rules(itemsets: DataFrame, min_confidence: float = 0.65) -> DataFrame:
     """Every split of every itemset in antecedents and consequents, kept from the given confidence on.
 
-    A split is a bit mask over the sorted items. The mask is unrolled in two steps, so that the
-    array behind one ``explode`` stays short for long itemsets too.
+    Consequents grow by one item at a time. Confidence never rises when an item moves over to the
+    consequents, so only those that two kept ones of the same itemset make together are looked at:
+    a long itemset costs what its kept rules cost, not two to the power of its length.
     """
     counts = itemsets.select("items", "freq")
-    splits = (
-        itemsets.where(F.size("items") >= 2)
-        .withColumn("k", F.size("items"))
-        .withColumn("high", F.expr(f"explode(sequence(0L, shiftleft(1L, greatest(k - {_LOW_BITS}, 0)) - 1))"))
-        .withColumn("low", F.expr(f"explode(sequence(0L, shiftleft(1L, least(k, {_LOW_BITS})) - 1))"))
-        .withColumn("mask", F.expr(f"shiftleft(high, {_LOW_BITS}) | low"))
-        .where("mask <> 0 and mask <> shiftleft(1L, k) - 1")
-        .select(
-            "freq", "n_receipts", "support",
-            F.expr("filter(items, (x, i) -> shiftright(mask, i) & 1L = 1L)").alias("antecedents"),
-            F.expr("filter(items, (x, i) -> shiftright(mask, i) & 1L = 0L)").alias("consequents"),
-        )
-    )
     left = counts.select(F.col("items").alias("antecedents"), F.col("freq").alias("freq_a"))
+    whole = ["items", "freq", "n_receipts", "support"]
+
+    def kept(splits: DataFrame) -> DataFrame:
+        """Those splits whose antecedents are frequent enough for the confidence, written once."""
+        return materialize(splits.withColumn("antecedents", F.array_except("items", "consequents")).join(
+            left, "antecedents").where(F.col("freq").cast("double") / F.col("freq_a") >= min_confidence), "splits")
+
+    longest = itemsets.agg(F.max(F.size("items")).alias("k")).first()["k"] or 0
+    level = kept(itemsets.where(F.size("items") >= 2).select(*whole, F.explode("items").alias("c")).select(
+        *whole, F.array("c").alias("consequents")))
+    splits = level
+    for size in range(2, longest):
+        head, last = F.slice("consequents", 1, size - 2) if size > 2 else F.array().cast("array<string>"), F.element_at("consequents", -1)
+        one = level.where(F.size("items") > size).select(*whole, "consequents", head.alias("head"), last.alias("last"))
+        two = one.select("items", "head", F.col("last").alias("next"))
+        grown = one.join(two, ["items", "head"]).where("last < next").select(
+            *whole, F.concat("consequents", F.array("next")).alias("consequents"))
+        level = kept(grown)
+        if level.isEmpty():
+            break
+        splits = splits.unionByName(level)
     right = counts.select(F.col("items").alias("consequents"), F.col("freq").alias("freq_c"))
     f, n, fa, fc = (F.col(c).cast("double") for c in ("freq", "n_receipts", "freq_a", "freq_c"))
-    return (
-        splits.join(left, "antecedents")
-        .withColumn("confidence", f / fa).where(F.col("confidence") >= min_confidence)
-        .join(right, "consequents")
-        .select(
-            "antecedents", "consequents", (fa / n).alias("antecedent_support"),
-            (fc / n).alias("consequent_support"), "support", "confidence",
-            (f * n / (fa * fc)).alias("lift"), (F.col("support") - (fa / n) * (fc / n)).alias("leverage"),
-            F.when(F.col("freq") == F.col("freq_a"), F.lit(float("inf")))
-            .otherwise((1 - fc / n) / (1 - F.col("confidence"))).alias("conviction"),
-        )
-    )
+    return splits.withColumn("confidence", f / fa).join(right, "consequents").select(
+        "antecedents", "consequents", (fa / n).alias("antecedent_support"),
+        (fc / n).alias("consequent_support"), "support", "confidence",
+        (f * n / (fa * fc)).alias("lift"), (F.col("support") - (fa / n) * (fc / n)).alias("leverage"),
+        F.when(F.col("freq") == F.col("freq_a"), F.lit(float("inf")))
+        .otherwise((1 - fc / n) / (1 - F.col("confidence"))).alias("conviction"))
 
 
 def filter_rules(rules: DataFrame, above_support: float = 0.002, min_lift: float = 280) -> DataFrame:

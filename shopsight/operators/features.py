@@ -36,18 +36,48 @@ def feature_table(loyalty: DataFrame, accounts: DataFrame, labels: DataFrame,
     return table.drop("ID_ADDRESS").join(labels.select("ID_CLI", "CHURN", "N_LINES"), "ID_CLI")
 
 
-def category_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
-    """The sorted levels of each column, in one job; null is no level."""
+MOST_COLUMNS = 1000  # dense flags that a table may get
+
+
+def _levels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("level")) for c in columns])).alias("p")
-    rows = df.select(pairs).select("p.*").where("level is not null").distinct().collect()
-    return {c: sorted(r.level for r in rows if r.name == c) for c in columns}
+        F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level")) for c in columns])).alias("p")
+    return df.select(pairs).select("p.*").where("level is not null")
+
+
+def level_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The levels of each column with their place in its order, from 0: (variable, level, place)."""
+    placed = row_numbers(_levels(df, columns).distinct(), [F.col("variable"), F.col("level")])
+    first = placed.groupBy("variable").agg(F.min("position").alias("first"))  # one row per column
+    return placed.join(F.broadcast(first), "variable").select(
+        "variable", "level", (F.col("position") - F.col("first")).alias("place"))
+
+
+def long_dummies(df: DataFrame, key: str, columns: Sequence[str], dictionary: DataFrame | None = None) -> DataFrame:
+    """The flags that are set, one row each: (key, variable, level, place); the first level sets none.
+
+    The levels stay a table that is joined to the rows, so their number has no bound. Levels that
+    the dictionary lacks set no flag.
+    """
+    dictionary = dictionary if dictionary is not None else level_dictionary(df, columns)
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level")) for c in columns])).alias("p")
+    return df.select(key, cells).select(key, "p.*").join(dictionary.where("place > 0"), ["variable", "level"]).select(
+        key, "variable", "level", "place")
+
+
+def category_levels(df: DataFrame, columns: Sequence[str], most: int = MOST_COLUMNS) -> dict[str, list]:
+    """The sorted levels of each column, in one job; null is no level. More than ``most`` are refused."""
+    rows = _levels(df, columns).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} levels for a dense table; long_dummies keeps them as rows")
+    return {c: sorted(r.level for r in rows if r.variable == c) for c in columns}
 
 
 def dummies(df: DataFrame, columns: Sequence[str], levels: dict[str, list] | None = None) -> DataFrame:
     """0/1 columns per level, the first level of each column left out.
 
-    The levels are the schema of the result; where they are many, :func:`design` keeps them sparse.
+    The levels are the schema of the result, up to ``MOST_COLUMNS``; :func:`long_dummies` has no bound.
     """
     levels = levels or category_levels(df, columns)
     flags = [_flag(c, level).alias(f"{c}_{level}") for c in columns for level in levels[c][1:]]

@@ -7,6 +7,7 @@ the scaled vector ``features``; ``predict`` adds prediction and score to a frame
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -23,10 +24,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shopsight.operators import logistic as by_sums
 from shopsight.operators.evaluate import binary_metrics, confusion, roc_auc_by
 from shopsight.operators.features import Scaler, decile_ranks
 from shopsight.operators.neighbours import nearest, votes
-from shopsight.session import scratch_path
+from shopsight.session import materialize, scratch_path
 
 Predict = Callable[[DataFrame], DataFrame]
 Fit = Callable[[DataFrame, int], Predict]
@@ -43,11 +45,19 @@ def _margin(model) -> Predict:
     return lambda df: model.transform(df).withColumn("score", vector_to_array("rawPrediction")[1])
 
 
-def logistic(c: float = 1.0, balanced: bool = False) -> Fit:
+@dataclass(frozen=True)
+class Logistic:
     """L2 logistic regression; strength C over n rows is a penalty of 1 / (C n)."""
-    def fit(train: DataFrame, n: int) -> Predict:
-        return _probability(fit_logistic(train, n, c, balanced))
-    return fit
+
+    c: float = 1.0
+    balanced: bool = False
+
+    def __call__(self, train: DataFrame, n: int) -> Predict:
+        return _probability(fit_logistic(train, n, self.c, self.balanced))
+
+
+def logistic(c: float = 1.0, balanced: bool = False) -> Fit:
+    return Logistic(c, balanced)
 
 
 def fit_logistic(train: DataFrame, n: int, c: float = 1.0, balanced: bool = False):
@@ -109,8 +119,16 @@ def knn(k: int = 5) -> Fit:
     return fit
 
 
+@dataclass(frozen=True)
+class Bayes:
+    """Gaussian naive Bayes."""
+
+    def __call__(self, train: DataFrame, n: int) -> Predict:
+        return _probability(NaiveBayes(modelType="gaussian").fit(train))
+
+
 def naive_bayes() -> Fit:
-    return lambda train, n: _probability(NaiveBayes(modelType="gaussian").fit(train))
+    return Bayes()
 
 
 def decision_tree(max_depth: int = 30, seed: int = 0) -> Fit:
@@ -157,27 +175,30 @@ _LOGISTIC_TOLERANCE = 1e-4
 _SVM_TOLERANCE = 1e-3
 
 TRAINING_PARTITIONS = "spark.shopsight.trainingPartitions"
+_ROWS_PER_TASK = 50_000
 
 
 def training_layout(df: DataFrame, key: str = "ID_CLI") -> DataFrame:
-    """Rows dealt out and ordered by key over a number of partitions that only its setting names (8 if unset).
+    """Rows dealt out and ordered by key over a number of partitions that follows from their number alone.
 
     Bagging draws per partition, so the trees depend on the layout; this one is the same for any
-    input order and any number of shuffle partitions. A large cluster sets more partitions.
+    input order, any number of input or shuffle partitions and any cluster, and grows with the rows.
+    A setting may name another number.
     """
-    parts = int(df.sparkSession.conf.get(TRAINING_PARTITIONS, "8"))
+    named = df.sparkSession.conf.get(TRAINING_PARTITIONS, None)
+    parts = int(named) if named else max(8, -(-df.count() // _ROWS_PER_TASK))
     return df.repartition(parts, key).sortWithinPartitions(key)
 
 
-def _scaled_fit(fit: Fit, train: DataFrame, test: DataFrame) -> DataFrame:
+def _scaled_fit(fit: Fit, train: DataFrame, test: DataFrame, scaler: Scaler | None = None) -> DataFrame:
     """Scale by the training rows, fit, and predict the test rows."""
-    scaler = Scaler.fit(train)
+    scaler = scaler or Scaler.fit(train)
     return fit(scaler.apply(train), scaler.n)(scaler.apply(test))
 
 
-def _score_all(spark: SparkSession, tasks: Sequence[tuple[str, int, Fit, DataFrame, DataFrame]],
+def _score_all(spark: SparkSession, tasks: Sequence[tuple[str, int, Fit, DataFrame, DataFrame, Scaler | None]],
                parallelism: int) -> DataFrame:
-    """Fit every (model, fold, fit, train, test) and gather the test scores as one table.
+    """Fit every (model, fold, fit, train, test, scaler) and gather the test scores as one table.
 
     The fits run side by side from a few driver threads, as the built-in tuner does. Each writes its
     scores to a folder of its own, so all of them are evaluated together by a few grouped jobs.
@@ -185,32 +206,75 @@ def _score_all(spark: SparkSession, tasks: Sequence[tuple[str, int, Fit, DataFra
     path = scratch_path(spark, "scores")
 
     def one(place: int) -> None:
-        _, _, fit, train, test = tasks[place]
-        _scaled_fit(fit, train, test).select("label", "prediction", "score").write.parquet(f"{path}/task={place}")
+        _, _, fit, train, test, scaler = tasks[place]
+        _scaled_fit(fit, train, test, scaler).select("label", "prediction", "score").write.parquet(f"{path}/task={place}")
 
     with ThreadPool(parallelism) as pool:
         pool.map(inheritable_thread_target(spark)(one), range(len(tasks)), chunksize=1)
-    names = F.array(*[F.struct(F.lit(name).alias("model"), F.lit(fold).alias("fold")) for name, fold, *_ in tasks])
-    return spark.read.schema("label double, prediction double, score double, task int").parquet(path).select(
-        names[F.col("task")].alias("t"), "label", "prediction", "score").select("t.*", "label", "prediction", "score")
+    return _named(spark.read.schema("label double, prediction double, score double, task int").parquet(path),
+                  "task", [(name, fold) for name, fold, *_ in tasks])
+
+
+def _named(scored: DataFrame, place: str, names: Sequence[tuple[str, int]]) -> DataFrame:
+    """Scores with the model and fold that stand at their place."""
+    table = F.array(*[F.struct(F.lit(name).alias("model"), F.lit(fold).alias("fold")) for name, fold in names])
+    return scored.select(table[F.col(place)].alias("t"), "label", "prediction", "score").select(
+        "t.*", "label", "prediction", "score")
+
+
+def _scores_by_sums(points: DataFrame, known: by_sums.Moments, classifiers: dict[str, Fit], folds: Sequence[int]) -> DataFrame:
+    """Scores of logistic regressions and naive Bayes in every fold: one scan per Newton step for all of them."""
+    names = [(name, fold) for name in classifiers for fold in folds]
+    problems = [by_sums.Problem(fold, fit.c, fit.balanced) for fit in classifiers.values() if isinstance(fit, Logistic) for fold in folds]
+    weights = iter(by_sums.fit_all(points, problems, known) if problems else ())
+    odds = [(fold, by_sums.linear_score(next(weights)) if isinstance(classifiers[name], Logistic)
+             else by_sums.bayes_score(known, fold)) for name, fold in names]
+    return _named(by_sums.scored(points, odds), "place", names)
 
 
 def cross_validate(rows: DataFrame, classifiers: dict[str, Fit], folds: int = 10,
                    parallelism: int = 8) -> DataFrame:
     """Accuracy, balanced accuracy and AUC per (model, fold); ``rows`` has a fold column.
 
-    The scaler is fitted inside every fold.
+    The scaler is fitted inside every fold. Scalers, logistic regressions and naive Bayes come from
+    sums per fold while the features are no more than ``WIDEST``; other models are fitted fold by fold.
     """
     rows = training_layout(rows).persist()
-    tasks = [(name, fold, fit, rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold))
-             for name, fit in classifiers.items() for fold in range(folds)]
-    scored = _score_all(rows.sparkSession, tasks, parallelism)
+    first = rows.select("x").first()
+    few = first is not None and first["x"].size <= by_sums.WIDEST
+    summed = {name: fit for name, fit in classifiers.items() if few and isinstance(fit, (Logistic, Bayes))}
+    scaler: dict[int, Scaler] = {}
+    scored = None
+    if few:
+        points = by_sums.points(rows).persist()
+        known = by_sums.moments(points)
+        for fold in known.folds:
+            n, *_, std = known.without(fold)
+            scaler[fold] = Scaler(int(n.sum()), std.tolist())
+        if summed:
+            scored = materialize(_scores_by_sums(points, known, summed, known.folds), "scores")
+        points.unpersist()
+    tasks = [(name, fold, fit, rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold), scaler.get(fold))
+             for name, fit in classifiers.items() if name not in summed for fold in range(folds)]
+    if tasks:
+        rest = _score_all(rows.sparkSession, tasks, parallelism)
+        scored = rest if scored is None else scored.unionByName(rest)
     rows.unpersist()
     by = ("model", "fold")
     return binary_metrics(confusion(scored, by=by), by).select(*by, "accuracy", "balanced_accuracy").join(
         roc_auc_by(scored, by, "label", "score"), list(by))
 
 
+def fold_accuracy(rows: DataFrame) -> DataFrame:
+    """Rows and right predictions of Gaussian naive Bayes per fold: (fold, n, n_right, accuracy)."""
+    points = by_sums.points(rows)
+    known = by_sums.moments(points)
+    scored = _scores_by_sums(points, known, {"Gaussian NB": naive_bayes()}, known.folds)
+    hit = (F.col("prediction") == F.col("label")).cast("long")
+    return scored.groupBy("fold").agg(F.count("*").alias("n"), F.sum(hit).alias("n_right")).withColumn(
+        "accuracy", F.col("n_right") / F.col("n"))
+
+
 def cv_summary(scores: DataFrame) -> DataFrame:
     """Mean and deviation over the folds in percent, best AUC first."""
     def percent(value: Column) -> Column:
@@ -224,7 +288,8 @@ def cv_summary(scores: DataFrame) -> DataFrame:
 def holdout(train: DataFrame, test: DataFrame, classifiers: dict[str, Fit], parallelism: int = 8) -> DataFrame:
     """Test metrics per model, best precision first."""
     train = training_layout(train)
-    tasks = [(name, 0, fit, train, test) for name, fit in classifiers.items()]
+    scaler = Scaler.fit(train)
+    tasks = [(name, 0, fit, train, test, scaler) for name, fit in classifiers.items()]
     scored = _score_all(train.sparkSession, tasks, parallelism)
     return binary_metrics(confusion(scored, by=["model"]), ["model"]).select(
         "model", "accuracy", "precision", "recall", "f1", "f2"
@@ -239,27 +304,86 @@ def grid_search(rows: DataFrame, grid: Sequence[float] = C_GRID, folds: int = 10
         F.avg("balanced_accuracy").alias("balanced_accuracy")).orderBy(F.desc("balanced_accuracy"), "C")
 
 
+def use_best(grid: DataFrame, rows: DataFrame) -> tuple[float, Predict]:
+    """The best C of :func:`grid_search` and a regression of that strength on all rows, ready to predict."""
+    best = grid.orderBy(F.desc("balanced_accuracy"), "C").first()["C"]
+    rows = training_layout(rows)
+    scaler = Scaler.fit(rows)
+    predict = logistic(best)(scaler.apply(rows), scaler.n)
+    return best, lambda df: predict(scaler.apply(df))
+
+
+@dataclass(frozen=True)
+class Trees:
+    """An ensemble as flat arrays: feature, threshold, left and right child and P(1) of every node, roots first to last.
+
+    A node takes 32 bytes and the nodes number at most twice the training rows times the trees; leaves
+    are their own children.
+    """
+
+    roots: np.ndarray
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    chance: np.ndarray
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        """P(1) per row and tree; all rows go down all trees a level at a time."""
+        at = np.repeat(self.roots[None, :], len(x), axis=0)
+        row = np.arange(len(x))[:, None]
+        while True:
+            down = np.where(x[row, self.feature[at]] <= self.threshold[at], self.left[at], self.right[at])
+            if np.array_equal(down, at):
+                return self.chance[at]
+            at = down
+
+
+def flat_trees(model) -> Trees:
+    """The node arrays of a fitted tree ensemble, read from its stored form."""
+    spark = SparkSession.getActiveSession()
+    path = scratch_path(spark, "forest")
+    model.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").select(
+        "treeID", "id", "leftChild", "rightChild", "impurityStats", F.col("split.featureIndex").alias("feature"),
+        F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"))
+    table = nodes.toPandas().sort_values(["treeID", "id"]).reset_index(drop=True)
+    own = np.arange(len(table))
+    start = table.groupby("treeID")["id"].transform("size").to_numpy()
+    roots = np.flatnonzero(table["id"].to_numpy() == 0)
+    first = np.repeat(roots, start[roots])
+    left, right = table["leftChild"].to_numpy(), table["rightChild"].to_numpy()
+    inner = left >= 0
+    weight = np.stack(table["impurityStats"].to_numpy())
+    return Trees(roots, np.where(inner, table["feature"], 0), np.where(inner, table["threshold"].fillna(0.0), 0.0).astype(float),
+                 np.where(inner, first + left, own), np.where(inner, first + right, own), weight[:, 1] / weight.sum(axis=1))
+
+
 def forest_sweep(train: DataFrame, test: DataFrame, trees: int = 99, max_depth: int = 30,
                  seed: int = 1) -> DataFrame:
     """Test accuracy of the first 1..trees trees of one forest, fitted once.
 
-    Every tree adds one probability column in a single projection; the running sum over the trees
-    is taken inside the row.
+    All trees are evaluated in one pass over the test rows, which hands out one count per prefix and task.
     """
     train = training_layout(train)
     scaler = Scaler.fit(train)
     model = _forest(trees, max_depth, seed, "gini").fit(scaler.apply(train))
-    scored = scaler.apply(test)
-    for i, tree in enumerate(model.trees):
-        scored = tree.setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"p{i}").transform(scored)
-    odds = F.array(*[vector_to_array(f"p{i}")[1] for i in range(trees)])
-    sums = F.aggregate("odds", F.array().cast("array<double>"), lambda a, p: F.concat(
-        a, F.array(F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1), F.lit(0.0)) + p)))
-    return scored.select("label", odds.alias("odds")).select(
-        "label", F.posexplode(sums).alias("place", "total")
-    ).select((F.col("place") + 1).alias("trees"), (
-        (F.col("total") > (F.col("place") + 1) / 2).cast("double") == F.col("label")).cast("long").alias("hit")
-    ).groupBy("trees").agg(F.avg("hit").alias("accuracy"))
+    forest = train.sparkSession.sparkContext.broadcast(flat_trees(model))
+
+    def count(batches):
+        flat, hits, n = forest.value, 0, 0
+        for batch in batches:
+            for start in range(0, len(batch), 1024):
+                part = batch.iloc[start:start + 1024]
+                share = np.cumsum(flat.leaves(np.stack(part["x"].to_numpy())), axis=1) / np.arange(1, len(flat.roots) + 1)
+                hits = hits + ((share > 0.5) == (part["label"].to_numpy() == 1)[:, None]).sum(axis=0)
+                n += len(part)
+        if n:
+            yield pd.DataFrame({"trees": np.arange(1, len(flat.roots) + 1), "hits": hits, "n": n})
+
+    points = scaler.apply(test).select("label", vector_to_array("features").alias("x"))
+    return points.mapInPandas(count, "trees int, hits long, n long").groupBy("trees").agg(
+        (F.sum("hits") / F.sum("n")).alias("accuracy"))
 
 
 def propensity(train: DataFrame, test: DataFrame, c: float = 1.0) -> DataFrame:

@@ -1,13 +1,15 @@
-"""Exact nearest neighbours and their votes.
+"""Exact nearest neighbours by metric cells, and their votes.
 
-Both sides are cut in blocks, and a pair of blocks is one group of the shuffle. A group works on
-numpy matrices and hands out the best k of its block per query row, never a pair list; the merge
-then sees k rows per query row and block.
+Training rows are dealt to the nearest of about the square root of their number of pivots; a cell knows its
+radius. A query first meets the nearest cells that hold k rows together. Its k-th distance there then rules out
+every cell whose pivot is farther than that distance and the cell's radius together, and only the other cells are
+searched in a second round. A large cell is cut in blocks and many queries in pieces, so a group of the shuffle is
+bounded however the rows cluster. A group works on numpy matrices and hands out the best k per query row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,43 +17,128 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shopsight.session import materialize
+
+_MOST_PIVOTS = 4096
 _BLOCK_ROWS = 8192
 _PIECE_ROWS = 65536
 _STRIP = 256
+_SLACK = 1e-9  # relative; keeps a cell whose bound differs by rounding only
 
 
-def nearest(queries: DataFrame, train: DataFrame, k: int, query_blocks: int | None = None,
+def nearest(queries: DataFrame, train: DataFrame, k: int, pivots: int | None = None,
             leave_one_out: bool = False) -> DataFrame:
     """The k nearest training rows per query row: (query_id, place, train_id, label, distance2).
 
     ``queries`` has (query_id, x); ``train`` has (train_id, x, label). Distances are squared
-    Euclidean in double precision; ties go to the lower id. The training rows are spread over
-    blocks by a hash of their id, so the block size does not depend on how the data is clustered.
-    ``leave_one_out`` bars a row from being its own neighbour when both sides are the same table.
+    Euclidean in double precision; ties go to the lower id. ``leave_one_out`` bars a row from being
+    its own neighbour when both sides are the same table. ``pivots`` changes the cost, not the result;
+    what reaches the driver is at most ``_MOST_PIVOTS`` rows of the training table and of its cells.
     """
-    n_train = train.count()
-    blocks = max(1, -(-n_train // _BLOCK_ROWS))
-    pieces = query_blocks or max(
-        int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-queries.count() // _PIECE_ROWS))
-    block_of = F.pmod(F.xxhash64("train_id"), F.lit(blocks)).cast("int")
-    piece_of = F.pmod(F.xxhash64("query_id"), F.lit(pieces)).cast("int")
-    left = queries.select(
-        "query_id", F.col("x").cast("array<double>").alias("x"), piece_of.alias("piece"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = train.select(
-        "train_id", F.col("x").cast("array<double>").alias("x"), F.col("label").cast("int").alias("label"),
-        block_of.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("piece"))
+    train = train.select("train_id", F.col("x").cast("array<double>").alias("x"), F.col("label").cast("int").alias("label"))
+    queries = queries.select("query_id", F.col("x").cast("array<double>").alias("x"))
+    want = k + leave_one_out
+    counted = train.agg(F.count("*").alias("n")).first()["n"]
+    number = min(_MOST_PIVOTS, pivots or max(1, int(np.ceil(np.sqrt(counted)))))
+    if not counted:
+        return queries.where("false").select("query_id", F.lit(0).alias("place"), F.lit(0).cast("long").alias("train_id"),
+                                             F.lit(0).alias("label"), F.lit(0.0).alias("distance2"))
+    drawn = train.orderBy(F.xxhash64("train_id"), "train_id").limit(number).select("x").collect()
+    centres = np.array([r["x"] for r in drawn], np.float64).reshape(len(drawn), -1)
+    cells = materialize(_dealt(train, centres), "cells")
+    found = {r["cell"]: (r["n"], r["radius"]) for r in cells.groupBy("cell").agg(
+        F.count("*").alias("n"), F.max("away").alias("radius")).collect()}
+    sizes = np.array([found.get(c, (0, 0.0))[0] for c in range(len(centres))], np.int64)
+    radius = np.array([found.get(c, (0, 0.0))[1] for c in range(len(centres))])
+    pieces = max(1, -(-queries.count() // _PIECE_ROWS))
+
+    first = materialize(_searched(_near_cells(queries, centres, sizes, want), cells, sizes, pieces, want, leave_one_out), "near")
+    order = W.partitionBy("query_id").orderBy("distance2", "train_id")
+    best = first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    reach = best.groupBy("query_id").agg(F.max("distance2").alias("reach"), F.count("*").alias("n")).select(
+        "query_id", F.when(F.col("n") >= k, F.sqrt("reach")).alias("reach"))
+    rest = _open_cells(queries.join(reach, "query_id", "left"), centres, sizes, radius, want)
+    second = _searched(rest, cells, sizes, pieces, want, leave_one_out)
+    return first.union(second).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select(
+        "query_id", "place", "train_id", "label", "distance2")
+
+
+def _away(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Distance of every point to every centre."""
+    far = np.zeros((len(points), len(centres)))
+    for d in range(centres.shape[1]):
+        far += (points[:, d, None] - centres[None, :, d]) ** 2
+    return np.sqrt(far)
+
+
+def _strips(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    for batch in batches:
+        for start in range(0, len(batch), _STRIP):
+            strip = batch.iloc[start:start + _STRIP]
+            yield strip, np.stack(strip["x"].to_numpy())
+
+
+def _dealt(train: DataFrame, centres: np.ndarray) -> DataFrame:
+    """The training rows with their cell and the distance to its pivot."""
+    def deal(batches):
+        for strip, points in _strips(batches):
+            away = _away(points, centres)
+            cell = away.argmin(axis=1)
+            yield strip.assign(cell=cell.astype(np.int32), away=away[np.arange(len(away)), cell])
+
+    return train.mapInPandas(deal, "train_id long, x array<double>, label int, cell int, away double")
+
+
+def _first_cells(away: np.ndarray, sizes: np.ndarray, want: int) -> np.ndarray:
+    """Whether a cell is among the nearest ones that hold ``want`` rows together, per query."""
+    order = np.argsort(away, axis=1, kind="stable")
+    before = np.cumsum(sizes[order], axis=1) - sizes[order]
+    chosen = np.zeros(away.shape, bool)
+    np.put_along_axis(chosen, order, (before < want) & (sizes[order] > 0), axis=1)
+    return chosen
+
+
+def _listed(strip: pd.DataFrame, chosen: np.ndarray) -> pd.DataFrame:
+    row, cell = np.nonzero(chosen)
+    return pd.DataFrame({"query_id": strip["query_id"].to_numpy()[row], "x": strip["x"].to_numpy()[row], "cell": cell.astype(np.int32)})
+
+
+def _near_cells(queries: DataFrame, centres: np.ndarray, sizes: np.ndarray, want: int) -> DataFrame:
+    def near(batches):
+        for strip, points in _strips(batches):
+            yield _listed(strip, _first_cells(_away(points, centres), sizes, want))
+
+    return queries.mapInPandas(near, "query_id long, x array<double>, cell int")
+
+
+def _open_cells(queries: DataFrame, centres: np.ndarray, sizes: np.ndarray, radius: np.ndarray, want: int) -> DataFrame:
+    """The cells that the first round left out and that the k-th distance ``reach`` can't rule out."""
+    def rest(batches):
+        for strip, points in _strips(batches):
+            away = _away(points, centres)
+            reach = strip["reach"].to_numpy(np.float64)
+            bound = np.where(np.isnan(reach), np.inf, reach)[:, None]
+            open_ = away - radius[None, :] <= bound + _SLACK * (away + radius[None, :])
+            yield _listed(strip, open_ & (sizes > 0)[None, :] & ~_first_cells(away, sizes, want))
+
+    return queries.mapInPandas(rest, "query_id long, x array<double>, cell int")
+
+
+def _searched(visits: DataFrame, cells: DataFrame, sizes: np.ndarray, pieces: int, want: int, leave_one_out: bool) -> DataFrame:
+    """The best rows of every visited block: (query_id, train_id, label, distance2)."""
+    blocks = F.element_at(F.lit([max(1, -(-n // _BLOCK_ROWS)) for n in sizes.tolist()]), F.col("cell") + 1)
+    left = visits.withColumn("piece", F.pmod(F.xxhash64("query_id"), F.lit(pieces)).cast("int")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    right = cells.withColumn("block", F.pmod(F.xxhash64("train_id"), blocks).cast("int")).withColumn(
+        "piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
 
     def best_of_block(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        return _best(q, t, k + leave_one_out)
+        return _best(q, t, want)
 
-    best = left.groupBy("piece", "block").cogroup(right.groupBy("piece", "block")).applyInPandas(
+    keys = ["cell", "block", "piece"]
+    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
         best_of_block, "query_id long, train_id long, label int, distance2 double")
-    if leave_one_out:
-        best = best.where("train_id <> query_id")
-    order = W.partitionBy("query_id").orderBy("distance2", "train_id")
-    return best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select(
-        "query_id", "place", "train_id", "label", "distance2")
+    return best.where("train_id <> query_id") if leave_one_out else best
 
 
 def _best(q: pd.DataFrame, t: pd.DataFrame, k: int) -> pd.DataFrame:

@@ -181,3 +181,8 @@ def article_stats(lines: DataFrame) -> DataFrame:
         mean_of("IMPORTO_NETTO").alias("IMPORTO_MEDIO"),
         F.countDistinct("ID_SCONTRINO").alias("NUMERO_ACQUISTI"),
         F.countDistinct("ID_CLI").alias("NUMERO_CLIENTI"))
+
+
+def table_size(df: DataFrame) -> DataFrame:
+    """Rows and columns."""
+    return df.agg(F.count("*").alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))

@@ -247,6 +247,39 @@ _TABLES: dict[str, str] = {
         SELECT ID_CLI, CHURN AS label,
                row_number() OVER (PARTITION BY CHURN ORDER BY md5(cast(ID_CLI AS VARCHAR) || '-0'), ID_CLI) AS place
         FROM customers""",
+    "bayes_rows": """
+        SELECT d.place % 10 AS fold, d.label, v.name, v.x
+        FROM dealt d JOIN (
+            SELECT ID_CLI, unnest([{'name': 'FIRST_ID_NEG', 'x': cast(FIRST_ID_NEG AS DOUBLE)},
+                                   {'name': 'W_PHONE', 'x': cast(W_PHONE AS DOUBLE)},
+                                   {'name': 'TYP_CLI_ACCOUNT', 'x': cast(TYP_CLI_ACCOUNT AS DOUBLE)}], recursive := true)
+            FROM customers) v USING (ID_CLI)""",
+    "bayes_folds": "SELECT unnest(range(0, 10)) AS fold",
+    "bayes_spread": """
+        SELECT f.fold, r.name, CASE WHEN stddev_pop(r.x) > 1e-12 THEN stddev_pop(r.x) ELSE 1 END AS std,
+               var_pop(r.x) AS whole FROM bayes_rows r JOIN bayes_folds f ON r.fold <> f.fold GROUP BY 1, 2""",
+    "bayes_most": "SELECT fold, max(whole / (std * std)) AS most FROM bayes_spread GROUP BY 1",
+    "bayes_facts": """
+        SELECT f.fold, r.name, r.label, count(*) AS n, avg(r.x) AS mean, var_pop(r.x) AS var
+        FROM bayes_rows r JOIN bayes_folds f ON r.fold <> f.fold GROUP BY 1, 2, 3""",
+    "bayes_odds": """
+        SELECT d.ID_CLI, d.place % 10 AS fold, d.label AS truth, b.label,
+               max(ln(b.n / (SELECT count(*) FROM dealt o WHERE o.place % 10 <> d.place % 10)))
+               + sum(-0.5 * (ln(2 * pi() * (b.var + 1e-9 * m.most * s.std * s.std))
+                             + (v.x - b.mean) * (v.x - b.mean) / (b.var + 1e-9 * m.most * s.std * s.std))) AS odds
+        FROM dealt d JOIN (
+            SELECT ID_CLI, unnest([{'name': 'FIRST_ID_NEG', 'x': cast(FIRST_ID_NEG AS DOUBLE)},
+                                   {'name': 'W_PHONE', 'x': cast(W_PHONE AS DOUBLE)},
+                                   {'name': 'TYP_CLI_ACCOUNT', 'x': cast(TYP_CLI_ACCOUNT AS DOUBLE)}], recursive := true)
+            FROM customers) v ON v.ID_CLI = d.ID_CLI
+        JOIN bayes_facts b ON b.fold = d.place % 10 AND b.name = v.name
+        JOIN bayes_spread s ON s.fold = b.fold AND s.name = b.name
+        JOIN bayes_most m ON m.fold = b.fold
+        GROUP BY ALL""",
+    "fold_scores": """
+        SELECT cast(a.fold AS INTEGER) AS fold, count(*) AS n,
+               count(*) FILTER ((b.odds > a.odds) = (a.truth = 1)) AS n_right
+        FROM bayes_odds a JOIN bayes_odds b ON a.ID_CLI = b.ID_CLI AND a.label = 0 AND b.label = 1 GROUP BY 1""",
     "class_sizes": """
         SELECT CHURN AS label, count(*) AS n, (SELECT count(*) FROM customers) AS total,
                cast(ceil(round((SELECT count(*) FROM customers) * 0.9, 6)) AS BIGINT) AS wanted
@@ -337,6 +370,24 @@ def _dummies() -> str:
     return f"SELECT ID_CLI, {flags} FROM customers"
 
 
+def _vif_profile() -> str:
+    """The inverse of the sums of products by exchange steps, one pivot after the other."""
+    k = len(_PROFILE)
+    cells = ", ".join(f"sum(cast({a} AS DOUBLE) * {b})" for a in _PROFILE for b in _PROFILE)
+    steps = [f"g AS (SELECT [{cells}] AS a FROM per_line)", "s0 AS (SELECT a FROM g)"]
+    for p in range(k):
+        at = lambda i, j: f"a[({i}) * {k} + {j} + 1]"
+        steps.append(f"""s{p + 1} AS (SELECT list_transform(range(0, {k * k}), lambda t: CASE
+            WHEN t // {k} = {p} AND t % {k} = {p} THEN 1 / {at(p, p)}
+            WHEN t // {k} = {p} THEN a[t + 1] / {at(p, p)}
+            WHEN t % {k} = {p} THEN -a[t + 1] / {at(p, p)}
+            ELSE a[t + 1] - {at(f't // {k}', p)} * {at(p, f't % {k}')} / {at(p, p)} END) AS a FROM s{p})""")
+    rows = " UNION ALL ".join(
+        f"SELECT '{name}' AS variable, round(g.a[{i * k + i + 1}] * s{k}.a[{i * k + i + 1}], 4) AS vif FROM g, s{k}"
+        for i, name in enumerate(_PROFILE))
+    return "WITH " + ",\n".join(steps) + " " + rows
+
+
 _ORACLE: dict[str, str] = {
     "csv_roundtrip": "SELECT * FROM raw_transactions",
     "decimal_comma": """
@@ -572,7 +623,29 @@ _ORACLE: dict[str, str] = {
         + " UNION ALL ".join(
             f"SELECT '{c}' AS variable, round(corr({c}, CHURN), 6) AS corr FROM per_line" for c in _PROFILE) + ")",
     "vif": _vif(),
+    "vif_profile": _vif_profile(),
     "dummies": _dummies(),
+    "dummies_long": """
+        WITH held AS (SELECT ID_CLI, 'LAST_COD_FID' AS variable, LAST_COD_FID AS level FROM customers
+                       UNION ALL SELECT ID_CLI, 'TYP_JOB', TYP_JOB FROM customers),
+             places AS (SELECT variable, level, row_number() OVER (PARTITION BY variable ORDER BY level) - 1 AS place
+                        FROM (SELECT DISTINCT variable, level FROM held WHERE level IS NOT NULL))
+        SELECT ID_CLI, variable, level, place FROM held JOIN places USING (variable, level) WHERE place > 0""",
+    "cv_naive_bayes": "SELECT fold, n, n_right FROM fold_scores",
+    "fold_boxes": """
+        WITH q AS (SELECT quantile_cont(n_right / n, 0.25) AS q1, quantile_cont(n_right / n, 0.5) AS median,
+                          quantile_cont(n_right / n, 0.75) AS q3 FROM fold_scores)
+        SELECT 'Gaussian NB' AS model, count(*) AS n, round(max(q1), 9) AS q1, round(max(median), 9) AS median,
+               round(max(q3), 9) AS q3,
+               round(min(CASE WHEN n_right / n >= q1 - (q3 - q1) * 1.5 THEN n_right / n END), 9) AS whisker_low,
+               round(max(CASE WHEN n_right / n <= q3 + (q3 - q1) * 1.5 THEN n_right / n END), 9) AS whisker_high
+        FROM fold_scores, q""",
+    "clean_tables": """
+        SELECT 'transactions' AS table_name, count(*) AS n_rows, 12 AS n_columns FROM lines
+        UNION ALL SELECT 'loyalty', count(*), 9 FROM clean_loyalty
+        UNION ALL SELECT 'accounts', count(*), 6 FROM clean_accounts
+        UNION ALL SELECT 'addresses', count(*), 2 FROM clean_addresses
+        UNION ALL SELECT 'privacy', count(*), 4 FROM privacy""",
     "standardise": "SELECT ID_CLI, " + ", ".join(
         f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) AS {c}" for c in _VIF) + " FROM customers",
     "decile_rank": """
@@ -628,5 +701,16 @@ def _with_tables(sql: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(heads) + "\n" + body
 
 
+#: Analyses of the lines from the cutoff day on: the SQL of the whole calendar over cut purchase lines.
+_RECENT = {"recent_itemsets": "freq_itemsets", "recent_rules": "rules", "recent_top_rules": "top_rules"}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: _with_tables(sql) for name, sql in _ORACLE.items()}
+    found = {name: _with_tables(sql) for name, sql in _ORACLE.items()}
+    bought = _TABLES["bought"]
+    cut = bought + " AND (DATA IS NULL OR DATA >= (SELECT day FROM cutoff))"
+    for name, like in _RECENT.items():
+        _TABLES["bought"] = cut
+        found[name] = _with_tables(_ORACLE[like])
+    _TABLES["bought"] = bought
+    return found

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from shopsight.functions.columns import one_value
 from shopsight.operators import basket, cleaning, cycle, features, models, profile, rfm
-from shopsight.session import materialize
+from shopsight.session import delete_folder, folder_version, materialize, scratch_path
 from shopsight.sources import retail
 from shopsight.sources.files import read_table, write_table
 
@@ -22,14 +22,29 @@ HOLDOUT_DAYS = 365
 MIN_SUPPORT = 0.001
 MIN_CONFIDENCE = 0.05
 
-_STAGES: dict[tuple[str, str, str], DataFrame] = {}
+_STAGES: dict[tuple[str, str, str, str], tuple[DataFrame, str]] = {}
 
 
 def _stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """A table that is written once per application, input folder, content of that folder, and name.
+
+    A folder whose files were written anew has another content, so its stages are built again.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, folder_version(spark, sf_dir), name)
     if key not in _STAGES:
-        _STAGES[key] = materialize(build(), name)
-    return _STAGES[key]
+        path = scratch_path(spark, name)
+        df = build()
+        df.write.parquet(path)
+        _STAGES[key] = spark.read.schema(df.schema).parquet(path), path
+    return _STAGES[key][0]
+
+
+def release_stages(spark: SparkSession) -> int:
+    """Delete the stages that this application has written; gives their number."""
+    own = [key for key in _STAGES if key[0] == spark.sparkContext.applicationId]
+    for key in own:
+        delete_folder(spark, _STAGES.pop(key)[1])
+    return len(own)
 
 
 def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,9 +113,16 @@ def rfm_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rfm.level_summary(rfm.rfm_levels(rfm.rfm_segments(scored_customers(spark, sf_dir))))
 
 
-def purchase_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchase lines with the fine articles."""
-    return cleaning.basket_lines(clean_lines(spark, sf_dir))
+def lines_by_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed lines stored in order of receipt: a look-up skips all row groups but those around its receipt."""
+    return _stage(spark, sf_dir, "by-receipt", lambda: retail.transactions(spark, sf_dir).repartitionByRange(
+        "ID_SCONTRINO", "ID_ARTICOLO").sortWithinPartitions("ID_SCONTRINO", "ID_ARTICOLO"))
+
+
+def purchase_lines(spark: SparkSession, sf_dir: str, days: int | None = None) -> DataFrame:
+    """Purchase lines with the fine articles, of the last ``days`` days if given."""
+    lines = clean_lines(spark, sf_dir)
+    return cleaning.basket_lines(lines, None if days is None else cutoff_day(lines, days))
 
 
 def article_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,28 +130,32 @@ def article_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stage(spark, sf_dir, "articles", lambda: profile.article_profile(purchase_lines(spark, sf_dir)))
 
 
-def coarse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchase lines with the part size as a coarse article."""
+def coarse_lines(spark: SparkSession, sf_dir: str, days: int | None = None) -> DataFrame:
+    """Purchase lines with the part size as a coarse article, of the last ``days`` days if given."""
     parts = read_table(spark, f"{sf_dir}/part.parquet", "p_partkey", "p_size")
-    lines = purchase_lines(spark, sf_dir)
+    lines = purchase_lines(spark, sf_dir, days)
     return lines.join(parts, lines.ID_ARTICOLO == parts.p_partkey).withColumn(
         "ID_ARTICOLO", F.col("p_size").cast("long")).drop("p_partkey", "p_size")
 
 
-def itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _since(name: str, days: int | None) -> str:
+    return name if days is None else f"{name}-{days}"
+
+
+def itemsets(spark: SparkSession, sf_dir: str, days: int | None = None) -> DataFrame:
     def build() -> DataFrame:
-        table = materialize(basket.baskets(coarse_lines(spark, sf_dir), MIN_SUPPORT), "baskets")
+        table = materialize(basket.baskets(coarse_lines(spark, sf_dir, days), MIN_SUPPORT), "baskets")
         return basket.frequent_itemsets(table, MIN_SUPPORT)
-    return _stage(spark, sf_dir, "itemsets", build)
+    return _stage(spark, sf_dir, _since("itemsets", days), build)
 
 
-def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stage(spark, sf_dir, "rules", lambda: basket.association_rules(
-        itemsets(spark, sf_dir), MIN_CONFIDENCE))
+def rules(spark: SparkSession, sf_dir: str, days: int | None = None) -> DataFrame:
+    return _stage(spark, sf_dir, _since("rules", days), lambda: basket.association_rules(
+        itemsets(spark, sf_dir, days), MIN_CONFIDENCE))
 
 
-def top_rules(spark: SparkSession, sf_dir: str, n: int = 15, by: str = "lift") -> DataFrame:
-    return basket.top_rules(rules(spark, sf_dir), n, by)
+def top_rules(spark: SparkSession, sf_dir: str, n: int = 15, by: str = "lift", days: int | None = None) -> DataFrame:
+    return basket.top_rules(rules(spark, sf_dir, days), n, by)
 
 
 def rule_article_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

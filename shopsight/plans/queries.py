@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -152,13 +153,21 @@ def table_profile(spark, sf_dir):
 @query
 def receipt_lookup(spark, sf_dir):
     """Lines of the receipt, client and article with the highest gross amount."""
-    tx = retail.transactions(spark, sf_dir)
+    tx = P.lines_by_receipt(spark, sf_dir)
     key = one_value(tx, F.min_by(
         F.struct("ID_SCONTRINO", "ID_CLI", "ID_ARTICOLO"),
         F.struct(-F.col("IMPORTO_LORDO"), F.col("ID_SCONTRINO"), F.col("ID_CLI"), F.col("ID_ARTICOLO"))))
     return cleaning.receipt_lines(tx, key["ID_SCONTRINO"], key["ID_CLI"], key["ID_ARTICOLO"])
 
 
+@query
+def clean_tables(spark, sf_dir):
+    """The five cleaned tables, written and read back: their rows and columns."""
+    paths = P.write_clean_tables(spark, sf_dir, scratch_path(spark, "clean"))
+    return _union([profile.table_size(files.read_table(spark, path)).withColumn("table_name", F.lit(name))
+                   for name, path in paths.items()])
+
+
 @query
 def zero_net_audit(spark, sf_dir):
     return profile.zero_net_audit(cleaning.drop_negative_net(
@@ -444,6 +453,23 @@ def rules(spark, sf_dir):
     return _rounded(P.rules(spark, sf_dir), 9, "leverage", "conviction")
 
 
+@query
+def recent_itemsets(spark, sf_dir):
+    """Itemsets of the lines from the cutoff day on, as the analysis cuts them first."""
+    return P.itemsets(spark, sf_dir, P.HOLDOUT_DAYS)
+
+
+@query
+def recent_rules(spark, sf_dir):
+    return _rounded(P.rules(spark, sf_dir, P.HOLDOUT_DAYS), 9, "leverage", "conviction")
+
+
+@query
+def recent_top_rules(spark, sf_dir):
+    return P.top_rules(spark, sf_dir, days=P.HOLDOUT_DAYS).select(
+        "NOME", "antecedents", "consequents", "support", "confidence", "lift")
+
+
 @query
 def rule_counts(spark, sf_dir):
     return basket.rule_counts(P.rules(spark, sf_dir))
@@ -539,6 +565,18 @@ def vif(spark, sf_dir):
     return _rounded(stats.vif(P.customers(spark, sf_dir), features.NUMERIC_FEATURES, "N_LINES"), 6, "vif")
 
 
+@query
+def vif_profile(spark, sf_dir):
+    """Collinearity of the six profiled columns, before one of them is dropped."""
+    return _rounded(stats.vif(P.customers(spark, sf_dir), features.PROFILE_COLUMNS, "N_LINES"), 4, "vif")
+
+
+@query
+def dummies_long(spark, sf_dir):
+    table = P.customers(spark, sf_dir).select("ID_CLI", "LAST_COD_FID", "TYP_JOB")
+    return features.long_dummies(table, "ID_CLI", ["LAST_COD_FID", "TYP_JOB"])
+
+
 @query
 def dummies(spark, sf_dir):
     table = P.customers(spark, sf_dir).select("ID_CLI", "LAST_COD_FID", "TYP_JOB")
@@ -597,6 +635,25 @@ def stratified_split(spark, sf_dir):
     return features.stratified_split(table)
 
 
+def _bayes_folds(spark, sf_dir):
+    table = P.customers(spark, sf_dir).select("ID_CLI", F.col("CHURN").cast("double").alias("label"), *features.NUMERIC_FEATURES)
+    points = VectorAssembler(inputCols=features.NUMERIC_FEATURES, outputCol="x").transform(table)
+    return models.fold_accuracy(features.stratified_folds(points.select("ID_CLI", "label", "x")))
+
+
+@query
+def cv_naive_bayes(spark, sf_dir):
+    """Rows and right predictions of naive Bayes per fold."""
+    return _bayes_folds(spark, sf_dir).select("fold", "n", "n_right")
+
+
+@query
+def fold_boxes(spark, sf_dir):
+    """Box statistics of the fold scores."""
+    scores = _bayes_folds(spark, sf_dir).select(F.lit("Gaussian NB").alias("model"), "accuracy")
+    return _rounded(stats.box_stats(scores, "model", "accuracy"), 9, "q1", "median", "q3", "whisker_low", "whisker_high")
+
+
 # ---------------------------------------------------------------- models (rows and properties only)
 
 @query

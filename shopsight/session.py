@@ -57,3 +57,24 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession, path: str):
+    """The path and its file system, as Spark's readers resolve them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def folder_version(spark: SparkSession, path: str) -> str:
+    """Name, time, length and number of files of every entry of a folder: another text once one is written anew."""
+    where, fs = _folder(spark, path)
+    found = []
+    for entry in fs.listStatus(where):
+        size = fs.getContentSummary(entry.getPath())
+        found.append((entry.getPath().getName(), entry.getModificationTime(), size.getLength(), size.getFileCount()))
+    return repr(sorted(found))
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where, fs = _folder(spark, path)
+    fs.delete(where, True)
