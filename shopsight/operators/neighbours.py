@@ -39,7 +39,8 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, pivots: int | None = N
     queries = queries.select("query_id", F.col("x").cast("array<double>").alias("x"))
     want = k + leave_one_out
     counted = train.agg(F.count("*").alias("n")).first()["n"]
-    number = min(_MOST_PIVOTS, pivots or max(1, int(np.ceil(np.sqrt(counted)))))
+    # rows that make one block are one cell; beyond, as many cells as a cell has rows
+    number = min(_MOST_PIVOTS, pivots or (1 if counted <= _BLOCK_ROWS else int(np.ceil(np.sqrt(counted)))))
     if not counted:
         return queries.where("false").select("query_id", F.lit(0).alias("place"), F.lit(0).cast("long").alias("train_id"),
                                              F.lit(0).alias("label"), F.lit(0.0).alias("distance2"))
@@ -51,9 +52,15 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, pivots: int | None = N
     sizes = np.array([found.get(c, (0, 0.0))[0] for c in range(len(centres))], np.int64)
     radius = np.array([found.get(c, (0, 0.0))[1] for c in range(len(centres))])
     pieces = max(1, -(-queries.count() // _PIECE_ROWS))
+    if number == 1:  # a single cell is shared out by queries
+        pieces = max(pieces, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    first = materialize(_searched(_near_cells(queries, centres, sizes, want), cells, sizes, pieces, want, leave_one_out), "near")
     order = W.partitionBy("query_id").orderBy("distance2", "train_id")
+    first = _searched(_near_cells(queries, centres, sizes, want), cells, sizes, pieces, want, leave_one_out)
+    if number == 1:
+        return first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select(
+            "query_id", "place", "train_id", "label", "distance2")
+    first = materialize(first, "near")
     best = first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     reach = best.groupBy("query_id").agg(F.max("distance2").alias("reach"), F.count("*").alias("n")).select(
         "query_id", F.when(F.col("n") >= k, F.sqrt("reach")).alias("reach"))

@@ -55,6 +55,7 @@ def test_searched_rows_grow_below_the_square(spark, monkeypatch):
         return searched(visits, cells, sizes, *rest)
 
     monkeypatch.setattr(neighbours, "_searched", counted)
+    monkeypatch.setattr(neighbours, "_BLOCK_ROWS", 100)
     draw = np.random.default_rng(8)
     for n in (300, 1200, 4800):
         points = draw.random((n, 2))
