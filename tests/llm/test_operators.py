@@ -274,6 +274,36 @@ def test_mix_edges(edges, nothing):
     assert mixing.mixed_rows(edges).columns == edges.columns
 
 
+def test_mix_does_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = lambda df: sorted(map(tuple, df.drop("mark").collect()))
+    first = rows(mixing.mix_documents(docs.coalesce(1)))
+    assert first == rows(mixing.mix_documents(docs.repartition(7))) == rows(mixing.mix_documents(docs.orderBy(F.desc("n_chars"))))
+    kept = [sorted(r.doc_id for r in mixing.mixed_rows(docs.repartition(n)).collect()) for n in (1, 7)]
+    assert kept[0] == kept[1] == sorted(r[0] for r in first for _ in range(r[5] // r[2] if r[2] else 0))
+
+
+def test_mix_goes_beyond_where_that_is_nearer(spark):
+    rows = spark.createDataFrame([(1, 11, 1, ["s"], 300_000), (2, 12, 2, ["s"], 300_000)],
+                                 "row long, doc_id long, mark long, sources array<string>, size long")
+    taken = lambda goal: sum(r.taken for r in mixing.mix_patterns(rows, {"s": goal}).collect())
+    assert [taken(g) for g in (599_960, 300_010, 299_990, 140_000, 160_000)] == [600_000, 300_000, 300_000, 0, 300_000]
+    assert taken(1_800_000) == 1_800_000
+
+
+def test_mixed_rows_follow_the_row_not_the_id(spark):
+    rows = [(1, "one two three four five six", "a", 0), (1, "six words are in this text", "a", 1)]
+    rows += [(2 + i % 4, f"text {i % 4} " + "word " * (i % 4), ["a", "b", None][i % 3], i) for i in range(60)] + [(9, None, "a", 99)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, use int")
+    taken = collections.Counter()
+    for r in mixing.mix_documents(docs).collect():
+        taken[r.doc_id, r.source, r.size] += r.taken
+    got = collections.Counter()
+    for r in mixing.mixed_rows(docs).collect():
+        got[r.doc_id, r.source, len(words(r.text))] += len(words(r.text))
+    assert got == +taken
+
+
 # --- language model ---------------------------------------------------------------------------
 
 
