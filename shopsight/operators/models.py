@@ -17,6 +17,7 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LinearSVC,
     LogisticRegression,
+    LogisticRegressionModel,
     NaiveBayes,
     RandomForestClassifier,
 )
@@ -386,10 +387,41 @@ def forest_sweep(train: DataFrame, test: DataFrame, trees: int = 99, max_depth:
         (F.sum("hits") / F.sum("n")).alias("accuracy"))
 
 
-def propensity(train: DataFrame, test: DataFrame, c: float = 1.0) -> DataFrame:
+@dataclass(frozen=True)
+class Fitted:
+    """A fitted logistic regression with its scaler and feature names."""
+
+    names: list[str]
+    scaler: Scaler
+    model: LogisticRegressionModel
+
+    @staticmethod
+    def fit(train: DataFrame, names: Sequence[str], c: float = 1.0) -> Fitted:
+        train = training_layout(train)
+        scaler = Scaler.fit(train)
+        return Fitted(list(names), scaler, fit_logistic(scaler.apply(train), scaler.n, c))
+
+    def save(self, path: str) -> None:
+        """Write the model, and one row with what its input needs, below ``path``."""
+        spark = SparkSession.getActiveSession()
+        self.model.write().save(f"{path}/model")
+        spark.createDataFrame([(self.names, self.scaler.n, self.scaler.std)], _FITTED).write.parquet(f"{path}/input")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Fitted:
+        row = spark.read.schema(_FITTED).parquet(f"{path}/input").first()
+        return Fitted(row["names"], Scaler(row["n"], row["std"]), LogisticRegressionModel.load(f"{path}/model"))
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return _probability(self.model)(self.scaler.apply(df))
+
+
+_FITTED = "names array<string>, n long, std array<double>"
+
+
+def propensity(fitted: Fitted, test: DataFrame) -> DataFrame:
     """Predictions and churn probability in percent for the held-out customers."""
-    scored = _scaled_fit(logistic(c), training_layout(train), test)
-    return scored.select(
+    return fitted.predict(test).select(
         "ID_CLI", F.col("label").cast("int").alias("CHURN"), F.col("prediction").cast("int").alias("predictions"),
         F.bround(F.col("score") * 100, 2).alias("propensity_to_churn"))
 
@@ -399,10 +431,7 @@ def propensity_deciles(scored: DataFrame) -> DataFrame:
     return decile_ranks(scored, "propensity_to_churn", "ID_CLI")
 
 
-def coefficients(train: DataFrame, names: Sequence[str], c: float = 1.0) -> DataFrame:
+def coefficients(fitted: Fitted) -> DataFrame:
     """Logistic coefficients by feature name, largest first: one row per feature."""
-    train = training_layout(train)
-    scaler = Scaler.fit(train)
-    model = fit_logistic(scaler.apply(train), scaler.n, c)
-    rows = [(name, float(value)) for name, value in zip(names, model.coefficients)]
-    return train.sparkSession.createDataFrame(rows, "feature string, coef double").orderBy(F.desc("coef"), "feature")
+    rows = [(name, float(value)) for name, value in zip(fitted.names, fitted.model.coefficients)]
+    return SparkSession.getActiveSession().createDataFrame(rows, "feature string, coef double").orderBy(F.desc("coef"), "feature")

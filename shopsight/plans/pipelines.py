@@ -8,6 +8,7 @@ removal. Tables live in the shared scratch folder and are remembered per session
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,21 +23,30 @@ HOLDOUT_DAYS = 365
 MIN_SUPPORT = 0.001
 MIN_CONFIDENCE = 0.05
 
-_STAGES: dict[tuple[str, str, str, str], tuple[DataFrame, str]] = {}
+Stored = TypeVar("Stored")
 
+_STAGES: dict[tuple[str, str, str, str], tuple[object, str]] = {}
 
-def _stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table that is written once per application, input folder, content of that folder, and name.
+
+def _once(spark: SparkSession, sf_dir: str, name: str, store: Callable[[str], Stored]) -> Stored:
+    """What ``store`` writes below a path and reads back, once per application, input folder, its content, and name.
 
     A folder whose files were written anew has another content, so its stages are built again.
     """
     key = (spark.sparkContext.applicationId, sf_dir, folder_version(spark, sf_dir), name)
     if key not in _STAGES:
         path = scratch_path(spark, name)
+        _STAGES[key] = store(path), path
+    return _STAGES[key][0]
+
+
+def _stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is written once, as :func:`_once` has it."""
+    def store(path: str) -> DataFrame:
         df = build()
         df.write.parquet(path)
-        _STAGES[key] = spark.read.schema(df.schema).parquet(path), path
-    return _STAGES[key][0]
+        return spark.read.schema(df.schema).parquet(path)
+    return _once(spark, sf_dir, name, store)
 
 
 def release_stages(spark: SparkSession) -> int:
@@ -183,6 +193,15 @@ def model_rows(spark: SparkSession, sf_dir: str) -> tuple[list[str], DataFrame,
     return plan.names, train, test
 
 
+def churn_model(spark: SparkSession, sf_dir: str) -> models.Fitted:
+    """The churn model with its scaler and feature names: fitted and written once, then read."""
+    def store(path: str) -> models.Fitted:
+        names, train, _ = model_rows(spark, sf_dir)
+        models.Fitted.fit(train, names).save(path)
+        return models.Fitted.load(spark, path)
+    return _once(spark, sf_dir, "churn-model", store)
+
+
 def churn_propensity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, train, test = model_rows(spark, sf_dir)
-    return models.propensity(train, test)
+    _, _, test = model_rows(spark, sf_dir)
+    return models.propensity(churn_model(spark, sf_dir), test)

@@ -685,8 +685,7 @@ def forest_sweep(spark, sf_dir):
 
 @query
 def coefficients(spark, sf_dir):
-    names, train, _ = P.model_rows(spark, sf_dir)
-    return models.coefficients(train, names)
+    return models.coefficients(P.churn_model(spark, sf_dir))
 
 
 @query

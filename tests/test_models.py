@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopsight.operators import evaluate, features, models, neighbours, stats
-from shopsight.plans import pipelines
+from shopsight.plans import pipelines, queries
 
 
 def test_dummies_drop_the_first_level(spark):
@@ -142,8 +142,9 @@ def test_cross_validation_and_holdout(parts):
 
 def test_propensity_is_repeatable_and_ranked(parts, spark, sf_dir):
     names, train, test = parts
-    scored = models.propensity(train, test)
-    assert scored.exceptAll(models.propensity(train, test)).count() == 0
+    fitted = models.Fitted.fit(train, names)
+    scored = models.propensity(fitted, test)
+    assert scored.exceptAll(models.propensity(models.Fitted.fit(train, names), test)).count() == 0
     ranked = models.propensity_deciles(scored).toPandas()
     assert len(ranked) == test.count() and set(ranked["Ranking"]) == set(range(1, 11))
     assert ranked["Ranking"].value_counts().agg(lambda s: s.max() - s.min()) <= 1
@@ -151,7 +152,30 @@ def test_propensity_is_repeatable_and_ranked(parts, spark, sf_dir):
     assert best.propensity_to_churn.min() >= rest.propensity_to_churn.max()
     counts = evaluate.confusion(scored, "CHURN", "predictions").collect()
     assert sum(r.n for r in counts) == len(ranked)
-    assert sorted(r.feature for r in models.coefficients(train, names).collect()) == sorted(names)
+    assert sorted(r.feature for r in models.coefficients(fitted).collect()) == sorted(names)
+
+
+def test_model_comes_back_from_its_files(parts, spark, tmp_path):
+    names, train, test = parts
+    fitted = models.Fitted.fit(train, names, 0.5)
+    fitted.save(str(tmp_path / "churn"))
+    again = models.Fitted.load(spark, str(tmp_path / "churn"))
+    assert (again.names, again.scaler) == (fitted.names, fitted.scaler)
+    assert models.coefficients(again).collect() == models.coefficients(fitted).collect()
+    before, after = (models.propensity(f, test) for f in (fitted, again))
+    assert before.exceptAll(after).count() == after.exceptAll(before).count() == 0
+
+
+def test_four_queries_fit_one_model(spark, sf_dir, monkeypatch):
+    fits = []
+    fit = models.fit_logistic
+    monkeypatch.setattr(models, "fit_logistic", lambda *a: fits.append(a) or fit(*a))
+    monkeypatch.setattr(pipelines, "_STAGES", {})
+    found = {key: queries.queries()[key](spark, sf_dir).collect()
+             for key in ("propensity", "propensity_deciles", "confusion", "coefficients")}
+    assert len(fits) == 1 and all(found.values())
+    monkeypatch.setattr(pipelines, "_STAGES", {})
+    assert queries.queries()["coefficients"](spark, sf_dir).collect() == found["coefficients"] and len(fits) == 2
 
 
 def test_forest_prefixes(parts):
