@@ -33,6 +33,7 @@ from shopsight.llm.components import components
 COUNTERS = 1 << 18
 PAIR = 2  # tokens in a combination of the frequent class
 MANY = 24  # frequent tokens of which all couples are shown
+SALTS = 16  # parts of a hot token's rows where they are looked up
 PARITY = 8  # longs of parity bits per set
 _STEP_SIZE = 1.05  # from one size class to the next
 _STEP = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -193,24 +194,31 @@ def _combinations(often: DataFrame, percent: int) -> DataFrame:
 
     A node shows its combinations once for every difference ``delta`` of size classes that a similar set may have,
     as the larger and as the smaller of the two: the closer the sizes, the shorter the prefix that must hold a
-    combination. A node of up to ``MANY`` frequent tokens there shows couples; a wider one would show too many, so
+    combination. Only tokens that the other side shows too, for another component, enter: no other can link, and
+    those that similar sets share all stay. A node of up to ``MANY`` frequent tokens there shows couples; a wider one would show too many, so
     single tokens stand for it (``one`` = ``two``), and others show theirs for the wide ones alone. ``room`` is the
     number of tokens of the node that the first prefix with the whole combination leaves out.
     """
-    held = often.groupBy("node", "n", "root").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("held"))
     reach = int(np.ceil(np.log(100 / percent) / np.log(_STEP_SIZE)))
     own_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(_STEP_SIZE))).cast("int")
-    held = held.withColumn("own_class", own_class).select(
+    tokens = often.withColumn("own_class", own_class).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("delta")).select(
         "*", F.explode(F.array(F.lit(True), F.lit(False))).alias("large"))
     other = F.col("own_class") + F.when(F.col("large"), -F.col("delta")).otherwise(F.col("delta"))
     # the other set's size at least; one less for the rounding of the power
     least = F.greatest(F.floor(F.pow(F.lit(_STEP_SIZE), other)) - 1, F.when(F.col("large"), F.ceil(
         percent * F.col("n") / 100.0)).otherwise(F.col("n")))
-    held = held.select("node", "n", "root", "delta", "large", F.least("own_class", other).alias("size_class"), "held", least.alias("least"))
-    held = held.withColumn("limit", (F.col("n") - _overlap("n", "least", percent) + PAIR).cast("int"))
-    held = held.withColumn("held", F.filter("held", lambda t: t["place"] < F.col("limit"))).where("size(held) > 0").withColumn(
-        "wide", F.size("held") > MANY)
+    tokens = tokens.select("token", "place", "node", "n", "root", "delta", "large", F.least("own_class", other).alias("size_class"),
+                           least.alias("least"))
+    tokens = tokens.withColumn("limit", (F.col("n") - _overlap("n", "least", percent) + PAIR).cast("int")).where("place < limit")
+    # a token can only link where both sides show it, for different components; hot tokens are looked up by salt
+    meeting = tokens.groupBy("token", "delta", "size_class").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.min("large").alias("all_large"), F.max("large").alias("any_large")).where(
+        "low < high AND any_large AND NOT all_large").select(
+        "token", "delta", "size_class", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    held = tokens.withColumn("salt", F.pmod(F.hash("node"), F.lit(SALTS))).join(meeting, ["token", "delta", "size_class", "salt"])
+    held = held.groupBy("node", "n", "root", "delta", "large", "size_class", "limit").agg(
+        F.sort_array(F.collect_list(F.struct("place", "token"))).alias("held")).withColumn("wide", F.size("held") > MANY)
     couples = F.expr("flatten(transform(held, (a, i) -> transform(slice(held, i + 2, size(held)), "
                      "b -> struct(a.token AS one, b.token AS two, b.place AS place))))")
     singles = F.transform(F.filter("held", lambda t: t["place"] < F.col("limit") - 1), lambda t: F.struct(
