@@ -1,13 +1,17 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over hashed words and word beginnings (those that positives hold more often) is trained in numpy from confirmed toxic texts
+A linear classifier over hashed words and word beginnings is trained in numpy from confirmed toxic texts
 (positives) and unlabelled text. With p the class prior, its risk is
 
     p * mean loss of positives as positive + max(0, mean loss of unlabelled as negative
                                                     - p * mean loss of positives as negative)
 
 with logistic loss; where the second term falls below zero, the step is taken against it. The prior is the
-share of toxic rows among the labelled rows of the training folds. Features count once per text.
+share of toxic rows among the labelled rows of the training folds. A word or beginning is one feature of a
+text, and another for each number of occurrences in REPEATS that it reaches: several forms of one stem tell more
+than one. No feature is thrown away for being rare: each has an L1 penalty that falls with the evidence that
+positives hold it more often than unlabelled texts (to ``shrink`` at ``deviations`` deviations); features without
+such evidence have no weight.
 The classifier is fitted on bounded samples (parameters), drawn in an order by
 hash; every document is scored as a whole.
 
@@ -24,8 +28,9 @@ from pyspark.sql import functions as F
 
 from shopsight.llm import common as C
 
-BITS = 20
-BEGINNINGS = (4, 5, 6)  # bytes of a word's beginning
+BITS = 22
+BEGINNINGS = (4, 5, 6, 7, 8)  # bytes of a word's beginning
+REPEATS = (2, 3, 4)  # occurrences in a text that are features of their own
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +48,13 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             places.append(at)
         number = (np.concatenate(numbers) >> np.uint64(64 - BITS)).astype(np.int64)
         rows = C.rows_of(np.concatenate(places), offsets)
-        both = np.unique(rows << BITS | number)
+        once, times = np.unique(rows << BITS | number, return_counts=True)
+        both = [once]
+        for k in REPEATS:
+            more = once[times >= k]
+            number = C.mix((more & ((1 << BITS) - 1) | k << BITS).astype(np.uint64)) >> np.uint64(64 - BITS)
+            both.append(more >> BITS << BITS | number.astype(np.int64))
+        both = np.unique(np.concatenate(both))
         found.append((both & ((1 << BITS) - 1)).astype(np.int32))
         counts[first:first + len(offsets) - 1] = np.bincount(both >> BITS, minlength=len(offsets) - 1)
     return np.concatenate(found) if found else np.zeros(0, np.int32), counts
@@ -55,23 +66,30 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-def telling(positive: tuple, unlabelled: tuple, least: int, share: float, deviations: float) -> np.ndarray:
-    """Features that positives hold more often than unlabelled texts do, beyond chance."""
+def evidence(positive: tuple, unlabelled: tuple) -> np.ndarray:
+    """By how many deviations positives hold each feature more often than unlabelled texts do."""
     n_pos, n_unl = len(positive[1]), max(1, len(unlabelled[1]))
     pos, unl = (np.bincount(x[0], minlength=1 << BITS) for x in (positive, unlabelled))
     rate = np.clip((pos + unl) / (n_pos + n_unl), 1e-9, 1 - 1e-9)
-    score = (pos / n_pos - unl / n_unl) / np.sqrt(rate * (1 - rate) * (1 / n_pos + 1 / n_unl))
-    return (score > deviations) & (pos >= max(least, share * n_pos))
+    return (pos / n_pos - unl / n_unl) / np.sqrt(rate * (1 - rate) * (1 / n_pos + 1 / n_unl))
 
 
 def fit(positive: tuple, unlabelled: tuple, prior: float, *, epochs: int = 30, batch: int = 1024, rate: float = 0.3,
-        shrink: float = 1e-4, least: int = 5, share: float = 0.004, deviations: float = 8, seed: int = 3) -> np.ndarray:
-    """Weights of all features, the constant term last."""
-    ids, counts = (np.concatenate([positive[k], unlabelled[k]]) for k in (0, 1))
-    n_pos, n = len(positive[1]), len(counts)
-    keep = telling(positive, unlabelled, least, share, deviations)[ids]
-    rows = np.repeat(np.arange(n), counts)[keep]
-    ids = ids[keep].astype(np.int64)
+        shrink: float = 1e-3, deviations: float = 8, power: float = 3, seed: int = 3) -> np.ndarray:
+    """Weights of all features, the constant term last.
+
+    A feature with evidence z is shrunk by ``shrink * max(1, (deviations / z) ** power)``.
+    """
+    n_pos, n = len(positive[1]), len(positive[1]) + len(unlabelled[1])
+    z = evidence(positive, unlabelled)
+    penalty = np.append(shrink * np.maximum(1, (deviations / np.maximum(z, 1e-3)) ** power), 0)
+    able = penalty[:-1] < prior  # the positives pull a weight up by ``prior`` at most, so no other can become positive
+    ids, rows = [], []
+    for first, part in ((0, positive), (n_pos, unlabelled)):
+        keep = able[part[0]]
+        ids.append(part[0][keep].astype(np.int64))
+        rows.append(np.repeat(np.arange(first, first + len(part[1]), dtype=np.int32), part[1])[keep])
+    ids, rows = np.concatenate(ids), np.concatenate(rows)
     begin = np.searchsorted(rows, np.arange(n + 1))
     random = np.random.default_rng(seed)
     weights, squares = np.zeros((1 << BITS) + 1), np.full((1 << BITS) + 1, 1e-6)
@@ -103,7 +121,7 @@ def fit(positive: tuple, unlabelled: tuple, prior: float, *, epochs: int = 30, b
             squares[grad_at] += grad ** 2
             pace = rate / np.sqrt(squares[grad_at])
             moved = weights[grad_at] - pace * grad
-            weights[grad_at] = np.sign(moved) * np.maximum(0, np.abs(moved) - pace * np.where(grad_at < len(weights) - 1, shrink, 0))
+            weights[grad_at] = np.sign(moved) * np.maximum(0, np.abs(moved) - pace * penalty[grad_at])
     return weights
 
 
