@@ -41,13 +41,12 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for first, data, offsets in C.text_chunks(column):
         data = C.lower_ascii(data)
         starts, ends = C.runs(word_byte[data], offsets)
-        numbers, places = [C.hashes(data, starts, ends)], [starts]
-        for n in BEGINNINGS:
-            at = starts[ends - starts > n]
-            numbers.append(C.hashes(data, at, at + n) ^ np.uint64(0x5851F42D4C957F2D))
-            places.append(at)
-        number = (np.concatenate(numbers) >> np.uint64(64 - BITS)).astype(np.int64)
-        rows = C.rows_of(np.concatenate(places), offsets)
+        longer = [starts[ends - starts > n] for n in BEGINNINGS]
+        places = np.concatenate([starts, *longer])
+        number = C.hashes(data, places, np.concatenate([ends, *[at + n for at, n in zip(longer, BEGINNINGS)]]))
+        number[len(starts):] ^= np.uint64(0x5851F42D4C957F2D)
+        number = (number >> np.uint64(64 - BITS)).astype(np.int64)
+        rows = C.rows_of(places, offsets)
         once, times = np.unique(rows << BITS | number, return_counts=True)
         both = [once]
         for k in REPEATS:
@@ -66,23 +65,34 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-def evidence(positive: tuple, unlabelled: tuple) -> np.ndarray:
-    """By how many deviations positives hold each feature more often than unlabelled texts do."""
-    n_pos, n_unl = len(positive[1]), max(1, len(unlabelled[1]))
-    pos, unl = (np.bincount(x[0], minlength=1 << BITS) for x in (positive, unlabelled))
+def held(parts) -> np.ndarray:
+    """How many texts hold each feature; ``parts`` are arrays of the features of whole texts."""
+    total = np.zeros(1 << BITS, np.int32)
+    for ids in parts:
+        for first in range(0, len(ids), 1 << 20):
+            at, times = np.unique(ids[first:first + (1 << 20)], return_counts=True)
+            total[at] += times.astype(np.int32)
+    return total
+
+
+def penalties(pos: np.ndarray, n_pos: int, unl: np.ndarray, n_unl: int, shrink: float = 1e-3, deviations: float = 8,
+              power: float = 3) -> np.ndarray:
+    """L1 penalty of each feature: ``shrink * max(1, (deviations / z) ** power)``, where positives hold it more often
+    than unlabelled texts by z deviations; infinite where they don't."""
+    penalty = np.full(1 << BITS, np.inf)
+    at = np.flatnonzero(pos)
+    pos, unl, n_unl = pos[at], unl[at], max(1, n_unl)
     rate = np.clip((pos + unl) / (n_pos + n_unl), 1e-9, 1 - 1e-9)
-    return (pos / n_pos - unl / n_unl) / np.sqrt(rate * (1 - rate) * (1 / n_pos + 1 / n_unl))
+    z = (pos / n_pos - unl / n_unl) / np.sqrt(rate * (1 - rate) * (1 / n_pos + 1 / n_unl))
+    penalty[at[z > 0]] = shrink * np.maximum(1, (deviations / z[z > 0]) ** power)
+    return penalty
 
 
 def fit(positive: tuple, unlabelled: tuple, prior: float, *, epochs: int = 30, batch: int = 1024, rate: float = 0.3,
-        shrink: float = 1e-3, deviations: float = 8, power: float = 3, seed: int = 3) -> np.ndarray:
-    """Weights of all features, the constant term last.
-
-    A feature with evidence z is shrunk by ``shrink * max(1, (deviations / z) ** power)``.
-    """
+        seed: int = 3) -> np.ndarray:
+    """Weights of all features, the constant term last."""
     n_pos, n = len(positive[1]), len(positive[1]) + len(unlabelled[1])
-    z = evidence(positive, unlabelled)
-    penalty = np.append(shrink * np.maximum(1, (deviations / np.maximum(z, 1e-3)) ** power), 0)
+    penalty = np.append(penalties(held([positive[0]]), n_pos, held([unlabelled[0]]), n - n_pos), 0)
     able = penalty[:-1] < prior  # the positives pull a weight up by ``prior`` at most, so no other can become positive
     ids, rows = [], []
     for first, part in ((0, positive), (n_pos, unlabelled)):
@@ -149,18 +159,31 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held_
     # both sides of the union are bounded by parameters, so the table of names may be broadcast
     names = chosen.withColumn("kind", F.lit(1)).union(others.withColumn("kind", F.lit(0)))
     rows = docs.join(F.broadcast(names), "doc_id").select("doc_id", "kind", "text").mapInArrow(
-        extract, "doc_id long, kind int, ids array<int>").toArrow().combine_chunks()
-    order = np.lexsort((np.asarray(rows["doc_id"]), -np.asarray(rows["kind"]).astype(np.int64)))
-    rows = rows.take(pa.array(order))
-    kind = np.asarray(rows["kind"])
-    lists = rows["ids"].combine_chunks()
-    lengths = np.asarray(lists.value_lengths()).astype(np.int64) if len(kind) else np.zeros(0, np.int64)
-    flat = np.asarray(lists.flatten()) if len(kind) else np.zeros(0, np.int32)
-    n_pos = int((kind == 1).sum())
-    cut = int(lengths[:n_pos].sum())
+        extract, "doc_id long, kind int, ids array<int>").toArrow()
+    kinds, keys, ids, lengths = ([] for _ in range(4))
+    for batch in rows.to_batches():
+        kinds.append(np.asarray(batch["kind"]))
+        keys.append(np.asarray(batch["doc_id"]))
+        ids.append(np.asarray(batch["ids"].flatten()))
+        lengths.append(np.asarray(batch["ids"].value_lengths()).astype(np.int64))
+    n_pos, n_unl = (sum(int((kind == k).sum()) for kind in kinds) for k in (1, 0))
+    prior = min(0.9, max(1e-4, toxic / labelled)) if labelled else 0.0
     if n_pos:
-        prior = min(0.9, max(1e-4, toxic / labelled))
-        weights = fit((flat[:cut], lengths[:n_pos]), (flat[cut:], lengths[n_pos:]), prior)
+        pos, unl = (held(part[np.repeat(kind == k, length)] for part, kind, length in zip(ids, kinds, lengths)) for k in (1, 0))
+        able = penalties(pos, n_pos, unl, n_unl) < prior  # the fit leaves the other features at zero
+        for j, part in enumerate(ids):
+            keep = able[part]
+            sums = np.concatenate([[0], np.cumsum(keep)])
+            ends = np.cumsum(lengths[j])
+            ids[j], lengths[j] = part[keep], sums[ends] - sums[ends - lengths[j]]
+        del rows, batch, part
+        kind, key, flat, length = map(np.concatenate, (kinds, keys, ids, lengths))
+        order = np.lexsort((key, -kind.astype(np.int64)))
+        begin = np.cumsum(length) - length
+        length, begin = length[order], begin[order]
+        flat = flat[np.repeat(begin - np.cumsum(length) + length, length) + np.arange(len(flat))]
+        cut = int(length[:n_pos].sum())
+        weights = fit((flat[:cut], length[:n_pos]), (flat[cut:], length[n_pos:]), prior)
     else:
         weights = np.zeros((1 << BITS) + 1)
         weights[-1] = -np.inf
