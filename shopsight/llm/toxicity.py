@@ -92,17 +92,19 @@ def fit(positive: tuple, unlabelled: tuple, prior: float, *, epochs: int = 30, b
         seed: int = 3) -> np.ndarray:
     """Weights of all features, the constant term last."""
     n_pos, n = len(positive[1]), len(positive[1]) + len(unlabelled[1])
-    penalty = np.append(penalties(held([positive[0]]), n_pos, held([unlabelled[0]]), n - n_pos), 0)
-    able = penalty[:-1] < prior  # the positives pull a weight up by ``prior`` at most, so no other can become positive
+    penalty = penalties(held([positive[0]]), n_pos, held([unlabelled[0]]), n - n_pos)
+    able = penalty < prior  # the positives pull a weight up by ``prior`` at most, so no other can become positive
+    dense = np.flatnonzero(able)
+    penalty = np.append(penalty[dense], 0)
     ids, rows = [], []
     for first, part in ((0, positive), (n_pos, unlabelled)):
         keep = able[part[0]]
-        ids.append(part[0][keep].astype(np.int64))
+        ids.append(np.searchsorted(dense, part[0][keep]))
         rows.append(np.repeat(np.arange(first, first + len(part[1]), dtype=np.int32), part[1])[keep])
     ids, rows = np.concatenate(ids), np.concatenate(rows)
     begin = np.searchsorted(rows, np.arange(n + 1))
     random = np.random.default_rng(seed)
-    weights, squares = np.zeros((1 << BITS) + 1), np.full((1 << BITS) + 1, 1e-6)
+    weights, squares = np.zeros(len(penalty)), np.full(len(penalty), 1e-6)
     weights[-1] = np.log(prior / (1 - prior))
     steps = max(1, -(-(n - n_pos) // batch))
     for epoch in range(epochs):
@@ -132,7 +134,9 @@ def fit(positive: tuple, unlabelled: tuple, prior: float, *, epochs: int = 30, b
             pace = rate / np.sqrt(squares[grad_at])
             moved = weights[grad_at] - pace * grad
             weights[grad_at] = np.sign(moved) * np.maximum(0, np.abs(moved) - pace * penalty[grad_at])
-    return weights
+    found = np.zeros((1 << BITS) + 1)
+    found[dense], found[-1] = weights[:-1], weights[-1]
+    return found
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held_out_fold: int = 2, threshold: float = 0.3,
