@@ -7,7 +7,8 @@ broadcast table. The table has a fixed number of slots, whatever the data; share
 and taking a shard away moves few keys besides its own. A shard with weight w claims w slots in its turn.
 
 Defined results: rows with a null key are placed by an empty key; rows that repeat a key go to the same
-shard; an empty table gives an empty result.
+shard; an empty table gives an empty result. Columns of the rows that are named slot or shard, in either case of
+letters and also where they are the key, are replaced by the result's; all others stay.
 """
 
 from __future__ import annotations
@@ -56,8 +57,9 @@ def place(rows: DataFrame, key: str, shards: list[str], *, slots: int = SLOTS, w
     text = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
     slot = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long") % slots
     # the table has ``slots`` rows of two short columns: about 1 MB, fixed by the parameter
-    return rows.drop("slot", "shard").withColumn("slot", slot).join(F.broadcast(entries), "slot").select(
-        *[c for c in rows.columns if c not in ("slot", "shard")], "slot", "shard")
+    placed = rows.withColumn("__slot", slot).drop("slot", "shard").withColumnRenamed("__slot", "slot")
+    return placed.join(F.broadcast(entries), "slot").select(
+        *[f"`{c}`" for c in rows.columns if c.lower() not in ("slot", "shard")], "slot", "shard")
 
 
 def shard_sizes(placed: DataFrame) -> DataFrame:

@@ -97,6 +97,15 @@ def test_sharding_edges(spark, edges, nothing):
     assert sharding.place(nothing, "doc_id", ["a"], slots=11).count() == 0
 
 
+@pytest.mark.parametrize("key", ["doc_id", "slot", "Shard"])
+def test_sharding_replaces_columns_of_its_names(spark, key):
+    rows = spark.createDataFrame([(5, 5, 5, 1)], "doc_id long, slot long, Shard long, `a.b` int")
+    got = sharding.place(rows, key, ["a", "b"], slots=11)
+    slot = int(hashlib.md5(b"5").hexdigest()[:15], 16) % 11
+    assert got.columns == ["doc_id", "a.b", "slot", "shard"]
+    assert tuple(got.first()) == (5, 1, slot, "ab"[sharding.lookup_table(["a", "b"], slots=11)[slot]])
+
+
 # --- n-gram join ------------------------------------------------------------------------------
 
 
