@@ -13,7 +13,7 @@ def test_queries_as_sql(spark, sf_dir):
 
 def test_names():
     found = [k for k in entry.queries() if k.startswith("op")]
-    assert sorted(int(k[2:].split("_")[0]) for k in found) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in found) == list(range(1, 14))
     assert "pipeline" in entry.queries()
 
 
