@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -70,20 +69,35 @@ def baskets(lines: DataFrame, min_support: float = 0.001) -> DataFrame:
 def frequent_itemsets(basket_table: DataFrame, min_support: float = 0.001) -> DataFrame:
     """Itemsets with at least the given support over all baskets, empty ones included.
 
-    Mined by parallel FP-growth and written once, since rules read the result three times. The
-    miner rounds its threshold up to whole baskets, so it gets one a hair lower and the exact
-    comparison is made here.
+    Counted level by level. Every frequent itemset that a basket holds is met once, with the basket's later
+    items as ``rest``; an itemset and one of those items are a candidate of the next level. The candidates
+    are summed up inside the tasks, so what is shuffled follows the number of itemsets and not of baskets.
     """
     total = basket_table.count()
-    model = FPGrowth(itemsCol="items", minSupport=min_support * (1 - 1e-9)).fit(basket_table)
     support = F.col("freq") / F.lit(total)
-    return materialize(
-        model.freqItemsets.select(
-            F.array_sort("items").alias("items"), "freq", F.lit(total).alias("n_receipts"),
-            support.alias("support"), F.size("items").alias("lunghezza"),
-        ).where(F.col("support") >= min_support),
-        "itemsets",
-    )
+
+    def frequent(candidates: DataFrame, *by: str) -> DataFrame:
+        return candidates.groupBy(*by).agg(F.count("*").alias("freq")).where(support >= min_support)
+
+    rest = F.slice("rest", F.col("pos") + 2, F.greatest(F.size("rest"), F.lit(1)))
+    met = basket_table.select(F.array_sort(F.array_distinct(F.array_compact("items"))).alias("rest"))
+    level = materialize(frequent(met.select(F.explode("rest").alias("item")), "item").select(
+        F.monotonically_increasing_id().alias("node"), F.array("item").alias("items"), "freq", "item"), "level")
+    met = met.select("rest", F.posexplode("rest").alias("pos", "item")).join(level.select("node", "item"), "item").select(
+        "node", rest.alias("rest")).where(F.size("rest") > 0)
+    levels = level
+    while not level.isEmpty():
+        longer = frequent(met.select("node", F.explode("rest").alias("item")), "node", "item")
+        level = materialize(longer.join(level.select("node", "items"), "node").select(
+            F.monotonically_increasing_id().alias("next"), F.concat("items", F.array("item")).alias("items"), "freq",
+            "item", "node"), "level")
+        met = met.select("node", "rest", F.posexplode("rest").alias("pos", "item")).join(
+            level.select("next", "node", "item"), ["node", "item"]).select(
+            F.col("next").alias("node"), rest.alias("rest")).where(F.size("rest") > 0)
+        level = level.drop("node").withColumnRenamed("next", "node")
+        levels = levels.unionByName(level)
+    return levels.select("items", "freq", F.lit(total).alias("n_receipts"), support.alias("support"),
+                         F.size("items").alias("lunghezza"))
 
 
 def association_rules(itemsets: DataFrame, min_confidence: float = 0.65) -> DataFrame:

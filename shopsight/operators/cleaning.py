@@ -37,14 +37,18 @@ def drop_negative_net(tx: DataFrame) -> DataFrame:
     return tx.where(F.col("IMPORTO_NETTO").isNull() | (F.col("IMPORTO_NETTO") >= 0))
 
 
+def with_derived(tx: DataFrame) -> DataFrame:
+    """Hour, day and net; they follow from the other columns, so shuffles can do without them."""
+    return with_net(with_time_parts(tx.drop("ORA", "DATA", "IMPORTO_NETTO")))
+
+
 def clean_transactions(typed: DataFrame) -> DataFrame:
     """Net amounts, negative nets dropped, price conflicts removed.
 
-    Hour, day and net follow from the other columns, so they are left out of the shuffles and
-    computed again at the end.
+    Hour, day and net are left out of the shuffles and computed again at the end.
     """
     base = drop_negative_net(with_net(typed.drop("ORA", "DATA"))).drop("IMPORTO_NETTO")
-    return with_net(with_time_parts(drop_price_conflicts(base)))
+    return with_derived(drop_price_conflicts(base))
 
 
 def purchases(tx: DataFrame) -> DataFrame:

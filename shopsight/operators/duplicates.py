@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shopsight.functions.ordered import repeat_rows
+from shopsight.session import materialize
 
 _COPIES = "_copies"
 
@@ -32,18 +34,14 @@ def identical_rows(df: DataFrame) -> DataFrame:
 def drop_price_conflicts(tx: DataFrame, key: Sequence[str] = SALE_KEY) -> DataFrame:
     """Keep exact copies whole; of the other rows keep those that are alone on their sale key.
 
-    Two hash aggregations with map-side combine. The second returns the lone row itself, so there
-    is no window and no join back, and a key with very many prices collapses before the shuffle.
+    Copies are counted first, so a sale key holds one row per price, and the window over it spills if there
+    are very many. Rows that come in order of their receipts are not shuffled again. What is kept is written
+    once, as a row with its count, before the copies are unrolled.
     """
     counted = count_copies(tx)
-    copies = repeat_rows(counted.where(F.col(_COPIES) > 1), _COPIES)
-    rest = [c for c in tx.columns if c not in key]
-    alone = (
-        counted.where(F.col(_COPIES) == 1).groupBy(*key)
-        .agg(F.count("*").alias(_COPIES), *[F.first(c).alias(c) for c in rest])
-        .where(F.col(_COPIES) == 1).select(*tx.columns)
-    )
-    return copies.unionByName(alone)
+    lone = F.sum(F.when(F.col(_COPIES) == 1, 1).otherwise(0)).over(W.partitionBy(*key))
+    kept = counted.withColumn("_lone", lone).where((F.col(_COPIES) > 1) | (F.col("_lone") == 1)).drop("_lone")
+    return repeat_rows(materialize(kept, "kept"), _COPIES)
 
 
 def duplicate_report(df: DataFrame, subsets: dict[str, Sequence[str] | None]) -> DataFrame:

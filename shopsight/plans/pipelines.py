@@ -63,8 +63,11 @@ def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     The analyses look at the last part of the calendar; with narrow day ranges per file, their
     filter on the day skips most of the row groups. The receipt in the range key splits a busy day.
     """
-    return _stage(spark, sf_dir, "lines", lambda: cleaning.clean_transactions(
-        retail.transactions(spark, sf_dir)).repartitionByRange("DATA", "ID_SCONTRINO"))
+    def build() -> DataFrame:
+        lines = cleaning.clean_transactions(retail.transactions(spark, sf_dir))
+        sold = lines.drop("ORA", "DATA", "IMPORTO_NETTO").repartitionByRange(F.to_date("DATETIME"), "ID_SCONTRINO")
+        return cleaning.with_derived(sold)
+    return _stage(spark, sf_dir, "lines", build)
 
 
 def cutoff_day(lines: DataFrame, days: int = HOLDOUT_DAYS) -> Column:

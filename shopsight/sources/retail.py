@@ -12,19 +12,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
     return read_table(spark, f"{sf_dir}/{name}.parquet", *columns)
 
 
+_ROWS_PER_TASK = 500_000
+
+
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per unit sold, with exact copies and price conflicts mixed in.
 
-    The copies are unrolled after the joins from a per-row array, so every table is read once.
+    The copies are unrolled after the joins from a per-row array, so every table is read once. The last join
+    deals the lines out by the receipt as it is named in the result, over as many tasks as their number needs:
+    what groups by receipt and other columns afterwards needs no shuffle, and a task's rows fit its memory.
     """
     lines = _table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                    "l_extendedprice", "l_discount", "l_returnflag")
     orders = _table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
     parts = _table(spark, sf_dir, "part", "p_partkey", "p_brand")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-lines.count() // _ROWS_PER_TASK))
+    receipt, ordered = (F.col(c).cast("string") for c in ("l_orderkey", "o_orderkey"))
+    known = lines.withColumn("returned", F.expr("l_returnflag = 'R'")).drop("l_returnflag").join(
+        parts, lines.l_partkey == parts.p_partkey).drop("p_partkey")
     joined = (
-        lines
-        .join(orders, lines.l_orderkey == orders.o_orderkey)
-        .join(parts, lines.l_partkey == parts.p_partkey)
+        known.repartition(tasks, receipt)
+        .join(orders.repartition(tasks, ordered), receipt == ordered)
         # ten digits before the point keep the products within a long
         .withColumn("gross", F.expr("cast(l_extendedprice as decimal(12,2))"))
         .withColumn("rate", F.expr("cast(l_discount as decimal(4,2))"))
@@ -40,7 +48,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("ID_NEG"),
         F.col("l_partkey").alias("ID_ARTICOLO"),
         F.expr("cast(substr(p_brand, 7) as int)").alias("COD_REPARTO"),
-        F.expr("if(l_returnflag = 'R' and l_linenumber in (2, 4), -1, 1)").alias("DIREZIONE"),
+        F.expr("if(returned and l_linenumber in (2, 4), -1, 1)").alias("DIREZIONE"),
         F.expr("cast(gross + extra as decimal(18,2))").alias("IMPORTO_LORDO"),
         F.expr("""
             cast(round(case when l_linenumber = 7 and rate >= 0.09 then gross * cast(1.1 as decimal(4,2))

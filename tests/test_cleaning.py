@@ -92,3 +92,28 @@ def test_column_pruning_reaches_the_scan(spark, sf_dir):
     plan = files.read_table(spark, f"{sf_dir}/lineitem.parquet", "l_orderkey").where(F.col("l_orderkey") > 5)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_orderkey:bigint>" in text and "GreaterThan(l_orderkey,5)" in text
+
+
+def test_copies_and_conflicts_of_receipts_need_no_shuffle(spark, tmp_path):
+    """The lines come dealt out by their receipts, so counting them by all columns moves nothing."""
+    import re
+
+    from shopsight.sources import retail
+
+    day = datetime(2020, 1, 1)
+    tables = {
+        "lineitem": ([(o, n, 1, n, 10.0 * n, 0.05, "N") for o in range(1, 301) for n in (1, 2)],
+                     "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, "
+                     "l_discount double, l_returnflag string"),
+        "orders": ([(o, o % 7, day) for o in range(1, 301)], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz"),
+        "part": ([(p, f"Brand#1{p}") for p in (1, 2, 3)], "p_partkey long, p_brand string"),
+    }
+    for name, (rows, kind) in tables.items():
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    counted = duplicates.count_copies(retail.transactions(spark, str(tmp_path)))
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(ID_SCONTRINO", plan), plan
+    # each order divisible by 50 has both lines twice, and one divisible by 97 another price for its first line
+    assert counted.count() == 603 and counted.where("_copies = 2").count() == 12
+    kept = duplicates.drop_price_conflicts(retail.transactions(spark, str(tmp_path)))
+    assert kept.count() == 600 - 3 + 12 and kept.columns == counted.columns[:-1]
