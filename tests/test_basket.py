@@ -77,3 +77,9 @@ def test_redundant_and_top_rules(spark):
     top = basket.top_rules(rules, 2).select("NOME", joined("antecedents").alias("a")).collect()
     assert sorted(tuple(r) for r in top) == [("itemset1", "1"), ("itemset2", "1")]
     assert basket.filter_rules(rules, 0.15, 3).count() == 1
+
+
+def test_an_article_named_twice_counts_once_and_order_is_free(spark):
+    table = spark.createDataFrame([([3, 1, 3],), ([1, 3],), ([2],), (None,)], "items array<long>")
+    sets = {tuple(r["items"]): r.freq for r in basket.frequent_itemsets(table, 0.5).collect()}
+    assert sets == {(1,): 2, (3,): 2, (1, 3): 2}
