@@ -4,7 +4,9 @@ Training rows are dealt to the nearest of about the square root of their number
 radius. A query first meets the nearest cells that hold k rows together. Its k-th distance there then rules out
 every cell whose pivot is farther than that distance and the cell's radius together, and only the other cells are
 searched in a second round. A large cell is cut in blocks and many queries in pieces, so a group of the shuffle is
-bounded however the rows cluster. A group works on numpy matrices and hands out the best k per query row.
+bounded however the rows cluster. Where the cells rule out little, as among vectors of many dimensions, the second
+round meets all pairs of larger blocks and pieces instead: a row then travels a bounded number of times and not once
+per cell. A group works on numpy matrices and hands out the best k per query row.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ _MOST_PIVOTS = 4096
 _BLOCK_ROWS = 8192
 _PIECE_ROWS = 65536
 _STRIP = 256
+_CHUNK = 8192
+_DENSE_ROWS = 65536
+_DENSE_SHARE = 0.25  # of all pairs still open, from which the second round takes whole blocks
 _SLACK = 1e-9  # relative; keeps a cell whose bound differs by rounding only
 
 
@@ -64,7 +69,17 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, pivots: int | None = N
     best = first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     reach = best.groupBy("query_id").agg(F.max("distance2").alias("reach"), F.count("*").alias("n")).select(
         "query_id", F.when(F.col("n") >= k, F.sqrt("reach")).alias("reach"))
-    rest = _open_cells(queries.join(reach, "query_id", "left"), centres, sizes, radius, want)
+    reached = materialize(queries.join(reach, "query_id", "left"), "reached")
+    asked, still = reached.mapInPandas(_counted(_open(centres, sizes, radius, want), sizes), "asked long, still double").agg(
+        F.sum("asked"), F.sum("still")).first()
+    if asked and still > _DENSE_SHARE * counted * asked:
+        side = int(np.ceil(np.sqrt(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+        blocks = max(side, -(-counted // _DENSE_ROWS))
+        whole = _searched(queries.withColumn("cell", F.lit(0)), cells.withColumn("cell", F.lit(0)), np.array([counted]),
+                          max(side, -(-asked // _DENSE_ROWS)), want, leave_one_out, -(-counted // blocks))
+        return whole.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select(
+            "query_id", "place", "train_id", "label", "distance2")
+    rest = _open_cells(reached, centres, sizes, radius, want)
     second = _searched(rest, cells, sizes, pieces, want, leave_one_out)
     return first.union(second).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select(
         "query_id", "place", "train_id", "label", "distance2")
@@ -118,22 +133,43 @@ def _near_cells(queries: DataFrame, centres: np.ndarray, sizes: np.ndarray, want
     return queries.mapInPandas(near, "query_id long, x array<double>, cell int")
 
 
-def _open_cells(queries: DataFrame, centres: np.ndarray, sizes: np.ndarray, radius: np.ndarray, want: int) -> DataFrame:
-    """The cells that the first round left out and that the k-th distance ``reach`` can't rule out."""
-    def rest(batches):
+def _open(centres: np.ndarray, sizes: np.ndarray, radius: np.ndarray, want: int):
+    """Batches of queries as strips with the cells that the first round left out and ``reach`` can't rule out."""
+    def strips(batches):
         for strip, points in _strips(batches):
             away = _away(points, centres)
             reach = strip["reach"].to_numpy(np.float64)
             bound = np.where(np.isnan(reach), np.inf, reach)[:, None]
             open_ = away - radius[None, :] <= bound + _SLACK * (away + radius[None, :])
-            yield _listed(strip, open_ & (sizes > 0)[None, :] & ~_first_cells(away, sizes, want))
+            yield strip, open_ & (sizes > 0)[None, :] & ~_first_cells(away, sizes, want)
+
+    return strips
+
+
+def _counted(strips, sizes: np.ndarray):
+    """Queries, and training rows in their open cells, per strip."""
+    def count(batches):
+        for strip, chosen in strips(batches):
+            yield pd.DataFrame({"asked": [len(strip)], "still": [float((chosen @ sizes).sum())]})
+
+    return count
+
+
+def _open_cells(queries: DataFrame, centres: np.ndarray, sizes: np.ndarray, radius: np.ndarray, want: int) -> DataFrame:
+    """The open cells of every query, one row each."""
+    strips = _open(centres, sizes, radius, want)
+
+    def rest(batches):
+        for strip, chosen in strips(batches):
+            yield _listed(strip, chosen)
 
     return queries.mapInPandas(rest, "query_id long, x array<double>, cell int")
 
 
-def _searched(visits: DataFrame, cells: DataFrame, sizes: np.ndarray, pieces: int, want: int, leave_one_out: bool) -> DataFrame:
+def _searched(visits: DataFrame, cells: DataFrame, sizes: np.ndarray, pieces: int, want: int, leave_one_out: bool,
+              block_rows: int | None = None) -> DataFrame:
     """The best rows of every visited block: (query_id, train_id, label, distance2)."""
-    blocks = F.element_at(F.lit([max(1, -(-n // _BLOCK_ROWS)) for n in sizes.tolist()]), F.col("cell") + 1)
+    blocks = F.element_at(F.lit([max(1, -(-n // (block_rows or _BLOCK_ROWS))) for n in sizes.tolist()]), F.col("cell") + 1)
     left = visits.withColumn("piece", F.pmod(F.xxhash64("query_id"), F.lit(pieces)).cast("int")).withColumn(
         "block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     right = cells.withColumn("block", F.pmod(F.xxhash64("train_id"), blocks).cast("int")).withColumn(
@@ -149,26 +185,52 @@ def _searched(visits: DataFrame, cells: DataFrame, sizes: np.ndarray, pieces: in
 
 
 def _best(q: pd.DataFrame, t: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Best k rows of ``t`` per row of ``q``, a strip of query rows at a time."""
+    """Best k rows of ``t`` per row of ``q``, a strip of query rows and a chunk of ``t`` at a time.
+
+    One matrix product gives every distance up to rounding. Only pairs that rounding leaves a chance against the
+    k-th best so far are worked out by the difference of their coordinates, so the result is that of all distances.
+    """
     if q.empty or t.empty:
         return pd.DataFrame({"query_id": [], "train_id": [], "label": [], "distance2": []}).astype(
             {"query_id": "int64", "train_id": "int64", "label": "int32", "distance2": "float64"})
     t = t.sort_values("train_id")
-    points = np.stack(t["x"].to_numpy())
+    points = np.ascontiguousarray(np.stack(t["x"].to_numpy()).T)
     ids, labels = t["train_id"].to_numpy(), t["label"].to_numpy()
+    n, lengths = len(ids), (points ** 2).sum(axis=0)
+    factors = np.vstack([points, np.ones(n), lengths])
+    rounding = 8 * (len(points) + 8) * np.finfo(float).eps
     found = []
     for start in range(0, len(q), _STRIP):
         strip = q.iloc[start:start + _STRIP]
-        rows = np.stack(strip["x"].to_numpy())
-        far = np.zeros((len(rows), len(points)))
-        for d in range(points.shape[1]):
-            far += (rows[:, d, None] - points[None, :, d]) ** 2
-        # a stable sort over ids in order keeps the lower id first on a tie
-        take = np.argsort(far, axis=1, kind="stable")[:, :k]
+        rows = np.ascontiguousarray(np.stack(strip["x"].to_numpy()).T)
+        m, own = rows.shape[1], (rows ** 2).sum(axis=0)
+        by = np.vstack([-2.0 * rows, own, np.ones(rows.shape[1])]).T
+        slack = rounding * (own + lengths.max())
+        far, at = np.full((m, k), np.inf), np.full((m, k), n)
+        for first in range(0, n, _CHUNK):
+            near = by @ factors[:, first:first + _CHUNK]
+            limit = np.where(at[:, -1] < n, far[:, -1], np.inf)
+            if near.shape[1] > k and np.isinf(limit).any():
+                limit = np.minimum(limit, np.partition(near, k - 1, axis=1)[:, k - 1] + slack)
+            row, col = np.nonzero(~(near > (limit + slack)[:, None]))
+            col += first
+            exact = np.zeros(len(row))
+            for mine, theirs in zip(rows, points):
+                exact += (mine[row] - theirs[col]) ** 2
+            known = at < n
+            row = np.concatenate([np.nonzero(known)[0], row])
+            col, exact = np.concatenate([at[known], col]), np.concatenate([far[known], exact])
+            # columns follow the ids, so the lower id comes first on a tie
+            order = np.lexsort((col, exact, row))
+            row, col, exact = row[order], col[order], exact[order]
+            place = np.arange(len(row)) - np.searchsorted(row, np.arange(m))[row]
+            kept = place < k
+            far[row[kept], place[kept]], at[row[kept], place[kept]] = exact[kept], col[kept]
+        row, place = np.nonzero(at < n)
+        take = at[row, place]
         found.append(pd.DataFrame({
-            "query_id": np.repeat(strip["query_id"].to_numpy(), take.shape[1]),
-            "train_id": ids[take].ravel(), "label": labels[take].ravel(),
-            "distance2": np.take_along_axis(far, take, axis=1).ravel()}))
+            "query_id": strip["query_id"].to_numpy()[row], "train_id": ids[take], "label": labels[take],
+            "distance2": far[row, place]}))
     return pd.concat(found)
 
 

@@ -1,6 +1,7 @@
 """Metric cells against all distances, and their cost."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +64,34 @@ def test_searched_rows_grow_below_the_square(spark, monkeypatch):
         neighbours.nearest(table(spark, points, "query_id"), table(spark, points, "train_id"), 5, leave_one_out=True).count()
     assert worked[1] < 11 * worked[0] and worked[2] < 11 * worked[1]  # 16 times would be the square
     assert worked[2] < 4800 ** 2 / 4
+
+
+def test_rows_that_cells_cannot_part_travel_by_blocks(spark, monkeypatch):
+    """Among vectors of many dimensions no cell is ruled out; a query then meets blocks and not every cell."""
+    met = []
+    searched = neighbours._searched
+
+    def counted(visits, cells, *rest):
+        met.append(visits.count())
+        return searched(visits, cells, *rest)
+
+    monkeypatch.setattr(neighbours, "_searched", counted)
+    monkeypatch.setattr(neighbours, "_BLOCK_ROWS", 100)
+    points = np.random.default_rng(5).normal(size=(900, 24))
+    near = neighbours.nearest(table(spark, points, "query_id"), table(spark, points, "train_id"), 5, leave_one_out=True)
+    assert {(r.query_id, r.place): r.train_id for r in near.collect()} == brute(points, points, 5, True)
+    assert met[1] <= 900
+
+
+def test_best_rows_equal_all_distances_far_from_the_origin(monkeypatch):
+    monkeypatch.setattr(neighbours, "_CHUNK", 16)
+    draw = np.random.default_rng(1)
+    points = np.vstack([draw.normal(size=(60, 3)) * 1e-3 + 1e4, np.repeat(draw.normal(size=(5, 3)), 8, axis=0)])
+    frame = pd.DataFrame({"x": list(points), "label": np.int32(0)})
+    best = neighbours._best(frame.assign(query_id=np.arange(100)), frame.assign(train_id=np.arange(100)), 7)
+    far = np.zeros((100, 100))
+    for d in range(3):
+        far += (points[:, d, None] - points[None, :, d]) ** 2
+    order = np.argsort(far, axis=1, kind="stable")[:, :7]
+    assert best["train_id"].tolist() == order.ravel().tolist()
+    assert best["distance2"].tolist() == np.take_along_axis(far, order, axis=1).ravel().tolist()
