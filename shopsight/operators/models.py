@@ -73,10 +73,19 @@ def fit_logistic(train: DataFrame, n: int, c: float = 1.0, balanced: bool = Fals
     return estimator.fit(train)
 
 
+def _gathered(train: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows in no more tasks than their number needs.
+
+    A linear machine passes over its rows for every step, so each spare task costs its start a hundred times. Its
+    sums don't depend on the layout but for rounding.
+    """
+    return train.coalesce(max(1, -(-n // _ROWS_PER_TASK)))
+
+
 def linear_svm(c: float = 1.0) -> Fit:
     def fit(train: DataFrame, n: int) -> Predict:
         return _margin(LinearSVC(
-            regParam=1.0 / (c * n), standardization=False, maxIter=100, tol=_SVM_TOLERANCE).fit(train))
+            regParam=1.0 / (c * n), standardization=False, maxIter=100, tol=_SVM_TOLERANCE).fit(_gathered(train, n)))
     return fit
 
 
@@ -86,7 +95,7 @@ def kernel_svm(c: float = 1.0, components: int = 200, seed: int = 0) -> Fit:
         width = train.select("features").first()["features"].size
         fourier = _fourier_map(width, components, seed)
         model = LinearSVC(
-            regParam=1.0 / (c * n), standardization=False, maxIter=100, tol=_SVM_TOLERANCE).fit(fourier(train))
+            regParam=1.0 / (c * n), standardization=False, maxIter=100, tol=_SVM_TOLERANCE).fit(fourier(_gathered(train, n)))
         return lambda df: _margin(model)(fourier(df))
     return fit
 
@@ -142,7 +151,8 @@ def random_forest(trees: int = 100, max_depth: int = 30, seed: int = 0) -> Fit:
 
 
 def _forest(trees: int, max_depth: int, seed: int, impurity: str = "entropy") -> RandomForestClassifier:
-    return RandomForestClassifier(impurity=impurity, numTrees=trees, maxDepth=max_depth, seed=seed)
+    # with the nodes of the rows kept beside them, tasks are not sent the trees grown so far; the trees are the same
+    return RandomForestClassifier(impurity=impurity, numTrees=trees, maxDepth=max_depth, seed=seed, cacheNodeIds=True)
 
 
 def first_round() -> dict[str, Fit]:

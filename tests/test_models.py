@@ -48,6 +48,24 @@ def test_trees_do_not_depend_on_the_shuffle(spark):
     assert scores[0] == scores[1]
 
 
+def test_fits_send_no_trees_and_start_no_spare_tasks(spark, monkeypatch):
+    rows = [(i, float(i * 37 % 101 > 50), Vectors.dense([float(i % 7), float(i * 37 % 101) / 50])) for i in range(300)]
+    df = spark.createDataFrame(rows, T.StructType([
+        T.StructField("ID_CLI", T.LongType()), T.StructField("label", T.DoubleType()), T.StructField("features", VectorUDT())]))
+    train = df.repartition(8, "ID_CLI").sortWithinPartitions("ID_CLI").persist()
+    kept = models._forest(5, 6, 0)
+    assert kept.getCacheNodeIds()
+    assert kept.fit(train).toDebugString == kept.copy().setCacheNodeIds(False).fit(train).toDebugString
+    tasks, fit = [], models.LinearSVC.fit
+    monkeypatch.setattr(models.LinearSVC, "fit", lambda self, table: tasks.append(table.rdd.getNumPartitions()) or fit(self, table))
+    few = models.linear_svm()(train, 300)(df).select("ID_CLI", "score").toPandas().set_index("ID_CLI")["score"]
+    models.kernel_svm(components=10)(train, 300)
+    monkeypatch.setattr(models, "_ROWS_PER_TASK", 30)  # ten tasks by the rows: the eight stay
+    many = models.linear_svm()(train, 300)(df).select("ID_CLI", "score").toPandas().set_index("ID_CLI")["score"]
+    assert tasks == [1, 1, 8] and many.to_dict() == pytest.approx(few.to_dict())
+    train.unpersist()
+
+
 def test_split_is_exact_stratified_and_repeatable(spark):
     df = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1003)], "ID_CLI long, label int")
     first = features.stratified_split(df)
