@@ -37,6 +37,11 @@ def support_bands(support: DataFrame) -> DataFrame:
     return support.groupBy(band.alias("band")).agg(F.count("*").alias("n_articles"))
 
 
+def receipt_articles(lines: DataFrame) -> DataFrame:
+    """Every article of every receipt once, written once: supports and baskets both read it, and the lines are met once."""
+    return materialize(lines.select("ID_SCONTRINO", "ID_ARTICOLO").distinct(), "receipt-articles")
+
+
 def high_support_articles(lines: DataFrame, min_support: float = 0.001) -> DataFrame:
     """Articles above the support threshold; whether a join broadcasts them is left to their measured size."""
     return article_support(lines).where(F.col("support") > min_support).select(F.col("ID_ARTICOLO").alias("item"))
@@ -60,10 +65,13 @@ def baskets(lines: DataFrame, min_support: float = 0.001) -> DataFrame:
     A basket never holds more than the high-support articles, of which there are at most
     (mean basket size / threshold), so no receipt grows without bound.
     """
-    kept = high_support_articles(lines, min_support)
-    return lines.select("ID_SCONTRINO", "ID_ARTICOLO").join(
-        kept, F.col("ID_ARTICOLO") == F.col("item"), "left"
-    ).groupBy("ID_SCONTRINO").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    held = receipt_articles(lines)
+    # an article comes once per receipt here, so counting needs no further distinct
+    support = F.count("ID_SCONTRINO") / one_value(held, F.countDistinct("ID_SCONTRINO"))
+    kept = held.where("ID_ARTICOLO is not null").groupBy(F.col("ID_ARTICOLO").alias("item")).agg(
+        support.alias("support")).where(F.col("support") > min_support).select("item")
+    return held.join(kept, F.col("ID_ARTICOLO") == F.col("item"), "left").groupBy("ID_SCONTRINO").agg(
+        F.array_sort(F.collect_list("item")).alias("items"))
 
 
 def frequent_itemsets(basket_table: DataFrame, min_support: float = 0.001) -> DataFrame:

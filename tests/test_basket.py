@@ -83,3 +83,19 @@ def test_an_article_named_twice_counts_once_and_order_is_free(spark):
     table = spark.createDataFrame([([3, 1, 3],), ([1, 3],), ([2],), (None,)], "items array<long>")
     sets = {tuple(r["items"]): r.freq for r in basket.frequent_itemsets(table, 0.5).collect()}
     assert sets == {(1,): 2, (3,): 2, (1, 3): 2}
+
+
+def test_baskets_meet_the_lines_once(spark):
+    rows = [("a", 1), ("a", 1), ("a", 2), ("b", 1), ("b", None), (None, 1), (None, 3), ("c", 9)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    lines = spark.createDataFrame(rows, "ID_SCONTRINO string, ID_ARTICOLO long")
+    table = basket.baskets(lines.mapInArrow(counted, lines.schema), 0.5)
+    # of three receipts article 1 is in two; one without an id is a basket, but none of the receipts
+    assert {r.ID_SCONTRINO: r["items"] for r in table.collect()} == {"a": [1], "b": [1], None: [1], "c": []}
+    assert seen.value == len(rows)
