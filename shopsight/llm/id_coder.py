@@ -68,18 +68,18 @@ class Model:
     def predict(self, lanes: int) -> None:
         self.at1 = self.last[:lanes]
         self.at2 = ((self.before[:lanes] + self.at1 * 0x85EBCA77) >> 9) & ((1 << _SLOTS) - 1)
-        self.e1, self.e2 = self.one.take(self.at1), self.two.take(self.at2)
+        self.e1, self.e2 = self.one.take(self.at1, mode="clip"), self.two.take(self.at2, mode="clip")
         self.c1, self.c2 = self.e1 >> 3, self.e2 >> 3
         self.k1, self.k2 = self.e1 & 7, self.e2 & 7
         self.state = (self.k2 << 4) | (self.k1 << 1) | (self.c1 == self.c2)
-        self.m2, self.m1 = self.to2.take(self.state), self.to1.take(self.state)
+        self.m2, self.m1 = self.to2.take(self.state, mode="clip"), self.to1.take(self.state, mode="clip")
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and size of the ids' ranges, of 1 << bits."""
         self.is1, self.is2 = self.c1 == ids, self.c2 == ids
         rest = (1 << self.bits) - self.m1
-        begin = self.m1 + (rest * self.cum.take(ids) >> self.zero_bits)
-        end = self.m1 + (rest * self.cum.take(ids + 1) >> self.zero_bits)
+        begin = self.m1 + (rest * self.cum.take(ids, mode="clip") >> self.zero_bits)
+        end = self.m1 + (rest * self.cum.take(ids + 1, mode="clip") >> self.zero_bits)
         begin, end = np.where(self.is1, self.m2, begin), np.where(self.is1, self.m1, end)
         begin, end = np.where(self.is2, 0, begin), np.where(self.is2, self.m2, end)
         return begin, end - begin
@@ -96,7 +96,7 @@ class Model:
         self.told.append((ids, (self.state << 2) | (self.is2 << 1) | self.is1))
         for table, at, entry, k, hit in ((self.one, self.at1, self.e1, self.k1, self.is1),
                                          (self.two, self.at2, self.e2, self.k2, self.is2)):
-            new = entry + _STEP.take((hit << 3) | k)
+            new = entry + _STEP.take((hit << 3) | k, mode="clip")
             table[at] = np.where((k == 0) & ~hit, ids << 3, new)
         n = len(ids)
         self.before[:n] = self.last[:n] * 0x9E3779B1

@@ -8,7 +8,7 @@ those that a finished task reports are read, so a task that runs twice leaves a
 
 Texts are split before the tokenizer sees them (at ASCII white space, which it drops and joins nothing across;
 Latin-1 texts also between letters, digits and signs, as its own rule does), and words met before come from a
-bounded cache of the process.
+bounded cache of the process; when it is full, those that came once only go.
 
 Defined results: null texts are empty; every document ends with ``end_id``, so an empty one has that id
 alone; an empty table writes no file and reads back no row.
@@ -74,8 +74,22 @@ class Encoder:
     def forget(self) -> None:
         self.places = _Places()
         self.pool, self.starts, self.lengths = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.again = np.zeros(1 << 12, bool)  # met in a later batch than their first
         self.used = 0
 
+    def _thin(self) -> None:
+        """Forget the words that were not met again; all of them where that leaves more than half."""
+        kept = np.flatnonzero(self.again[:len(self.places)])
+        if 2 * len(kept) > _WORDS:
+            return self.forget()
+        words, starts, lengths = list(self.places), self.starts[kept], self.lengths[kept]
+        self.places = _Places({words[k]: place for place, k in enumerate(kept.tolist())})
+        begin = np.cumsum(lengths) - lengths
+        self.used = int(lengths.sum())
+        self.pool[:self.used] = self.pool[np.arange(self.used) + np.repeat(starts - begin, lengths)]
+        self.starts[:len(kept)], self.lengths[:len(kept)] = begin, lengths
+        self.again[:] = False
+
     def _ids(self, words: list[str], whole: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and the number of ids of each."""
         if whole:
@@ -104,20 +118,23 @@ class Encoder:
 
     def _keep(self, places: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
         while len(self.places) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+            self.starts, self.lengths, self.again = (
+                np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.again))
         self.starts[places], self.lengths[places] = starts, lengths
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and the number of ids of each."""
         if len(self.places) > _WORDS:
-            self.forget()
+            self._thin()
         split = [_PIECES(text.lower()) if _LATIN(text) and "<|" not in text else
                  [" " + word for word in text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")]
                  for text in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        self.places.new = []
+        self.places.new, known = [], len(self.places)
         places = np.fromiter(map(self.places.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         self._learn(self.places.new)
+        self.again[places] = True
+        self.again[known:len(self.places)] = False
         lengths, starts = self.lengths[places], self.starts[places]
         ends = np.cumsum(lengths)
         within = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lengths, lengths)

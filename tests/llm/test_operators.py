@@ -546,3 +546,18 @@ def test_pieces_are_the_tokenizers():
 
 def test_files_are_placed():
     assert files.place("file:///tmp/x")[1] == files.place("file:/tmp/x")[1] == files.place("/tmp/x")[1] == "/tmp/x"
+
+
+def test_words_met_again_outlive_a_full_cache(monkeypatch):
+    plain = Tokenizer.from_file(TOKENIZER)
+    texts = [f"common words é中 stay here rare{k:04d}x 中rare{k}" for k in range(3000)]
+    monkeypatch.setattr(token_store, "_WORDS", 300)
+    encoder, learnt, learn = token_store.Encoder(TOKENIZER), [], token_store.Encoder._learn
+    monkeypatch.setattr(token_store.Encoder, "_learn", lambda self, words: (learnt.extend(words), learn(self, words)))
+    ids = [encoder.encode(texts[k:k + 50], 1)[0] for k in range(0, len(texts), 50)]
+    assert np.concatenate(ids).tolist() == [i for t in texts for i in [*plain.encode(t, add_special_tokens=False).ids, 1]]
+    assert learnt.count(" common") == 1 and len(encoder.places) < 500
+    encoder.encode([" ".join(f"{k}q" for k in range(1000))] * 2, 1)
+    words = " ".join(chr(97 + k % 26) + "z" * (k // 26) for k in range(400))
+    for _ in range(3):  # more words than half the cache come again: all go, ids stay right
+        assert encoder.encode([words], 1)[0].tolist() == [*plain.encode(words, add_special_tokens=False).ids, 1]
