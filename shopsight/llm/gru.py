@@ -1,31 +1,41 @@
 """A gated recurrent language model with a class-factored softmax, in numpy.
 
 The vocabulary is cut into classes of equal size by frequency, so a token costs one softmax over classes and
-one over its class. Training is truncated backpropagation over windows; the state is carried from window to
-window, in training and in scoring, and reset at the beginning of a document (in training also after each
-4,096 tokens of one).
+one over its class. Training is truncated backpropagation over windows: the documents stand one after the other
+in random order, and the row is cut into lanes of equal length that are trained in step. The state is carried
+from window to window, in training and in scoring, and reset at the beginning of a document (in training also
+where a lane begins inside one; the token before it is known there).
+
+Weights and states of the three gates (update, reset, new state) lie apart, each contiguous.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
-PIECE = 4096  # tokens of a document that are trained on in one go
+PIECE = 4096  # tokens of a document that count for a lane of their own
 
 
 def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.divide(np.float32(1), x, out=x)
 
 
-def _softmax(x, reach):
-    """Exponentials and logarithms of their sums; only where a score could be large (``reach``) is the largest taken off."""
-    top = None
+def _softmax(x, at, reach):
+    """Exponentials (in place), their sums and the log probabilities of the places ``at`` (into the flat array); only
+    where a score could be large (``reach``) is the largest taken off."""
     if reach > 60:
-        top = x.max(axis=1, keepdims=True)
-        x = x - top
-    e = np.exp(x)
-    total = e @ np.ones(e.shape[1], np.float32)
-    return e, total, np.log(total) if top is None else np.log(total) + top[:, 0]
+        x -= x.max(axis=1, keepdims=True)
+    found = x.reshape(-1)[at]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], np.float32)
+    found -= np.log(total)
+    return total, found
 
 
 class Gru:
@@ -35,9 +45,10 @@ class Gru:
         classes = -(-vocabulary // self.width)
         random = np.random.default_rng(seed)
         draw = lambda *shape: random.normal(0, 0.1, shape).astype(np.float32)
+        gates = lambda rows: np.ascontiguousarray(draw(rows, 3 * hidden).reshape(rows, 3, hidden).transpose(1, 0, 2))
         self.w = {
-            "x": draw(vocabulary + 1, 3 * hidden),  # the last row stands for the beginning of a document
-            "u": draw(hidden, 3 * hidden), "b": np.zeros(hidden, np.float32),
+            "x": gates(vocabulary + 1),  # the last row stands for the beginning of a document
+            "u": gates(hidden), "b": np.zeros(hidden, np.float32),
             "c": draw(hidden, classes), "cb": np.zeros(classes, np.float32),
             "o": draw(classes, hidden, self.width), "ob": np.zeros((classes, self.width), np.float32),
         }
@@ -45,56 +56,77 @@ class Gru:
         if spare:
             self.w["ob"][-1, self.width - spare:] = -1e4
 
-    def step(self, h, x):
-        n = self.hidden
-        a = h @ self.w["u"]
-        gates = _sigmoid(x[:, :2 * n] + a[:, :2 * n])
-        z, r = gates[:, :n], gates[:, n:]
-        inner = a[:, 2 * n:] + self.w["b"]
-        new = np.tanh(x[:, 2 * n:] + r * inner)
-        return new + z * (h - new), (h, z, r, inner, new)
+    def read(self, tokens: np.ndarray) -> np.ndarray:
+        """What the tokens add to the gates: (3, tokens, hidden)."""
+        return np.stack([np.take(x, tokens, axis=0, mode="clip") for x in self.w["x"]])
+
+    def step(self, h, x, a=None):
+        """The next state. ``x`` (by gate) becomes z, r and the new state, ``a`` takes what the old state adds."""
+        a = np.matmul(h, self.w["u"], out=a)
+        gates, inner, new = x[:2], a[2], x[2]
+        gates += a[:2]
+        _sigmoid(gates)
+        inner += self.w["b"]
+        new += gates[1] * inner
+        np.tanh(new, out=new)
+        out = h - new
+        out *= gates[0]
+        out += new
+        return out
+
+    def run(self, h, tokens, carry):
+        """Steps over rows of tokens read by the lanes; a state is kept where ``carry`` is 1. Gates, what old states added, and states before and after."""
+        shape = (*tokens.shape, self.hidden)
+        gates = self.read(tokens.reshape(-1)).reshape(3, *shape)
+        added, before, states = np.empty_like(gates), np.empty(shape, np.float32), np.empty(shape, np.float32)
+        for k in range(len(tokens)):
+            np.multiply(h, carry[k], out=before[k])
+            h = states[k] = self.step(before[k], gates[:, k], added[:, k])
+        return gates, added, before, states
 
     def log_probs(self, h, target, grads=None):
         """Natural log probabilities of the targets; with ``grads`` also adds gradients and gives those of h."""
-        w = self.w
-        group = target // self.width
-        order = np.argsort(group.astype(np.int16), kind="stable")
-        group, place = group[order], (target % self.width)[order]
-        h = h[order]
-        cuts = np.searchsorted(group, np.arange(len(w["cb"]) + 1))
-        at = np.arange(len(h))
+        w, n = self.w, self.hidden
+        group = (target // self.width).astype(np.int16)
+        order = np.argsort(group, kind="stable")
+        group, target = group[order].astype(np.int64), target[order]
+        rows = np.arange(len(order))
+        own = np.ones((len(order), n + 1), np.float32)  # the ones meet the biases
+        own[:, :n] = h.take(order, axis=0)
+        cuts = np.searchsorted(group, np.arange(len(w["cb"]) + 1)).tolist()
+        parts = [(k, slice(*cuts[k:k + 2])) for k in np.unique(group).tolist()]
+        used = [k for k, _ in parts]
         # the state lies in -1 to 1, so no score is further from 0 than this
-        reach = np.abs(w["ob"]).max(axis=1, where=w["ob"] > -1e3, initial=0) + np.abs(w["o"]).sum(axis=1).max(axis=1)
-        x = h @ w["c"] + w["cb"]
-        e, total, log = _softmax(x, np.abs(w["cb"]).max() + np.abs(w["c"]).sum(axis=0).max())
-        found = (x[at, group] - log).astype(np.float64)
-        back = None
-        if grads is not None:
-            e /= total[:, None]
-            e[at, group] -= 1
-            grads["c"] += h.T @ e
-            grads["cb"] += np.ones(len(e), np.float32) @ e
-            back = e @ w["c"].T
-        for k in np.flatnonzero(np.diff(cuts)):
-            part = slice(cuts[k], cuts[k + 1])
-            own, mine = h[part], place[part]
-            at = np.arange(len(own))
-            x = own @ w["o"][k] + w["ob"][k]
-            e, total, log = _softmax(x, reach[k])
-            found[part] += x[at, mine] - log
-            if grads is not None:
-                e /= total[:, None]
-                e[at, mine] -= 1
-                grads["o"][k] += own.T @ e
-                grads["ob"][k] += np.ones(len(e), np.float32) @ e
-                back[part] += e @ w["o"][k].T
-        out = np.empty_like(found)
-        out[order] = found
+        reach = np.abs(w["ob"][used]).max(where=w["ob"][used] > -1e3, initial=0) + np.abs(w["o"][used]).sum(axis=1).max(initial=0)
+        e = own @ np.concatenate([w["c"], w["cb"][None]])
+        at_group = rows * e.shape[1] + group
+        total, found = _softmax(e, at_group, np.abs(w["cb"]).max() + np.abs(w["c"]).sum(axis=0).max())
+        words = np.concatenate([w["o"], w["ob"][:, None]], axis=1)
+        x = np.empty((len(order), self.width), np.float32)
+        for k, part in parts:
+            np.matmul(own[part], words[k], out=x[part])
+        at_word = rows * self.width + target - group * self.width
+        total_words, more = _softmax(x, at_word, reach)
+        out = np.empty(len(order))
+        out[order] = found.astype(np.float64) + more
         if grads is None:
             return out
-        slope = np.empty_like(back)
-        slope[order] = back
-        return out, slope
+        for some, at, sums in ((e, at_group, total), (x, at_word, total_words)):
+            some /= sums[:, None]
+            some.reshape(-1)[at] -= 1
+        slope = own.T @ e
+        grads["c"] += slope[:n]
+        grads["cb"] += slope[n]
+        back = np.empty((len(order), n), np.float32)
+        for k, part in parts:
+            slope = own[part].T @ x[part]
+            grads["o"][k] += slope[:n]
+            grads["ob"][k] += slope[n]
+            np.matmul(x[part], w["o"][k].T, out=back[part])
+        back += e @ w["c"].T
+        inverse = np.empty_like(order)
+        inverse[order] = rows
+        return out, back.take(inverse, axis=0)
 
     def begin(self, counts: np.ndarray) -> None:
         """Start at the frequencies of classes and of their words; ``counts`` has one number per word."""
@@ -112,87 +144,83 @@ class Gru:
         if part is None:
             self.begin(np.bincount(np.concatenate(docs), minlength=self.vocabulary))
         done, stretches = part or (0, 1)
-        pieces = []  # source and target; a long document's pieces know the token before them, the state begins anew
-        for d in docs:
-            source = np.concatenate([[self.vocabulary], d[:-1]])
-            pieces += [(source[k:k + PIECE], d[k:k + PIECE]) for k in range(0, len(d), PIECE)]
-        lanes = min(lanes, len(pieces))
+        total, n, steps = sum(map(len, docs)), self.hidden, 0
+        lanes = min(lanes, sum(-(-len(d) // PIECE) for d in docs))
+        length = -(-total // lanes)
         first, second = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
-        n, steps = self.hidden, 0
-        per_epoch = max(1, -(-sum(map(len, docs)) // (lanes * window)))
+        per_epoch = -(-length // window)
         epochs = max(epochs, -(-least_steps // per_epoch))
         for _ in range(epochs):
-            parts = [[] for _ in range(lanes)]
-            load = np.zeros(lanes, np.int64)
-            for i in random.permutation(len(pieces)):
-                lane = int(np.argmin(load))
-                parts[lane].append(pieces[i])
-                load[lane] += len(pieces[i][1])
-            length = int(load.max())
-            target = np.full((length, lanes), -1, np.int32)
-            source = np.full((length, lanes), self.vocabulary, np.int32)
-            new_piece = np.ones((length, lanes), bool)
-            for lane, some in enumerate(parts):
-                at = 0
-                for before, d in some:
-                    target[at:at + len(d), lane] = d
-                    source[at:at + len(d), lane] = before
-                    new_piece[at + 1:at + len(d), lane] = False
-                    at += len(d)
+            order = [docs[i] for i in random.permutation(len(docs))]
+            flat = np.concatenate([*order, np.full(lanes * length - total, -1)]).astype(np.int32)
+            begins = np.zeros(len(flat), bool)
+            begins[np.cumsum([0, *map(len, order)])[:-1]] = True
+            read = np.where(begins, self.vocabulary, np.roll(flat, 1))
+            begins[::length] = True
+            target, source, carried = (np.ascontiguousarray(x.reshape(lanes, length).T) for x in (flat, read, ~begins))
+            carried = carried[:, :, None].astype(np.float32)
             h = np.zeros((lanes, n), np.float32)
             for begin in range(0, length, window):
-                t, s = target[begin:begin + window], source[begin:begin + window]
-                kept, states = [], []
-                for k in range(len(t)):
-                    fresh = new_piece[begin + k][:, None]
-                    h = np.where(fresh, np.float32(0), h)
-                    h, memory = self.step(h, self.w["x"][s[k]])
-                    kept.append((memory, fresh))
-                    states.append(h)
-                flat, real = np.concatenate(states), t.reshape(-1) >= 0
-                count = int(real.sum())
+                t, s, carry = (x[begin:begin + window] for x in (target, source, carried))
+                gates, added, before, states = self.run(h, s, carry)
+                h, s = states[-1], s.reshape(-1)
+                flat_states, real = states.reshape(-1, n), np.flatnonzero(t.reshape(-1) >= 0)
+                count = len(real)
                 if not count:
                     continue
                 grads = {k: np.zeros_like(v) for k, v in self.w.items()}
-                _, slope = self.log_probs(flat[real], t.reshape(-1)[real], grads)
-                d_states = np.zeros_like(flat)
-                d_states[real] = slope
-                d_states = d_states.reshape(len(t), lanes, n)
-                before, z, r, inner, new = (np.stack(m) for m in zip(*(memory for memory, _ in kept)))
+                if count == len(s):
+                    _, slope = self.log_probs(flat_states, t.reshape(-1), grads)
+                else:
+                    slope = np.zeros_like(flat_states)
+                    slope[real] = self.log_probs(flat_states[real], t.reshape(-1)[real], grads)[1]
+                slope = slope.reshape(states.shape)
+                (z, r, new), inner = gates, added[2]
                 slope_n = (1 - z) * (1 - new * new)
-                slope_z = (before - new) * z * (1 - z)
-                slope_r = inner * r * (1 - r)
-                turned = np.ascontiguousarray(self.w["u"].T)
+                slope_z = (before - new) * (z - z * z)
+                slope_r = inner * (r - r * r)
+                turned = np.ascontiguousarray(self.w["u"].transpose(0, 2, 1))
                 dh = np.zeros((lanes, n), np.float32)
-                rows = np.empty((len(t), lanes, 3 * n), np.float32)
+                rows = added  # by gate: slopes of what the old state added
                 for k in range(len(t) - 1, -1, -1):
-                    dh = dh + d_states[k]
-                    da = rows[k]
-                    dn = dh * slope_n[k]
-                    da[:, :n] = dh * slope_z[k]
-                    da[:, n:2 * n] = dn * slope_r[k]
-                    da[:, 2 * n:] = dn * r[k]
-                    dh = dh * z[k] + da @ turned
-                    dh[kept[k][1][:, 0]] = 0
-                    inner[k] = dn
-                back = rows.reshape(-1, 3 * n)
-                grads["u"] += before.reshape(-1, n).T @ back
-                grads["b"] += np.ones(len(back), np.float32) @ back[:, 2 * n:]
-                rows[:, :, 2 * n:] = inner
-                read = s.reshape(-1)
-                order = np.argsort(read, kind="stable")
-                cuts = np.flatnonzero(np.diff(read[order], prepend=-1))
-                grads["x"][read[order[cuts]]] = np.add.reduceat(back[order], cuts)
+                    dh += slope[k]
+                    dn, (dz, dr, da) = new[k], rows[:, k]
+                    np.multiply(dh, slope_n[k], out=dn)
+                    np.multiply(dh, slope_z[k], out=dz)
+                    np.multiply(dn, slope_r[k], out=dr)
+                    np.multiply(dn, r[k], out=da)
+                    dh *= z[k]
+                    for part_of in np.matmul(rows[:, k], turned):
+                        dh += part_of
+                    dh *= carry[k]
+                rows = rows.reshape(3, -1, n)
+                grads["u"] += np.matmul(before.reshape(-1, n).T, rows)
+                grads["b"] += np.ones(rows.shape[1], np.float32) @ rows[2]
+                order = np.argsort(s.astype(np.uint16) if self.vocabulary < 1 << 16 else s, kind="stable")
+                words = s[order]
+                cuts = np.flatnonzero(np.diff(words.astype(np.int32), prepend=-1))
+                for own, slopes in zip(grads["x"], (rows[0], rows[1], new.reshape(-1, n))):
+                    own[words[cuts]] = np.add.reduceat(slopes.take(order, axis=0), cuts)
                 steps += 1
                 pace = rate * 0.5 * (1 + np.cos(np.pi * (done + min(1, steps / (epochs * per_epoch))) / stretches)) + 1e-4
                 if done:
                     pace *= min(1, steps / 10)  # the moments begin anew
                 for k, g in grads.items():
-                    g = np.clip(g / np.float32(count), -0.1, 0.1)
-                    first[k] += np.float32(0.1) * (g - first[k])
-                    second[k] += np.float32(0.002) * (g * g - second[k])
-                    self.w[k] -= (np.float32(pace / (1 - 0.9 ** steps)) * first[k]) / (
-                        np.sqrt(second[k] * np.float32(1 / (1 - 0.998 ** steps))) + np.float32(1e-8))
+                    g *= np.float32(1 / count)
+                    np.clip(g, -0.1, 0.1, out=g)
+                    one, two = first[k], second[k]
+                    one *= np.float32(0.9)
+                    one += np.float32(0.1) * g
+                    g *= g
+                    g *= np.float32(0.002)
+                    two *= np.float32(0.998)
+                    two += g
+                    np.multiply(two, np.float32(1 / (1 - 0.998 ** steps)), out=g)
+                    np.sqrt(g, out=g)
+                    g += np.float32(1e-8)
+                    np.divide(one, g, out=g)
+                    g *= np.float32(pace / (1 - 0.9 ** steps))
+                    self.w[k] -= g
         return self
 
     def vector(self) -> np.ndarray:
@@ -207,28 +235,45 @@ class Gru:
             at += v.size
         self.w["ob"][none] = -1e4
 
-    def score(self, flat: np.ndarray, lengths: np.ndarray, *, lanes: int = 4096, window: int = 16) -> np.ndarray:
-        """Natural log probability of each document; documents stand one after the other in ``flat``."""
+    def score(self, flat: np.ndarray, lengths: np.ndarray, *, lanes: int = 512, window: int = 32) -> np.ndarray:
+        """Natural log probability of each document; documents stand one after the other in ``flat``.
+
+        Whole documents are dealt to lanes, the longest first and each to the shortest lane.
+        """
         out, begins = np.zeros(len(lengths)), np.cumsum(lengths) - lengths
-        by_length = np.argsort(-lengths, kind="stable")
-        for first in range(0, len(lengths), lanes):
-            docs = by_length[first:first + lanes]
-            docs = docs[lengths[docs] > 0]
-            if not len(docs):
-                continue
-            n, at = lengths[docs], begins[docs]
-            h = np.zeros((len(docs), self.hidden), np.float32)
-            token = np.full(len(docs), self.vocabulary)
-            for t in range(0, int(n[0]), window):
-                states, targets, owners = [], [], []
-                for k in range(t, min(t + window, int(n[0]))):
-                    live = int(np.searchsorted(-n, -k, "left"))  # lengths fall, so the longer ones stand first
-                    h = h[:live]
-                    h, _ = self.step(h, self.w["x"][token[:live]])
-                    token = flat[at[:live] + k]
-                    states.append(h)
-                    targets.append(token)
-                    owners.append(docs[:live])
-                log = self.log_probs(np.concatenate(states), np.concatenate(targets))
-                out += np.bincount(np.concatenate(owners), log, len(out))
+        docs = np.argsort(-lengths, kind="stable")
+        docs = docs[:np.count_nonzero(lengths)]
+        if not len(docs):
+            return out
+        lanes = min(lanes, len(docs))
+        loads, lane = [(0, k) for k in range(lanes)], []
+        for n in lengths[docs].tolist():
+            load, k = loads[0]
+            heapq.heapreplace(loads, (load + n, k))
+            lane.append(k)
+        n = np.array([load for load, _ in sorted(loads, key=lambda x: x[1])])
+        rank = np.empty(lanes, np.int64)  # full lanes stand first, so those that still run do
+        rank[np.argsort(-n, kind="stable")] = np.arange(lanes)
+        n = -np.sort(-n)
+        docs = docs[np.argsort(rank[lane], kind="stable")]
+        ends = np.cumsum(lengths[docs])
+        starts = ends - lengths[docs]
+        owner = np.repeat(docs, lengths[docs])
+        target = flat[np.arange(len(owner)) + np.repeat(begins[docs] - starts, lengths[docs])]
+        source = np.roll(target, 1)
+        source[starts] = self.vocabulary
+        carried = np.ones((len(owner), 1), np.float32)
+        carried[starts] = 0
+        first, h = np.cumsum(n) - n, np.zeros((lanes, self.hidden), np.float32)
+        for t in range(0, int(n[0]), window):
+            live = int(np.searchsorted(-n, -t, "left"))
+            step = np.arange(t, min(t + window, int(n[0])))[:, None]
+            at = first[:live] + np.minimum(step, n[:live] - 1)
+            states = self.run(h[:live], source[at], carried[at])[3]
+            h, at, states = states[-1], at.reshape(-1), states.reshape(-1, self.hidden)
+            real = np.flatnonzero((step < n[:live]).reshape(-1))
+            if len(real) < len(at):
+                at, states = at[real], states[real]
+            log = self.log_probs(states, target[at])
+            out += np.bincount(owner[at], log, len(out))
         return out

@@ -4,7 +4,8 @@ Token counts come from all training documents. The most frequent words are the m
 other word stands for its kind (made from its bytes), and the word itself then has its count's share of the
 kind, with add-0.1 smoothing. So the model gives every text a probability, unknown words included. Counts of
 the most frequent words (a fixed number) are sent to all tasks; the other words of each document meet the
-table of counts in a join.
+table of counts in a join. Texts are split once for the counts and once to be stored as vocabulary numbers, from
+which the network is fitted and all rows are scored.
 
 The network is fitted on all training documents. They are dealt by hash into rounds and, within a round, into
 groups whose number grows with the tokens; each group's task begins at the round's weights and passes over its
@@ -39,11 +40,11 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     data = C.lower_ascii(data)
     starts, ends = C.words(data, offsets)
     value = C.hashes(data, starts, ends)
-    above = np.concatenate([[0], np.cumsum(data >= 128)])
+    high = np.maximum.reduceat(data, starts) >= 128 if len(starts) else np.zeros(0, bool)  # only spaces follow a word
     last = data[ends - 1] if len(ends) else np.zeros(0, np.uint8)
     plain = ((last >= 48) & (last <= 57)) | ((last >= 97) & (last <= 122)) | (last >= 128)
     mark = np.where(plain, 0, np.where((last == 44) | (last == 46), 1, 2))
-    kind = ((above[ends] > above[starts]) * 3 + mark) * 2 + (ends - starts > 8)
+    kind = (high * 3 + mark) * 2 + (ends - starts > 8)
     counts = np.diff(np.searchsorted(starts, offsets))
     at = np.cumsum(counts)
     return np.insert(value, at, END), np.insert(kind, at, 0), counts + 1
@@ -60,9 +61,11 @@ def token_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for _, data, offsets in C.text_chunks(batch["text"]):
                 value, kind, _ = tokens(data, offsets)
-                value, first, n = np.unique(value, return_index=True, return_counts=True)
-                held.append((value, kind[first], n))
-                waiting += len(value)
+                order = np.argsort(value)  # equal tokens are of one kind, so any of them will do
+                value = value[order]
+                first = np.flatnonzero(np.diff(value, prepend=~value[:1]))
+                held.append((value[first], kind[order[first]], np.diff(first, append=len(value))))
+                waiting += len(first)
                 if waiting > 1 << 21 and len(held) > 1:
                     held, waiting = [merged()], 0
         if held:
@@ -94,8 +97,13 @@ class Counts:
         np.subtract.at(types, kind[inside], 1)
         by_hash = np.argsort(token)
         self.token, self.c, self.number = token[by_hash], self.c[by_hash], number[by_hash]
+        self.share = np.log10(self.c + ADD)
+        bits = max(1, (4 * len(token)).bit_length())  # hashes are even, so a bucket of their first bits holds few
+        self.shift = np.uint64(64 - bits)
+        self.begins = np.searchsorted(self.token >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
         self.kind_words = total
         self.n, self.v, self.size = n, v, 1 + KINDS + len(chosen)
+        self.dtype = np.dtype(np.uint16 if self.size < 1 << 16 else np.int32)  # of stored numbers
         self.base_total = n + ADD * (v + 1)
         self.kind_total = total + ADD * (types + 1)
 
@@ -103,13 +111,19 @@ class Counts:
         """Place of each token, and whether it is there at all."""
         if not len(self.token):
             return np.zeros(len(value), np.int64), np.zeros(len(value), bool)
-        place = np.minimum(np.searchsorted(self.token, value), len(self.token) - 1)
-        return place, self.token[place] == value
-
-    def numbers(self, value: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        bucket = (value >> self.shift).astype(np.int64)
+        place, last = self.begins.take(bucket).astype(np.int64), self.begins.take(bucket + 1) - 1
+        found = self.token.take(place, mode="clip") == value
+        left = np.flatnonzero(~found & (place < last))
+        while len(left):
+            place[left] += 1
+            found[left] = hit = self.token.take(place[left]) == value[left]
+            left = left[~hit & (place[left] < last[left])]
+        return np.minimum(place, len(self.token) - 1), found
+
+    def numbers(self, value: np.ndarray, kind: np.ndarray, place: np.ndarray, found: np.ndarray) -> np.ndarray:
         """What the network reads: vocabulary numbers, kinds for the other words."""
-        place, known = self.find(value)
-        number = np.where(known, self.number[place], -1) if len(self.token) else np.full(len(value), -1)
+        number = np.where(found, self.number.take(place), -1) if len(self.token) else np.full(len(value), -1)
         return np.where(number >= 0, number, np.where(value == END, KINDS, kind))
 
 
@@ -122,36 +136,34 @@ def scores(docs: DataFrame, *, folds: int = 10, held_out_fold: int = 0, vocabula
     """
     docs = C.query_columns(docs, doc_id="long", text="string")
     held_out = C.fold(F.col("doc_id"), folds) == held_out_fold
-    training = docs.where(~held_out)
-    counts = C.stage(token_counts(training), "token-counts")
+    counts = C.stage(token_counts(docs.where(~held_out)), "token-counts")
     kinds = [(r["kind"], r["words"], r["types"]) for r in counts.groupBy("kind").agg(
         F.sum("c").alias("words"), F.count("*").alias("types")).collect()]
     head = counts.orderBy(F.desc("c"), "token").limit(frequent).toArrow()
     known = Counts(head, sum(k[1] for k in kinds), sum(k[2] for k in kinds), kinds, vocabulary)
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(vars(known))
+    rounds = max(1, min(rounds, -(-known.n // group)))
+    groups = max(1, -(-known.n // (rounds * group)))
 
-    network = fit_network(training, known, table, rounds=rounds, group=group, hidden=hidden)
-    model = spark.sparkContext.broadcast(vars(network))
-
-    def score(batches):
-        known, network = _restored(Counts, table.value), _restored(Gru, model.value)
+    def read(batches):
+        known = _restored(Counts, table.value)
         for batch in batches:
             n_tokens, n_known = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             base, own = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            rare, rare_counts, numbers = [], np.zeros(batch.num_rows, np.int64), []
+            rare, rare_counts, ids = [], np.zeros(batch.num_rows, np.int64), []
             for first, data, offsets in C.text_chunks(batch["text"]):
                 value, kind, lengths = tokens(data, offsets)
                 n = len(lengths)
                 rows = np.repeat(np.arange(n), lengths)
                 place, found = known.find(value)
-                c = known.c[place] if len(known.c) else np.zeros(len(value))
-                number = known.numbers(value, kind)
-                numbers.append(number.astype(np.int32))
+                number = known.numbers(value, kind, place, found)
+                flat, ends = number.astype(known.dtype), np.cumsum(lengths)
+                ids += [flat[e - m:e].tobytes() for e, m in zip(ends.tolist(), lengths.tolist())]
                 part = slice(first, first + n)
                 n_tokens[part] = lengths
                 n_known[part] = np.bincount(rows[found], minlength=n)
-                share = np.log10(np.maximum(c + ADD, 1e-300))
+                share = known.share.take(place) if len(known.c) else np.zeros(len(value))
                 base[part] = np.bincount(rows[found], share[found] - np.log10(known.base_total), n)
                 other = found & (number < KINDS)
                 own[part] = np.bincount(rows[other], share[other] - np.log10(known.kind_total[kind[other]]), n)
@@ -163,21 +175,42 @@ def scores(docs: DataFrame, *, folds: int = 10, held_out_fold: int = 0, vocabula
                 at = np.flatnonzero(new)
                 rare.append(np.concatenate([key[:, at], np.diff(np.r_[at, key.shape[1]])[None]]))
                 rare_counts[part] = np.bincount(key[0, at], minlength=n)
-            flat = np.concatenate(numbers).astype(np.int64) if numbers else np.zeros(0, np.int64)
-            own += network.score(flat, n_tokens) / np.log(10)
             rest = np.concatenate(rare, axis=1) if rare else np.zeros((5, 0), np.int64)
             # the end token stands for itself in the vocabulary, so only its base score is open
             items = pa.StructArray.from_arrays(
                 [pa.array(rest[1]), pa.array(np.where(rest[3] == 1, -1, rest[2]).astype(np.int32)), pa.array(rest[4].astype(np.int32))],
                 ["token", "kind", "tf"])
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch["doc_id"], "n_tokens": pa.array(n_tokens), "n_known": pa.array(n_known),
-                "base": pa.array(base), "own": pa.array(own),
+                "doc_id": batch["doc_id"], "round": batch["round"], "member": batch["member"], "mark": batch["mark"],
+                "n_tokens": pa.array(n_tokens), "n_known": pa.array(n_known), "base": pa.array(base), "own": pa.array(own),
+                "ids": pa.array(ids, pa.binary()),
                 "rare": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(rare_counts)]).astype(np.int32), items)})
 
-    part = C.stage(docs.mapInArrow(
-        score, "doc_id long, n_tokens long, n_known long, base double, own double, "
-        "rare array<struct<token: long, kind: int, tf: int>>").withColumn("row", F.monotonically_increasing_id()), "lm-parts")
+    mark = F.xxhash64("doc_id", "text")
+    place = F.pmod(F.xxhash64(mark), F.lit(rounds * groups))
+    path = scratch_path(spark, "lm-parts")
+    read_in = docs.select("doc_id", "text", F.when(held_out, -1).otherwise(place % rounds).cast("int").alias("round"),
+                          (place / rounds).cast("int").alias("member"), mark.alias("mark")).mapInArrow(
+        read, "doc_id long, round int, member int, mark long, n_tokens long, n_known long, base double, own double, "
+        "ids binary, rare array<struct<token: long, kind: int, tf: int>>").withColumn("row", F.monotonically_increasing_id())
+    read_in.write.partitionBy("round").parquet(path)
+    part = spark.read.schema(read_in.schema).parquet(path)
+
+    network = fit_network(part, known, rounds=rounds, groups=groups, hidden=hidden)
+    model = spark.sparkContext.broadcast(vars(network))
+    dtype = known.dtype
+
+    def score(batches):
+        network = _restored(Gru, model.value)
+        for batch in batches:
+            flat = np.frombuffer(b"".join(batch["ids"].to_pylist()), dtype).astype(np.int64)
+            log = network.score(flat, np.array(batch["n_tokens"], np.int64)) / np.log(10)
+            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["ids", "own"]).columns, pa.array(np.array(batch["own"]) + log)],
+                                             [*plain, "own"])
+
+    plain = ["row", "doc_id", "n_tokens", "n_known", "base"]
+    scored = C.stage(part.select(*plain, "own", "ids").mapInArrow(
+        score, "row long, doc_id long, n_tokens long, n_known long, base double, own double"), "lm-scored")
     totals = F.element_at(F.array(*[F.lit(float(t)) for t in known.kind_total]), F.greatest(F.col("kind"), F.lit(0)) + 1)
     rare = part.select("row", F.inline("rare")).join(counts.select("token", "c"), "token", "left").withColumn(
         "share", F.log10(F.coalesce("c", F.lit(0)) + ADD))
@@ -186,7 +219,7 @@ def scores(docs: DataFrame, *, folds: int = 10, held_out_fold: int = 0, vocabula
         F.sum(F.when(F.col("kind") >= 0, F.col("tf") * (F.col("share") - F.log10(totals)))).alias("own_rare"),
         F.sum(F.when(F.col("c").isNotNull(), F.col("tf"))).alias("known_rare"))
     zero = F.lit(0.0)
-    return part.drop("rare").join(rare, "row", "left").select(
+    return scored.join(rare, "row", "left").select(
         "doc_id", held_out.alias("held_out"), "n_tokens",
         (F.col("n_known") + F.coalesce("known_rare", F.lit(0))).alias("n_known"),
         F.lit(known.n).cast("long").alias("train_tokens"),
@@ -194,7 +227,7 @@ def scores(docs: DataFrame, *, folds: int = 10, held_out_fold: int = 0, vocabula
         (F.col("own") + F.coalesce("own_rare", zero)).alias("score"))
 
 
-def fit_network(training: DataFrame, known: Counts, table, *, rounds: int, group: int, hidden: int) -> Gru:
+def fit_network(part: DataFrame, known: Counts, *, rounds: int, groups: int, hidden: int) -> Gru:
     """The network after one pass (more on a small table) over all training documents; raises if a token was left out."""
     network = Gru(known.size, hidden)
     inside = known.number >= KINDS
@@ -204,36 +237,20 @@ def fit_network(training: DataFrame, known: Counts, table, *, rounds: int, group
     network.begin(counts)
     if not known.n:
         return network
-    rounds = max(1, min(rounds, -(-known.n // group)))
-    groups = max(1, -(-known.n // (rounds * group)))
-    dtype = np.uint16 if known.size < 1 << 16 else np.int32
-
-    def read(batches):
-        for batch in batches:
-            flat, lengths = _numbers(batch["text"], _restored(Counts, table.value))
-            ends = np.cumsum(lengths)
-            yield pa.RecordBatch.from_pydict({
-                "round": batch["round"], "member": batch["member"], "mark": batch["mark"],
-                "ids": pa.array([flat[e - n:e].astype(dtype).tobytes() for e, n in zip(ends, lengths)], pa.binary())})
-
-    mark = F.xxhash64("doc_id", "text")
-    place = F.pmod(F.xxhash64(mark), F.lit(rounds * groups))
-    path = scratch_path(training.sparkSession, "lm-ids")
-    training.select("text", (place % rounds).cast("int").alias("round"), (place / rounds).cast("int").alias("member"), mark.alias("mark")).mapInArrow(
-        read, "round int, member int, mark long, ids binary").write.partitionBy("round").parquet(path)
-    numbers = training.sparkSession.read.schema("member int, mark long, ids binary, round int").parquet(path)
+    known_size, dtype = known.size, known.dtype
+    lanes, rate = (96, 0.01) if rounds == 1 else (512, 0.02)
     length = -(-(len(network.vector()) + 2) // BLOCKS)
     seen = 0
     for k in range(rounds):
-        state = training.sparkSession.sparkContext.broadcast(vars(network))
+        state = part.sparkSession.sparkContext.broadcast(vars(network))
 
         def fit(rows):
             rows = rows.sort_by("mark")
             own = Gru(known_size, hidden)
             own.put(_restored(Gru, state.value).vector())
-            docs = [np.frombuffer(d.as_buffer(), dtype).astype(np.int64) for d in rows["ids"]]
+            docs = [np.frombuffer(d.as_buffer(), dtype) for d in rows["ids"]]
             tokens = sum(map(len, docs))
-            own.fit(docs, lanes=96 if rounds == 1 else 256, epochs=1, least_steps=-(-LEAST_STEPS // rounds), part=(k, rounds))
+            own.fit(docs, lanes=lanes, rate=rate, epochs=1, least_steps=-(-LEAST_STEPS // rounds), part=(k, rounds))
             weight = -(-tokens // 1024)
             total = np.zeros(length * BLOCKS, np.int64)
             vector = own.vector()
@@ -241,8 +258,7 @@ def fit_network(training: DataFrame, known: Counts, table, *, rounds: int, group
             total[-2:] = weight, tokens
             return pa.Table.from_batches([C.vector_rows(total, BLOCKS)])
 
-        known_size = known.size
-        parts = numbers.where(F.col("round") == k).select("member", "mark", "ids").repartition(groups, "member").groupBy("member").applyInArrow(
+        parts = part.where(F.col("round") == k).select("member", "mark", "ids").repartition(groups, "member").groupBy("member").applyInArrow(
             fit, "block int, sums binary")
         total = C.sum_vectors(parts, length, BLOCKS)
         seen += int(total[-1])
@@ -259,16 +275,3 @@ def _restored(kind: type, state: dict):
     out = kind.__new__(kind)
     out.__dict__.update(state)
     return out
-
-
-def _numbers(texts: pa.Array, known: Counts) -> tuple[np.ndarray, np.ndarray]:
-    flat, lengths = [], []
-    for _, data, offsets in C.text_chunks(texts):
-        value, kind, n = tokens(data, offsets)
-        flat.append(known.numbers(value, kind))
-        lengths.append(n)
-    if not flat:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(flat), np.concatenate(lengths)
-
-

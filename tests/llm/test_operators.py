@@ -381,6 +381,36 @@ def test_network_slopes():
         assert (loss[0] - loss[1]) / 0.02 == pytest.approx(slope[place], rel=0.02, abs=0.01)
 
 
+def test_network_steps_are_full():
+    """Lanes are of equal length, so a pass takes no more steps than its tokens need; every token is passed over once."""
+    random = np.random.default_rng(7)
+    docs = [random.integers(0, 40, n) for n in [3000, 2500, *[60] * 200]]
+    net, seen = gru.Gru(40, hidden=4), []
+    log_probs = net.log_probs
+    net.log_probs = lambda h, target, grads=None: (seen.append(target), log_probs(h, target, grads))[1]
+    net.fit(docs, lanes=50, window=20, epochs=1, least_steps=1)
+    assert len(seen) == -(-sum(map(len, docs)) // (50 * 20))
+    assert (np.bincount(np.concatenate(seen)) == np.bincount(np.concatenate(docs))).all()
+
+
+def test_network_scores_documents_alone():
+    """A document's score doesn't depend on those it shares lanes with, also above 4,096 tokens."""
+    random = np.random.default_rng(8)
+    docs = [random.integers(0, 40, n) for n in [5000, 0, 1, 900, *random.integers(1, 90, 60)]]
+    net = gru.Gru(40, hidden=4).fit(docs, epochs=1)
+    got = net.score(np.concatenate(docs), np.array([len(d) for d in docs]), lanes=7)
+    assert got == pytest.approx([net.score(d, np.array([len(d)]))[0] for d in docs], rel=1e-5)
+
+
+def test_tokens_are_found_in_their_bucket():
+    value = np.unique(np.r_[lm_scoring.END, np.random.default_rng(1).integers(0, 1 << 63, 3000).astype(np.uint64), np.arange(50, dtype=np.uint64)])
+    known = lm_scoring.Counts(pa.table({"token": value.view(np.int64), "kind": np.zeros(len(value), np.int32), "c": np.arange(len(value))}),
+                              1, 1, [(0, 1, 1)], 100)
+    place, found = known.find(np.r_[value, value + np.uint64(1)])
+    assert found.tolist() == np.isin(np.r_[value, value + np.uint64(1)], value).tolist()
+    assert (known.token[place[found]] == np.r_[value, value + np.uint64(1)][found]).all()
+
+
 def test_network_is_a_distribution():
     """Probabilities of all texts of three tokens add up to one, and windows don't change a score."""
     net = gru.Gru(5, hidden=4)
