@@ -16,11 +16,13 @@ alone; an empty table writes no file and reads back no row.
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import struct
 import uuid
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -41,6 +43,14 @@ _LETTERS, _DIGITS, _BLANKS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x
 _PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_DIGITS}]|[^{_BLANKS}{_LETTERS}{_DIGITS}]+").findall
 
 
+def _signs(byte_level) -> Iterator[tuple[int, str]]:
+    """Each byte of Latin-1 texts in UTF-8 and the sign that stands for it before the merges."""
+    yield 32, " "
+    for i in range(256):
+        if i != 32:
+            yield from zip(chr(i).encode(), byte_level.pre_tokenize_str(chr(i))[0][0])
+
+
 class _Places(dict):
     """Places of words; a word without one gets the next and is noted as new."""
 
@@ -63,10 +73,13 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = Tokenizer(self.tokenizer.model)
-        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([
-            pre_tokenizers.WhitespaceSplit(),
-            pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)])
+        model = Tokenizer.from_file(path).model
+        model._resize_cache(0)  # it meets every piece once
+        self.pieces = Tokenizer(model)
+        self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        # the library's signs of all bytes; the blank stays, as it parts the pieces
+        signs = dict(_signs(pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)))
+        self.signs = "".join(signs.get(i, "\ufffe") for i in range(256))
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.forget()
@@ -93,7 +106,8 @@ class Encoder:
     def _ids(self, words: list[str], whole: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and the number of ids of each."""
         if whole:
-            ids = np.array(self.pieces.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int32)
+            signs = codecs.charmap_decode(" ".join(words).encode(), "strict", self.signs)[0]
+            ids = np.array(self.pieces.encode_batch_fast([signs], add_special_tokens=False)[0].ids, np.int32)
             ends = np.flatnonzero(self.last[ids])
             if len(ends) == len(words):  # every piece ends with the one token that ends it
                 return ids, np.diff(ends, prepend=-1)

@@ -1,5 +1,6 @@
 """Operators of shopsight.llm against brute force, round trips and held-out rows, and on edge data."""
 
+import codecs
 import collections
 import hashlib
 import io
@@ -574,6 +575,15 @@ def test_pieces_are_the_tokenizers():
     assert [x.tolist() for x in found] == [x.ids + [1] for x in expected]
 
 
+def test_pieces_meet_the_merges_in_the_signs_of_their_bytes():
+    encoder = token_store.Encoder(TOKENIZER)
+    words = [chr(i) for i in range(33, 256) if i not in (0x85, 0xA0)] + ["straße", "naïve", "x\x00\x1f\x7f"]
+    library = Tokenizer.from_file(TOKENIZER).pre_tokenizer
+    for word in words:
+        signs = codecs.charmap_decode(word.encode(), "strict", encoder.signs)[0]
+        assert signs == "".join(piece for piece, _ in library.pre_tokenize_str(word))
+
+
 def test_files_are_placed():
     assert files.place("file:///tmp/x")[1] == files.place("file:/tmp/x")[1] == files.place("/tmp/x")[1] == "/tmp/x"
 
