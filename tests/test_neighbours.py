@@ -95,3 +95,34 @@ def test_best_rows_equal_all_distances_far_from_the_origin(monkeypatch):
     order = np.argsort(far, axis=1, kind="stable")[:, :7]
     assert best["train_id"].tolist() == order.ravel().tolist()
     assert best["distance2"].tolist() == np.take_along_axis(far, order, axis=1).ravel().tolist()
+
+
+def test_second_round_leaves_out_boxes_and_rows_beyond_reach(spark, monkeypatch):
+    """Rows spread along a line in each group: radii overlap, boxes don't."""
+    met, listed = [], []
+    searched = neighbours._searched
+
+    def counted(visits, cells, *rest):
+        found = searched(visits, cells, *rest)
+        met.append(visits.count())
+        listed.append(found.selectExpr("size(distance2) as n").agg(F.sum("n")).first()[0] or 0)
+        return found
+
+    monkeypatch.setattr(neighbours, "_searched", counted)
+    monkeypatch.setattr(neighbours, "_BLOCK_ROWS", 60)
+    draw = np.random.default_rng(4)
+    group = np.arange(800) % 8
+    points = np.c_[np.eye(8)[group] * 6, draw.random((800, 1)) * 30]
+    near = neighbours.nearest(table(spark, points, "query_id"), table(spark, points, "train_id"), 4, 40, leave_one_out=True)
+    assert {(r.query_id, r.place): r.train_id for r in near.collect()} == brute(points, points, 4, True)
+    assert len(met) == 2 and met[1] < 1200 and listed[1] < 1200, (met, listed)
+
+
+def test_best_rows_up_to_a_reach():
+    points = np.arange(10.0)[:, None]
+    train = pd.DataFrame({"x": list(points), "label": np.int32(0), "train_id": np.arange(10)})
+    queries = pd.DataFrame({"x": list(points[:3]), "query_id": [7, 7, 9], "reach2": [1.0, None, 0.0]})
+    best = neighbours._best(queries, train, 3)
+    assert best["train_id"].tolist() == [0, 1, 1, 0, 2, 2] and best["row"].tolist() == [0, 0, 1, 1, 1, 2]
+    lists = neighbours._listed(best)
+    assert lists["query_id"].tolist() == [7, 7, 9] and [list(x) for x in lists["train_id"]] == [[0, 1], [1, 0, 2], [2]]
