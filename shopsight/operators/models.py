@@ -25,6 +25,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shopsight.operators import forest
 from shopsight.operators import logistic as by_sums
 from shopsight.operators.evaluate import binary_metrics, confusion, roc_auc_by
 from shopsight.operators.features import Scaler, decile_ranks
@@ -142,12 +143,22 @@ def naive_bayes() -> Fit:
 
 
 def decision_tree(max_depth: int = 30, seed: int = 0) -> Fit:
-    return lambda train, n: _probability(
-        DecisionTreeClassifier(impurity="entropy", maxDepth=max_depth, seed=seed).fit(train))
+    return _grown_or(1, max_depth, seed, DecisionTreeClassifier(impurity="entropy", maxDepth=max_depth, seed=seed))
 
 
 def random_forest(trees: int = 100, max_depth: int = 30, seed: int = 0) -> Fit:
-    return lambda train, n: _probability(_forest(trees, max_depth, seed).fit(train))
+    return _grown_or(trees, max_depth, seed, _forest(trees, max_depth, seed))
+
+
+def _grown_or(trees: int, max_depth: int, seed: int, built_in) -> Fit:
+    """The built-in trees for rows of one task or for more than packed rows may take, else trees grown in tasks."""
+    def fit(train: DataFrame, n: int) -> Predict:
+        if n > _ROWS_PER_TASK:
+            width = train.select("features").first()["features"].size
+            if n * width <= forest.MOST_PACKED:
+                return forest.fit(train, n, width, trees, max_depth, seed)
+        return _probability(built_in.fit(train))
+    return fit
 
 
 def _forest(trees: int, max_depth: int, seed: int, impurity: str = "entropy") -> RandomForestClassifier:
@@ -379,10 +390,10 @@ def forest_sweep(train: DataFrame, test: DataFrame, trees: int = 99, max_depth:
     train = training_layout(train)
     scaler = Scaler.fit(train)
     model = _forest(trees, max_depth, seed, "gini").fit(scaler.apply(train))
-    forest = train.sparkSession.sparkContext.broadcast(flat_trees(model))
+    sent = train.sparkSession.sparkContext.broadcast(flat_trees(model))
 
     def count(batches):
-        flat, hits, n = forest.value, 0, 0
+        flat, hits, n = sent.value, 0, 0
         for batch in batches:
             for start in range(0, len(batch), 1024):
                 part = batch.iloc[start:start + 1024]
